@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import sharding
+from tessera.llm import quality_rules, sharding
 from tessera.llm.common import table
 
 
@@ -10,8 +10,12 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_sharding,)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_sharding)}
 
 
 def oracles() -> dict:

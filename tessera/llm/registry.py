@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules, sharding
+from tessera.llm import quality_classifier, quality_rules, sharding
 from tessera.llm.common import table
 
 
@@ -14,8 +14,12 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op4_sharding)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_sharding, op6_quality_classifier)}
 
 
 def oracles() -> dict:

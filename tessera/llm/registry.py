@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_classifier, quality_rules, sharding
+from tessera.llm import decontamination, quality_classifier, quality_rules, sharding
 from tessera.llm.common import table
 
 
@@ -18,8 +18,12 @@ def op6_quality_classifier(spark, sf_dir):
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontamination.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op4_sharding, op6_quality_classifier)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_sharding, op6_quality_classifier, op7_decontamination)}
 
 
 def oracles() -> dict:

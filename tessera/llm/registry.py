@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, quality_classifier, quality_rules, sharding
+from tessera.llm import decontamination, ngram_join, quality_classifier, quality_rules, sharding
 from tessera.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.linked(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op7_decontamination(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op4_sharding, op6_quality_classifier, op7_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_quality_rules, op4_sharding, op6_quality_classifier, op7_decontamination)}
 
 
 def oracles() -> dict:

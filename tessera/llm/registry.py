@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, ngram_join, quality_classifier, quality_rules, sharding
+from tessera.llm import decontamination, ngram_join, quality_classifier, quality_rules, sharding, warc
 from tessera.llm.common import table
 
 
@@ -26,8 +26,12 @@ def op7_decontamination(spark, sf_dir):
     return decontamination.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op3_quality_rules, op4_sharding, op6_quality_classifier, op7_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_quality_rules, op4_sharding, op6_quality_classifier, op7_decontamination, op9_warc)}
 
 
 def oracles() -> dict:

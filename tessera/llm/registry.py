@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, ngram_join, quality_classifier, quality_rules, sharding, warc
+from tessera.llm import chat_format, decontamination, ngram_join, quality_classifier, quality_rules, sharding, warc
 from tessera.llm.common import table
 
 
@@ -30,8 +30,12 @@ def op9_warc(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op10_chat_format(spark, sf_dir):
+    return chat_format.formatted(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op3_quality_rules, op4_sharding, op6_quality_classifier, op7_decontamination, op9_warc)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_quality_rules, op4_sharding, op6_quality_classifier, op7_decontamination, op9_warc, op10_chat_format)}
 
 
 def oracles() -> dict:

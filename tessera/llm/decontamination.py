@@ -32,41 +32,35 @@ UNITS = (
 ).split()
 
 
-def _marked(text: Column) -> tuple[Column, Column]:
-    """The text without words of marks alone; and with placeholders, lower case and without marks. Words align."""
-    kept = F.regexp_replace(text, rf"(?<![^{ASCII_SPACE}])[^\p{{L}}\p{{N}}{ASCII_SPACE}]+(?![^{ASCII_SPACE}])", "")
-    # a capitalised word within a sentence; the first word of a sentence is capitalised anyway
-    named = F.regexp_replace(kept, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}'-]+", "\u0002")
-    digits = F.regexp_replace(named, r"[0-9]+(?:[.,:/][0-9]+)*", "\u0001")
-    units = F.regexp_replace(digits, rf"(?<=\u0001 ?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "\u0003")
-    plain = F.regexp_replace(units, rf"[^\p{{L}}\p{{N}}\u0001\u0002\u0003{ASCII_SPACE}]+", "")
-    return kept, F.lower(plain)
+#: What a word begins with that stands for a number, a name, a unit.
+NUMBER, NAME, UNIT, WORD = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{ASCII_SPACE}]+"), lambda w: w != "")
-
-
-PLACEHOLDER = "[\u0001\u0002\u0003]"
+    """Lower-case words without marks; numbers, names and units carry their mark in front of the value."""
+    # a capitalised word within a sentence; the first word of a sentence is capitalised anyway
+    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}'-]+", f"{NAME}$0")
+    plain = F.regexp_replace(named, rf"[^\p{{L}}\p{{N}}{NAME}{ASCII_SPACE}.,:/]+|[.,:/](?![0-9])", "")
+    digits = F.regexp_replace(plain, rf"(?<![^{ASCII_SPACE}])[.,:/]*(?=[0-9])", NUMBER)
+    units = F.regexp_replace(digits, rf"(?<=[0-9] )(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{UNIT}$0")
+    return F.filter(F.split(F.lower(units), f"[{ASCII_SPACE}]+"), lambda w: w != "")
 
 
 def templates(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """`key`, `hashes` of the template's words, and `slots` (pos, value) of its placeholders."""
-    # a word that is all marks once its digits and letters are gone can't occur: marks alone were taken out before
-    kept, plain = _marked(F.coalesce(F.col(text), F.lit("")))
-    wide = df.select(*key, kept.alias("kept"), plain.alias("plain"))
-    wide = wide.select(*key, "kept", "plain", _words(F.col("plain")).alias("template"))
-    raw = _words(F.col("kept"))
-    at = F.filter(F.transform(F.col("template"), lambda w, i: F.when(w.rlike(PLACEHOLDER), i)), lambda i: i.isNotNull())
-    none = F.array().cast("array<struct<pos:int,value:string>>")
-    slots = F.when(F.col("plain").rlike(PLACEHOLDER), F.transform(at, lambda i: F.struct(i.cast("int").alias("pos"), F.lower(F.get(raw, i)).alias("value")))).otherwise(none)
-    return wide.select(*key, F.transform("template", lambda w: F.xxhash64(w)).alias("hashes"), slots.alias("slots"))
-
-
-def _windows(width: int) -> Column:
+    # the words stand in a column of their own, so that each text is cut once
+    words = df.select(*key, _words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    hashes = F.transform("words", lambda w: F.xxhash64(F.when(w < WORD, F.substring(w, 1, 1)).otherwise(w)))
+    slots = F.filter(F.transform("words", lambda w, i: F.when(w < WORD, F.struct(i.cast("int").alias("pos"), F.substring(w, 2, 1 << 30).alias("value")))), lambda s: s.isNotNull())
+    return words.select(*key, hashes.alias("hashes"), slots.alias("slots"))
+
+
+def _windows(df: DataFrame, width: int, place: str, *columns: str) -> DataFrame:
+    """`columns`, `place` of each window and its `hash`. The rows are made before the hash, so that it is compiled."""
     n = F.size("hashes")
-    each = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(F.slice("hashes", i + 1, width)))
-    return F.when(n >= width, each).otherwise(F.array().cast("array<bigint>"))
+    starts = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+    each = df.select(*columns, "hashes", F.explode(starts).alias(place))
+    return each.select(*columns, place, F.xxhash64(*[F.get("hashes", F.col(place) + j) for j in range(width)]).alias("hash"))
 
 
 def _inside(slots: Column, start: Column, width: int) -> Column:
@@ -86,10 +80,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, win
     # at most `window` widths: that of the windows and those of shorter items
     for width in sorted(r["width"] for r in items.select("width").distinct().collect()):
         own = items.where(F.col("width") == width)
-        own = own.select("item_id", (F.size("hashes") - width + 1).alias("n_windows"), "item_slots", F.posexplode(_windows(width)).alias("item_pos", "hash"))
+        own = _windows(own.withColumn("n_windows", F.size("hashes") - width + 1), width, "item_pos", "item_id", "n_windows", "item_slots")
         own = own.withColumn("item_values", _inside(F.col("item_slots"), F.col("item_pos"), width)).drop("item_slots")
         own = own.where(width - F.size("item_values") >= min(LITERALS, width))
-        found = texts.select("doc_key", "slots", F.posexplode(_windows(width)).alias("pos", "hash")).join(own, "hash")
+        found = _windows(texts, width, "pos", "doc_key", "slots").join(own, "hash")
         pairs = F.zip_with("item_values", _inside(F.col("slots"), F.col("pos"), width), lambda a, b: F.struct(a["value"].alias("of_item"), b["value"].alias("of_doc")))
         found = found.select("doc_key", "item_id", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
         hits = found if hits is None else hits.unionByName(found)

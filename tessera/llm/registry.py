@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, decontamination, ngram_join, quality_classifier, quality_rules, sharding, warc
+from tessera.llm import chat_format, decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
 from tessera.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join.linked(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark, sf_dir):
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +43,7 @@ def op10_chat_format(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op3_quality_rules, op4_sharding, op6_quality_classifier, op7_decontamination, op9_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_quality_rules, op4_sharding, op5_packing, op6_quality_classifier, op7_decontamination, op9_warc, op10_chat_format)}
 
 
 def oracles() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
+from tessera.llm import chat_format, decontamination, lm_scoring, ngram_join, packing, pii, quality_classifier, quality_rules, sharding, warc
 from tessera.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_decontamination(spark, sf_dir):
     return decontamination.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_chat_format(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_quality_rules, op4_sharding, op5_packing, op6_quality_classifier, op7_decontamination, op9_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_quality_rules, op4_sharding, op5_packing, op6_quality_classifier, op7_decontamination, op8_pii, op9_warc, op10_chat_format)}
 
 
 def oracles() -> dict:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import in_arrow, written
 
 ROLES = ("system", "user", "assistant")
 #: The state before any turn; otherwise the role of the last message.
@@ -179,7 +179,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     # equal rows may go to any task: a salt lets the ranges cut through them
     salted = wanted.withColumn("salt", F.monotonically_increasing_id())
     ranged = salted.repartitionByRange(*order).sortWithinPartitions(*order).drop("salt")
-    table = written(ranged.mapInArrow(first_pass, schema), "chat-turns")
+    table = written(in_arrow(ranged, first_pass, schema), "chat-turns")
 
     # two stretches a partition at most
     edges = table.where("costs is not null").select("part", "side", "conv_id", "costs").orderBy("part", "side").collect()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +23,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, which need not have it installed; once for each context.
+
+    The driver serves the archive for as long as it lives; only the driver reads the file.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    pack = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera.zip"
+    with zipfile.ZipFile(pack, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(pack))
+    sc._tessera_shipped = True
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow on workers that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def new_folder(spark: SparkSession, name: str, listed: bool = True) -> str:
+    """A fresh path below the shared folder; forget_written() deletes the listed ones."""
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if listed:
+        _WRITTEN.append(path)
     return path
 
 
@@ -37,18 +64,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget_written(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that operators have left in the shared folder, but for the last `keep`.
+def forget_written(spark: SparkSession) -> None:
+    """Delete the tables that operators have left in the shared folder.
 
     Only for callers that have written their results: a DataFrame that still reads such a table fails afterwards.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = _WRITTEN[: len(_WRITTEN) - keep]
-    for p in gone:
+    while _WRITTEN:
+        p = _WRITTEN.pop()
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    del _WRITTEN[: len(gone)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +87,8 @@ def crc_of_id(doc_id: Column) -> Column:
 
 
 def unused(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
+    """A prefix, made of name, that no column of df begins with."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
         name = f"_{name}"
     return name
 

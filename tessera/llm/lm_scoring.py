@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import crc_of_id, text_bytes, written
+from tessera.llm.common import crc_of_id, in_arrow, text_bytes, written
 
 WORDS, BUCKETS = 7168, 1023
 #: Unit 0 is the end, and what comes before the first word.
@@ -75,7 +75,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                     count.clear()
         yield from out(count)
 
-    return docs.select("text").mapInArrow(run, "hash bigint, word binary, bucket int, n bigint")
+    return in_arrow(docs.select("text"), run, "hash bigint, word binary, bucket int, n bigint")
 
 
 def _pair_counts(docs: DataFrame, units) -> DataFrame:
@@ -104,7 +104,7 @@ def _pair_counts(docs: DataFrame, units) -> DataFrame:
         if held:
             yield from out()
 
-    return docs.select("text").mapInArrow(run, "pair bigint, n bigint")
+    return in_arrow(docs.select("text"), run, "pair bigint, n bigint")
 
 
 def train_shard(before: np.ndarray, after: np.ndarray, n: np.ndarray, h: np.ndarray, q: np.ndarray, b: np.ndarray, noise: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +231,7 @@ def _parts(docs: DataFrame, shared) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def scored(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import written
+from tessera.llm.common import in_arrow, text_bytes, written
 
 SKETCH_BITS = 22
 SHARED = 3
@@ -130,25 +130,18 @@ class Trie:
                 todo.append((below, depth + len(run), shared + hit, passed + int(np.searchsorted(keys[passed:], run[-1], side="right"))))
 
 
-def _flat(batches, with_id: bool):
-    """(id, text) of the rows of Arrow batches."""
-    from tessera.llm.common import text_bytes
-
-    for b in batches:
-        yield b.column(0) if with_id else None, text_bytes(b)
-
-
 def _sets_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """A row for each document (doc_id, n_shingles, sig) and rows with counters of what a task has read."""
+    """A row for each document (doc_id, doc_key, n_shingles, sig) and rows with counters of what a task has read."""
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("doc_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
         held = np.zeros(1 << bits, np.uint16)
         arrow = None
-        for ids, texts in _flat(batches, True):
+        for b in batches:
+            ids, texts = b.column(0), text_bytes(b)
             arrow = ids.type
             sizes, sigs, shift = [], [], _U(64 - bits)
             for raw in texts:
@@ -158,14 +151,19 @@ def _sets_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 at, c = np.unique((k >> shift).astype(np.int64), return_counts=True)
                 held[at] = np.minimum(held[at].astype(np.int64) + c, 65535)
             m = len(sizes)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=schema.names)
         if arrow is not None:
             pieces = np.split(held, 64)
             used = [i for i, p in enumerate(pieces) if p.any()]
             m = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, arrow), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(used, pa.int32()), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, arrow), *[pa.nulls(m, pa.int64())] * 3, pa.array(used, pa.int32()), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=schema.names)
+
+    return in_arrow(docs.select("doc_id", "text", doc_key(docs).alias("doc_key")), run, schema)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+def doc_key(docs: DataFrame) -> Column:
+    """Tells rows of different ids or texts apart."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
 def _ranks(seen: DataFrame, bits: int) -> np.ndarray:
@@ -198,7 +196,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
         import pyarrow as pa
 
         ranks = sketch.value
-        for _, texts in _flat(batches, False):
+        for texts in map(text_bytes, batches):
             tokens, sigs, sizes, known = [], [], [], set()
             for raw in texts:
                 k = shingle_set(raw, n)
@@ -213,7 +211,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
             for i in range(0, len(tokens), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[i : i + 500])) for x in (tokens, sigs, sizes)], names=["token", "sig", "size"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, sig bigint, size int")
+    return in_arrow(docs.select("text"), run, "token bigint, sig bigint, size int")
 
 
 def _chosen_sets(docs: DataFrame, n: int, sketch, bloom) -> DataFrame:
@@ -223,7 +221,7 @@ def _chosen_sets(docs: DataFrame, n: int, sketch, bloom) -> DataFrame:
         import pyarrow as pa
 
         ranks, bits = sketch.value, bloom.value
-        for _, texts in _flat(batches, False):
+        for texts in map(text_bytes, batches):
             sigs, keys, known = [], [], set()
             for raw in texts:
                 k = shingle_set(raw, n)
@@ -238,7 +236,7 @@ def _chosen_sets(docs: DataFrame, n: int, sketch, bloom) -> DataFrame:
                     sigs, keys = [], []
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(keys, pa.binary())], names=["sig", "keys"])
 
-    return docs.select("text").mapInArrow(run, "sig bigint, keys binary")
+    return in_arrow(docs.select("text"), run, "sig bigint, keys binary")
 
 
 #: Bits of the filter that thins out sets before they are joined; 4 MB whatever the input. It may only let too many pass.
@@ -344,7 +342,7 @@ def _needed(x: Column, y: Column, percent: int) -> Column:
 
 
 def classes(docs: DataFrame, n: int, percent: int, hubs: int = 2, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, n_shingles, sig) for each document, and the roots of the classes that are linked with another."""
+    """(doc_id, doc_key, n_shingles, sig) for each document, and the roots of the classes that are linked with another."""
     spark = docs.sparkSession
     seen = written(_sets_and_sketch(docs, n, bits), "ngram-seen")
     sketch = spark.sparkContext.broadcast(_ranks(seen, bits))
@@ -370,7 +368,7 @@ def classes(docs: DataFrame, n: int, percent: int, hubs: int = 2, bits: int = SK
         new = written(_verified(pairs, docs, n, percent, sketch), "ngram-links")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
-    return seen.where("part is null").select("doc_id", "n_shingles", "sig"), roots
+    return seen.where("part is null").select("doc_id", "doc_key", "n_shingles", "sig"), roots
 
 
 def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -382,3 +380,21 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     least = written(ids.groupBy("root").agg(F.min("least").alias("component_id")).join(ids.select("sig", "root"), "root").select(F.col("sig").alias("_sig"), "component_id"), "ngram-least")
     found = full.join(least, F.col("sig") == F.col("_sig")).select("doc_id", "n_shingles", "component_id", "sig")
     return found.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, of each component only one: that with the least id, nulls last.
+
+    Documents with an empty set are linked with nothing and stay.
+    """
+    rows, roots = classes(docs, n, percent)
+    rows = written(_with_root(rows.where("n_shingles > 0"), roots), "ngram-rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")).alias("best")).select("root", F.col("best.doc_key").alias("best_key"))
+    # written, so that the joins' strategy follows the size of the tables
+    gone = written(rows.join(best, "root").where("doc_key <> best_key").select(F.col("doc_key").alias("gone_key")).distinct(), "ngram-gone")
+    again = written(rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("doc_key").alias("again_key")), "ngram-again")
+    left = docs.join(gone, doc_key(docs) == gone["gone_key"], "left_anti")
+    single = left.join(again, doc_key(left) == again["again_key"], "left_anti")
+    # rows that are repeated with id and text: few, or the join wouldn't be here
+    double = left.join(again, doc_key(left) == again["again_key"], "inner").dropDuplicates(["again_key"]).select(*docs.columns)
+    return single.unionByName(double)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import written
+from tessera.llm.common import in_arrow, written
 
 SEQUENCE = 2048
 END = 0
@@ -204,7 +204,7 @@ def pieces(docs: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def packed(docs: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 CONFIDENT = 0.9
@@ -249,7 +251,7 @@ def _counts(docs: DataFrame) -> DataFrame:
         cols = list(zip(*((t, c, n) for (t, c), n in count.items()))) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["part", "code", "n"])
 
-    return docs.select("text").mapInArrow(run, "part int, code int, n bigint").groupBy("part", "code").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select("text"), run, "part int, code int, n bigint").groupBy("part", "code").agg(F.sum("n").alias("n"))
 
 
 def trained(docs: DataFrame) -> Field:
@@ -282,7 +284,7 @@ def found(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.string()) for c in cols[4:]], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -313,4 +315,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                 cols[n] = pa.array([None if t is None else len(t) for t in texts], cols[n].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

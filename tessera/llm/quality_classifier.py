@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_of_id, written
+from tessera.llm.common import crc_of_id, unused, written
 from tessera.llm.textstats import FIELDS, with_counts
 
 #: Labelled rows that are learned from at most.
@@ -28,14 +28,18 @@ MAX_ROWS = 20_000
 TREES, DEPTH, CUTS = 24, 3, 24
 
 
-def statistics() -> dict[str, Column]:
+def statistics(prefix: str = "") -> dict[str, Column]:
     """Features as column expressions over the counts; never null."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    letters = F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1))
-    lines = F.greatest(F.col("n_lines"), F.lit(1))
+
+    def col(name: str) -> Column:
+        return F.col(prefix + name)
+
+    words = F.greatest(col("n_words"), F.lit(1))
+    letters = F.greatest(col("n_upper") + col("n_lower"), F.lit(1))
+    lines = F.greatest(col("n_lines"), F.lit(1))
     by_word = ("word_chars", "n_symbols", "n_repeat_words", "n_distinct", "n_digits", "n_marks", "n_bars", "n_stops", "n_commas", "n_long_words", "n_one_char", "n_title")
-    found = {f"{c}_a_word": F.col(c) / words for c in by_word}
-    found |= {"upper_a_letter": F.col("n_upper") / letters, "dup_a_line": F.col("n_dup_lines") / lines, "words_a_line": F.col("n_words") / lines, "log_words": F.log(1.0 + F.col("n_words")), "letters_a_char": (F.col("n_upper") + F.col("n_lower")) / F.greatest(F.col("word_chars"), F.lit(1))}
+    found = {f"{c}_a_word": col(c) / words for c in by_word}
+    found |= {"upper_a_letter": col("n_upper") / letters, "dup_a_line": col("n_dup_lines") / lines, "words_a_line": col("n_words") / lines, "log_words": F.log(1.0 + col("n_words")), "letters_a_char": (col("n_upper") + col("n_lower")) / F.greatest(col("word_chars"), F.lit(1))}
     return {k: v.cast("double") for k, v in found.items()}
 
 
@@ -140,21 +144,39 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 1, penalty:
     return Ensemble(names, bias, [(r, float(v)) for r, v in zip(given, w) if abs(v) > 1e-6])
 
 
-def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, hold_out: bool = True) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document. hold_out: don't learn from rows that are held out."""
-    counted = written(with_counts(docs), "classifier-counts")
+def sample(labels: DataFrame, max_rows: int = MAX_ROWS, hold_out: bool = True) -> DataFrame:
+    """doc_id and quality of max_rows labelled rows at most, by a hash of the id."""
+    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    if hold_out:
+        marked = marked.where(crc_of_id(F.col("doc_id")) % 3 != 1)
+    return marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
+
+
+def learned(counted: DataFrame, marked: DataFrame) -> Ensemble:
+    """An ensemble from counts of documents and the labels of some of them."""
     stats = statistics()
     names = list(stats)
-    held = crc_of_id(F.col("doc_id")) % 3 == 1
-    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
-    if hold_out:
-        marked = marked.where(~held)
-    # the ids first, so that the bound holds before anything is joined
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     # of rows that share an id, the one with the least counts
     one = counted.groupBy("doc_id").agg(F.min(F.struct(*FIELDS)).alias("least")).select("doc_id", "least.*")
     rows = one.join(marked, "doc_id").select("quality", *[v.alias(k) for k, v in stats.items()]).toPandas().sort_values(["quality", *names])
-    model = fit(rows[names].to_numpy(dtype=float), rows["quality"].to_numpy(dtype=int), names)
-    return counted.select("doc_id", held.alias("held_out"), *FIELDS).withColumns({f"stat_{k}": v for k, v in stats.items()}).select(
-        "doc_id", "held_out", model.expression({k: F.col(f"stat_{k}") for k in names}).alias("score")
-    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return fit(rows[names].to_numpy(dtype=float), rows["quality"].to_numpy(dtype=int), names)
+
+
+def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, hold_out: bool = True) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document. hold_out: don't learn from rows that are held out."""
+    counted = written(with_counts(docs), "classifier-counts")
+    model = learned(counted, sample(labels, max_rows, hold_out))
+    # the features stand in columns of their own, so that each is computed once
+    wide = counted.select("doc_id", *[v.alias(k) for k, v in statistics().items()])
+    out = wide.select("doc_id", (crc_of_id(F.col("doc_id")) % 3 == 1).alias("held_out"), model.expression({k: F.col(k) for k in model.names}).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, hold_out: bool = True) -> DataFrame:
+    """The documents that are predicted to have label 1, with all their columns; no text is shuffled."""
+    # at most max_rows ids
+    marked = written(sample(labels, max_rows, hold_out), "classifier-labels")
+    own = docs.select("doc_id", "text").join(F.broadcast(marked.select("doc_id").distinct()), "doc_id")
+    model = learned(written(with_counts(own), "classifier-counts"), marked)
+    prefix = unused(docs, "stat_")
+    return with_counts(docs, prefix).where(model.expression(statistics(prefix)) >= 0.5).select(*docs.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from tessera.llm import chat_format, decontamination, lm_scoring, ngram_join, packing, pii, quality_classifier, quality_rules, sharding, warc
 from tessera.llm.common import table
 
@@ -47,8 +49,8 @@ def op10_chat_format(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_quality_rules, op4_sharding, op5_packing, op6_quality_classifier, op7_decontamination, op8_pii, op9_warc, op10_chat_format)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_quality_rules, op4_sharding, op5_packing, op6_quality_classifier, op7_decontamination, op8_pii, op9_warc, op10_chat_format)}
 
 
 def oracles() -> dict:
-    return {}
+    return {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}

@@ -12,6 +12,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.common import in_arrow, text_bytes
+
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 
@@ -56,17 +58,18 @@ def counts(raw: bytes | None) -> tuple[int, ...]:
     )
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and FIELDS as longs, one row for each row of docs; texts stay where they are read."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + [T.StructField(c, T.LongType()) for c in FIELDS])
+def with_counts(docs: DataFrame, prefix: str | None = None) -> DataFrame:
+    """doc_id and FIELDS as longs, one row for each row of docs; with a prefix, all columns and FIELDS under it."""
+    kept = docs.select("doc_id", "text") if prefix is None else docs
+    out = [docs.schema["doc_id"]] if prefix is None else list(docs.schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out] + [T.StructField((prefix or "") + c, T.LongType()) for c in FIELDS])
+    n = len(out)
 
     def run(batches):
         import pyarrow as pa
 
-        from tessera.llm.common import text_bytes
-
         for b in batches:
             found = list(zip(*map(counts, text_bytes(b)))) or [()] * len(FIELDS)
-            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(x, pa.int64()) for x in found], names=["doc_id", *FIELDS])
+            yield pa.RecordBatch.from_arrays(b.columns[:n] + [pa.array(x, pa.int64()) for x in found], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)

@@ -29,7 +29,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_folder, written
+from tessera.llm.common import in_arrow, new_folder, written
 
 REVISIT_BYTES = 1000
 STEP = 256 << 10
@@ -211,7 +211,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     key = F.udf(lambda u: url_key(_header_value(u)) if u is not None else "", "string")
     time = F.udf(captured_at, "string")
     placed = _kinds(pages).withColumns({"key": key("url"), "time": time("page_id")}).sortWithinPartitions("key", "time", F.col("page_id").asc_nulls_first())
-    return placed.drop("key", "time").mapInArrow(run, "run string, size bigint, offset bigint, key string, time string, page_id bigint")
+    return in_arrow(placed.drop("key", "time"), run, "run string, size bigint, offset bigint, key string, time string, page_id bigint")
 
 
 def merged(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -284,7 +284,7 @@ def merged(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
     given = index.groupBy("run").applyInArrow(lambda key, t: slices(key, t), "range int, run string, start bigint, end bigint")
     given = given.select("range", "run", "start", "end").repartition(ranges, "range").sortWithinPartitions("range", "run")
-    return given.mapInArrow(merge, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url_key string, captured string, range int, place bigint")
+    return in_arrow(given, merge, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url_key string, captured string, range int, place bigint")
 
 
 NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "place"]

@@ -33,7 +33,7 @@ from tessera.llm.common import crc_of_id, in_arrow, text_bytes, written
 WORDS, BUCKETS = 7168, 1023
 #: Unit 0 is the end, and what comes before the first word.
 UNITS = 1 + WORDS + BUCKETS
-KNOWN = 1 << 18
+KNOWN = 1 << 17
 #: Longer words are never among the KNOWN.
 LONGEST = 64
 SHARDS, ROUNDS, EPOCHS, DIM, NOISE = 8, 3, 8, 32, 4.0
@@ -234,6 +234,27 @@ def _parts(docs: DataFrame, shared) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
+def _commonest(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """At most KNOWN words with their counts, commonest first: those above a count that a histogram gives.
+
+    A histogram has a few thousand bins whatever the corpus, and only the chosen words leave the executors.
+    """
+    size = F.floor(64 * F.log2("n")).cast("int")
+    given = counts.where("word is not null")
+    bins = sorted(given.groupBy(size.alias("bin")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)
+    room, least = KNOWN, None
+    for r in bins:
+        if r["words"] > room:
+            break
+        room, least = room - r["words"], r["bin"]
+    if least is None:
+        return [], np.zeros(0)
+    # in Arrow: as rows of Python objects they would be many times larger
+    top = given.where(size >= least).select("word", "n").toArrow()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
+    return top.column("word").to_pylist(), top.column("n").to_numpy().astype(float)
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -244,19 +265,20 @@ def scored(docs: DataFrame) -> DataFrame:
     ends = train.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = sums[0] + ends, sums[1] + (ends > 0)
-    top = counts.where("word is not null").orderBy(F.desc("n"), "word").select("word", "n").limit(KNOWN).collect()
-    unit = {bytes(r["word"]): i + 1 for i, r in enumerate(top[:WORDS])}
+    words, times = _commonest(counts)
+    unit = {w: i + 1 for i, w in enumerate(words[:WORDS])}
     classes = counts.join(F.broadcast(spark.createDataFrame([(k,) for k in unit] or [(b"\x00",)], "word binary")), "word", "left_anti").groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     in_class, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in classes:
         in_class[r["bucket"] - 1 - WORDS], kinds[r["bucket"] - 1 - WORDS] = r["n"], r["v"]
-    seen = np.concatenate([[ends], [r["n"] for r in top[:WORDS]], np.zeros(WORDS - len(unit)), in_class]) + 0.1
+    seen = np.concatenate([[ends], times[:WORDS], np.zeros(WORDS - len(unit)), in_class]) + 0.1
     pairs = written(_pair_counts(train, spark.sparkContext.broadcast(unit)).groupBy("pair").agg(F.sum("n").alias("n")), "lm-pair-counts")
     model = _trained(pairs, seen / seen.sum())
 
-    code = {bytes(r["word"]): i for i, r in enumerate(top)}
+    code = {w: i for i, w in enumerate(words)}
+    del words
     unit_of = np.array([unit.get(w) or bucket(w) for w in code] + [0], np.int64)
-    log_c = np.log10(np.array([r["n"] for r in top] + [0], float) + 0.1)
+    log_c = np.log10(np.append(times, 0.0) + 0.1)
     log_share = np.log10(in_class + 0.1 * (kinds + 1))
     shared = spark.sparkContext.broadcast((model, code, unit_of, log_c, log_share, float(np.log10(ends + 0.1)), int(ends > 0), float(np.log10(total + 0.1 * (distinct + 1)))))
     parts = written(_parts(docs, shared).withColumn("row", F.monotonically_increasing_id()), "lm-parts")

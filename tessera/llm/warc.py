@@ -34,6 +34,10 @@ from tessera.llm.common import in_arrow, new_folder, written
 REVISIT_BYTES = 1000
 STEP = 256 << 10
 RANGE_BYTES = 16 << 20
+#: Ranges are wider than RANGE_BYTES where there would be more of them.
+MOST_RANGES = 10_000
+#: Of the buffers that a task reads its slices through.
+BUFFERS = 64 << 20
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -218,9 +222,10 @@ def merged(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Every capture of the runs in global order of (url_key, captured, page_id): by `range`, and by `place` in it."""
     spark = index.sparkSession
     total = index.groupBy("run").agg(F.max("size").alias("size")).agg(F.sum("size")).first()[0] or 0
-    ranges = max(1, -(-total // range_bytes))
-    # a sample that the number of ranges bounds
-    picked = index.orderBy(F.xxhash64("run", "offset")).select("key", "time", "page_id").limit(16 * ranges).collect()
+    ranges = max(1, min(MOST_RANGES, -(-total // range_bytes)))
+    # a sample that the number of ranges bounds: 16 for each, thinned where the index is kept
+    share = min(1.0, 16 * ranges * STEP / max(1, total))
+    picked = index.where(F.xxhash64("run", "offset") <= int(share * (2**64 - 1)) - 2**63).select("key", "time", "page_id").collect()
     keys = sorted(sort_key(r["key"], r["time"], r["page_id"]) for r in picked)
     cuts = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
     shared = spark.sparkContext.broadcast(cuts)
@@ -246,9 +251,9 @@ def merged(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
         bounds = shared.value
 
-        def within(n, run, start, end):
+        def within(n, run, start, end, chunk):
             low, high = bounds[n - 1] if n else None, bounds[n] if n < len(bounds) else None
-            for raw in members(run, start, end, max(4096, min(64 << 10, end - start))):
+            for raw in members(run, start, end, max(4096, min(chunk, end - start))):
                 found = parse(raw)
                 if high is not None and found[0] >= high:
                     return
@@ -263,7 +268,7 @@ def merged(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
         def one(n, given):
             rows, place = [], 0
-            for r in LoserTree([within(n, *g) for g in given]):
+            for r in LoserTree([within(n, *g, min(64 << 10, BUFFERS // len(given))) for g in given]):
                 rows.append(r)
                 if len(rows) == 5000:
                     yield out(rows, n, place)

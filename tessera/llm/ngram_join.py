@@ -10,12 +10,14 @@ How it stays whole and even at any size:
 * Equal sets are one class from the start, told by a 64-bit digest, so copies never meet one another.
 * The order needs only rough counts: a sketch of 2**SKETCH_BITS counters over all shingles of all documents. A
   wrong count costs time, never a link.
-* A pair must share SHARED prefix shingles (or all it has to share, where that is less), which single chance
-  meetings don't.
-* First, each shingle's sets are held against one hub of theirs: a row for each member. Components of those links
-  are contracted. Only sets of different components that share shingles are paired after that, so a large group of
-  near copies costs its size and not its square.
-* Sets travel to a probe in groups of GROUP at most; a hub's members are spread over as many groups as they need.
+* A prefix is longer than it has to be, so that a pair must share needed() prefix shingles; a set that has fewer in
+  common with all others together is out, which chance meetings don't survive.
+* Every prefix shingle names as its hub the set that is most in touch with others, and all sets that have the shingle
+  belong to that hub's region. Any two sets that share a shingle are so in one region. A region's sets are joined in
+  one trie: the hub probes first, and then only sets that are not yet in the hub's component, so a large group of
+  near copies costs a few probes and not all pairs.
+* A region of more than LANE_KEYS keys is spread over lanes; what is outside of the hub's component after that also
+  probes the other lanes.
 
 Nulls, empty texts and texts without words have an empty set, are linked with nothing, and their component is their
 own id. A text of fewer words than a shingle is one shingle of all its words. Null ids are ignored by the minimum and
@@ -25,6 +27,8 @@ gives an empty result. Further columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +36,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import in_arrow, text_bytes, written
 
-SKETCH_BITS = 22
-SHARED = 3
-GROUP = 256
+SKETCH_BITS = 24
+LANE_KEYS = 1 << 21
 
 _U = np.uint64
 
@@ -79,6 +82,11 @@ def least_shared(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
+def needed(n: int, percent: int) -> int:
+    """Prefix shingles that a set of n shares with any similar set that is as large or larger."""
+    return min(2 + -(-(100 - percent) * n // 400), least_shared(n, percent))
+
+
 def ordered(keys: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The keys of a set in global order: the sketch's rank in the upper 6 bits, 58 bits of the hash below."""
     with np.errstate(over="ignore"):
@@ -121,13 +129,19 @@ class Trie:
             if 100 * shared >= percent * (n + depth - shared):
                 yield from node.ends
             for run, below, longest, shortest in node.edges.values():
-                # at best all that remains of the shorter side is shared
-                most = shared + min(longest, n - passed)
-                if 100 * most < percent * max(n, depth + shortest, n + depth + shortest - most):
-                    continue
-                at = passed + np.searchsorted(keys[passed:], run)
-                hit = int((keys[np.minimum(at, n - 1)] == run).sum())
-                todo.append((below, depth + len(run), shared + hit, passed + int(np.searchsorted(keys[passed:], run[-1], side="right"))))
+                hits, at, high = shared, passed, longest
+                for i in range(0, len(run), 64):
+                    # at best all that remains of the shorter side is shared
+                    most = hits + min(high, n - at)
+                    if 100 * most < percent * max(n, depth + shortest, n + depth + shortest - most):
+                        break
+                    piece = run[i : i + 64]
+                    place = at + np.searchsorted(keys[at:], piece)
+                    hits += int(np.count_nonzero(keys[np.minimum(place, n - 1)] == piece))
+                    at += int(np.searchsorted(keys[at:], piece[-1], side="right"))
+                    high -= len(piece)
+                else:
+                    todo.append((below, depth + len(run), hits, at))
 
 
 def _sets_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
@@ -138,7 +152,7 @@ def _sets_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        held = np.zeros(1 << bits, np.uint16)
+        held = np.zeros(1 << bits, np.uint8)
         arrow = None
         for b in batches:
             ids, texts = b.column(0), text_bytes(b)
@@ -148,15 +162,15 @@ def _sets_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 k = shingle_set(raw, n)
                 sizes.append(len(k))
                 sigs.append(digest(k))
-                at, c = np.unique((k >> shift).astype(np.int64), return_counts=True)
-                held[at] = np.minimum(held[at].astype(np.int64) + c, 65535)
+                at = (k >> shift).astype(np.int64)
+                held[at] = np.minimum(held[at], 254) + 1
             m = len(sizes)
             yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=schema.names)
         if arrow is not None:
             pieces = np.split(held, 64)
             used = [i for i, p in enumerate(pieces) if p.any()]
             m = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, arrow), *[pa.nulls(m, pa.int64())] * 3, pa.array(used, pa.int32()), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, arrow), *[pa.nulls(m, pa.int64())] * 3, pa.array(used, pa.int32()), pa.array([zlib.compress(pieces[i].tobytes(), 1) for i in used], pa.binary())], names=schema.names)
 
     return in_arrow(docs.select("doc_id", "text", doc_key(docs).alias("doc_key")), run, schema)
 
@@ -167,26 +181,28 @@ def doc_key(docs: DataFrame) -> Column:
 
 
 def _ranks(seen: DataFrame, bits: int) -> np.ndarray:
-    """The sketch as one byte a counter: log2 of the count in half steps from 8 up. 2**bits bytes at any input."""
+    """The sketch as one byte a counter, a logarithm of the count. 2**bits bytes at any input."""
 
     def add(key, table):
         import pyarrow as pa
 
         total = np.zeros((1 << bits) // 64, np.int64)
         for raw in table.column("counts").to_pylist():
-            total += np.frombuffer(raw, np.uint16 if len(raw) * 64 == 2 << bits else np.uint32)
-        raw = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
+            raw = zlib.decompress(raw)
+            total += np.frombuffer(raw, np.uint8 if len(raw) * 64 == 1 << bits else np.uint32)
+        raw = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([raw], pa.binary())})
 
     parts = seen.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(256)).alias("lane"))
     lanes = parts.groupBy("part", "lane").applyInArrow(lambda key, table: add(key, table), "part int, counts binary")
     rows = lanes.groupBy("part").applyInArrow(lambda key, table: add(key, table), "part int, counts binary").collect()
-    sums = np.zeros(1 << bits, np.int64)
+    sums = np.zeros(1 << bits, np.uint32)
     wide = (1 << bits) // 64
     for r in rows:
-        sums[r["part"] * wide : (r["part"] + 1) * wide] = np.frombuffer(r["counts"], np.uint32)
-    typical = max(1.0, float(np.median(sums)))
-    return np.clip(np.floor(2 * np.log2(np.maximum(sums, 1) / typical + 1) - 2), 0, 62).astype(np.uint8)
+        sums[r["part"] * wide : (r["part"] + 1) * wide] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    typical = max(1.0, float(sums.mean()))
+    # third steps of log2: fine enough to tell one from two where counters are seldom shared
+    return np.clip(np.floor(3 * np.log2(sums.astype(np.float32) / np.float32(typical) + 1)), 0, 62).astype(np.uint8)
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
@@ -204,7 +220,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
                 if len(k) == 0 or d in known:  # copies side by side
                     continue
                 known.add(d)
-                o = ordered(k, ranks)[: len(k) - least_shared(len(k), percent) + SHARED]
+                o = ordered(k, ranks)[: len(k) - least_shared(len(k), percent) + needed(len(k), percent)]
                 tokens.append(o.view(np.int64))
                 sigs.append(np.full(len(o), d, np.int64))
                 sizes.append(np.full(len(o), len(k), np.int32))
@@ -268,43 +284,105 @@ def _bloom(sigs: DataFrame) -> np.ndarray:
     return total
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
-    """Links (a, b) among candidate pairs (probe, member)."""
-    spark = docs.sparkSession
-    both = pairs.select(F.explode(F.array("probe", "member")).alias("sig")).distinct()
-    bloom = spark.sparkContext.broadcast(_bloom(both))
-    sets = written(_chosen_sets(docs, n, sketch, bloom).dropDuplicates(["sig"]), "ngram-sets")
-    # the members of a probe in groups, each of which gets the probe's set
-    sizes = pairs.groupBy("probe").agg(F.count(F.lit(1)).alias("members"))
-    lanes = sizes.withColumn("lanes", F.ceil(F.col("members") / GROUP).cast("int"))
-    placed = pairs.join(lanes, "probe").withColumn("lane", F.pmod(F.xxhash64("member"), F.col("lanes")).cast("int"))
-    members = placed.select("probe", "lane", "member").join(sets, F.col("member") == F.col("sig")).select("probe", "lane", F.col("member").alias("sig"), "keys")
-    probes = placed.select("probe", "lane").distinct().join(sets, F.col("probe") == F.col("sig")).select("probe", "lane", F.col("probe").alias("sig"), "keys")
-
-    def join(frames):
+def _links(groups: DataFrame, percent: int, join) -> DataFrame:
+    """What join(rows) says of each group (hub, lane); groups: hub, lane, sig, probe, keys."""
+
+    def run(frames):
         import pyarrow as pa
 
-        now, trie, probe = None, Trie(), None
-        for b in frames:
-            found = ([], [])
-            for p, lane, sig, raw in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if (p, lane) != now:
-                    if probe is not None:
-                        for name in trie.probe(probe, percent):
-                            found[0].append(now[0])
-                            found[1].append(name)
-                    now, trie, probe = (p, lane), Trie(), None
-                keys = np.frombuffer(raw, _U)
-                if sig == p:
-                    probe = keys
-                else:
-                    trie.add(keys, sig)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
-        if probe is not None:
-            last = list(trie.probe(probe, percent))
-            yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(last), pa.int64()), pa.array(last, pa.int64())], names=["a", "b"])
+        def out(found):
+            cols = list(zip(*found)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "lane"])
 
-    return members.unionByName(probes).repartition("probe", "lane").sortWithinPartitions("probe", "lane").mapInArrow(join, "a bigint, b bigint")
+        now, rows = None, []
+        for b in frames:
+            found = []
+            for hub, lane, sig, probe, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if (hub, lane) != now:
+                    if rows:
+                        found += join(now, rows)
+                    now, rows = (hub, lane), []
+                rows.append((sig, probe, np.frombuffer(raw, _U)))
+            yield out(found)
+        if rows:
+            yield out(join(now, rows))
+
+    dealt = groups.select("hub", "lane", "sig", "probe", "keys").repartition("hub", "lane").sortWithinPartitions("hub", "lane")
+    return dealt.mapInArrow(run, "a bigint, b bigint, lane int")
+
+
+def _probed(percent: int):
+    """Rows marked as probes against the other rows of their group."""
+
+    def join(now, rows):
+        trie, found = Trie(), []
+        for sig, probe, keys in rows:
+            if not probe:
+                trie.add(keys, sig)
+        for sig, probe, keys in rows:
+            if probe:
+                found += [(sig, name, -1) for name in trie.probe(keys, percent) if name != sig]
+        return found
+
+    return join
+
+
+def _spanned(percent: int):
+    """Links that span the components of a group, and (hub, sig, lane) of sets that are outside of the hub's."""
+
+    def join(now, rows):
+        hub, lane = now
+        sets = {sig: keys for sig, _, keys in rows}
+        if len(sets) < 2:
+            return []
+        trie = Trie()
+        for sig, keys in sets.items():
+            trie.add(keys, sig)
+        parent = {sig: sig for sig in sets}
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        # those that share most with the others first: they link most
+        every = np.concatenate(list(sets.values()))
+        kinds, times = np.unique(every, return_counts=True)
+        touch = {sig: float(times[np.searchsorted(kinds, keys)].mean()) for sig, keys in sets.items()}
+        found = []
+        for sig in [hub, *sorted(sets, key=lambda x: (-touch[x], x))]:
+            if sig == hub and found or sig not in sets or (sig != hub and top(sig) == top(hub)):
+                continue
+            for name in trie.probe(sets[sig], percent):
+                x, y = top(sig), top(name)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((sig, name, -1))
+        return found + [(hub, sig, lane) for sig in sets if top(sig) != top(hub)]
+
+    return join
+
+
+def _with_sets(df: DataFrame, sets: DataFrame) -> DataFrame:
+    return df.join(sets.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig")).drop("_sig")
+
+
+def _region_links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within regions (hub, sig, size), each hub being in its own."""
+    lanes = regions.groupBy("hub").agg(F.ceil(F.sum("size") / LANE_KEYS).cast("int").alias("lanes"))
+    placed = regions.join(lanes, "hub").withColumn("lane", F.pmod(F.xxhash64("sig"), F.col("lanes")).cast("int"))
+    hubs = lanes.select("hub", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("hub").alias("sig"))
+    rows = placed.where("sig <> hub").select("hub", "lane", "sig", "lanes").unionByName(hubs.withColumn("lanes", F.lit(0)))
+    found = written(_links(_with_sets(rows.withColumn("probe", F.lit(False)), sets), percent, _spanned(percent)), "ngram-region-links")
+    wide = written(lanes.where("lanes > 1"), "ngram-wide")
+    if wide.isEmpty():
+        return found.where("lane < 0").select("a", "b")
+    # sets outside of their hub's component probe the region's other lanes
+    rest = found.where("lane >= 0").select(F.col("a").alias("hub"), F.col("b").alias("sig"), F.col("lane").alias("own")).join(wide, "hub")
+    probes = rest.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).where("lane <> own").select("hub", "lane", "sig", F.lit(True).alias("probe"))
+    members = placed.join(wide.select("hub"), "hub", "left_semi").where("sig <> hub").select("hub", "lane", "sig", F.lit(False).alias("probe"))
+    across = written(_links(_with_sets(members.unionByName(probes), sets), percent, _probed(percent)), "ngram-wide-links")
+    return found.where("lane < 0").select("a", "b").unionByName(across.select("a", "b"))
 
 
 def components(links: DataFrame, name: str = "ngram-components") -> DataFrame:
@@ -325,23 +403,12 @@ def components(links: DataFrame, name: str = "ngram-components") -> DataFrame:
         roots = step.select("sig", F.col("next").alias("root"))
 
 
-def _with_root(df: DataFrame, roots: DataFrame | None, key: str = "sig", name: str = "root") -> DataFrame:
-    if roots is None:
-        return df.withColumn(name, F.col(key))
+def _with_root(df: DataFrame, roots: DataFrame, key: str = "sig", name: str = "root") -> DataFrame:
     r = roots.select(F.col("sig").alias("_sig"), F.col("root").alias("_root"))
     return df.join(r, F.col(key) == F.col("_sig"), "left").withColumn(name, F.coalesce("_root", key)).drop("_sig", "_root")
 
 
-def _long_enough(x: Column, y: Column, percent: int) -> Column:
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-
-def _needed(x: Column, y: Column, percent: int) -> Column:
-    """Prefix shingles that a pair has to share."""
-    return F.least(F.lit(SHARED), F.ceil(F.greatest(x, y) * percent / 100).cast("int"))
-
-
-def classes(docs: DataFrame, n: int, percent: int, hubs: int = 2, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame | None]:
+def classes(docs: DataFrame, n: int, percent: int, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, doc_key, n_shingles, sig) for each document, and the roots of the classes that are linked with another."""
     spark = docs.sparkSession
     seen = written(_sets_and_sketch(docs, n, bits), "ngram-seen")
@@ -349,26 +416,22 @@ def classes(docs: DataFrame, n: int, percent: int, hubs: int = 2, bits: int = SK
     every = written(_prefixes(docs, n, percent, sketch), "ngram-prefixes")
     shared = every.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
     live = written(every.join(shared, "token").groupBy("token", "sig").agg(F.first("size").alias("size")), "ngram-live")
-    links = roots = None
-    for turn in range(hubs + 1):
-        rooted = _with_root(live, roots)
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "sig").alias("h"), "sig", "size")).alias("hub")).where("low <> high")
-        if turn < hubs:
-            pairs = rooted.join(mixed.select("token", F.col("hub.sig").alias("probe"), F.col("hub.size").alias("probe_size")), "token").where(F.col("probe") != F.col("sig"))
-            pairs = pairs.select("probe", "probe_size", F.col("sig").alias("member"), "size")
-        else:
-            own = rooted.join(mixed.select("token"), "token")
-            other = own.select("token", F.col("sig").alias("probe"), F.col("size").alias("probe_size"), F.col("root").alias("probe_root"))
-            pairs = own.join(other, "token").where((F.col("root") != F.col("probe_root")) & (F.col("probe") < F.col("sig")))
-            pairs = pairs.select("probe", "probe_size", F.col("sig").alias("member"), "size")
-        pairs = pairs.where(_long_enough(F.col("size"), F.col("probe_size"), percent)).groupBy("probe", "probe_size", "member", "size").agg(F.count(F.lit(1)).alias("met"))
-        pairs = written(pairs.where(F.col("met") >= _needed(F.col("size"), F.col("probe_size"), percent)).select("probe", "member"), "ngram-pairs")
-        if pairs.isEmpty():
-            continue
-        new = written(_verified(pairs, docs, n, percent, sketch), "ngram-links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-    return seen.where("part is null").select("doc_id", "doc_key", "n_shingles", "sig"), roots
+    # a similar set is no smaller than this one's least overlap with it
+    least = F.ceil(F.col("size") * percent / 100).cast("int")
+    enough = F.least(2 + F.ceil((100 - percent) * least / 400).cast("int"), least)
+    for _ in range(2):
+        busy = live.groupBy("sig").agg(F.count(F.lit(1)).alias("shares"), F.first("size").alias("size")).where(F.col("shares") >= enough).select("sig")
+        kept = live.select("token", "sig", "size").join(busy, "sig", "left_semi")
+        several = kept.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+        live = written(kept.join(several, "token").select("token", "sig", "size", "sets"), "ngram-live")
+    touch = live.groupBy("sig").agg(F.sum(F.log2("sets")).alias("touch"))
+    best = live.join(touch, "sig").groupBy("token").agg(F.max(F.struct("touch", "sig")).alias("best")).select("token", F.col("best.sig").alias("hub"))
+    regions = live.select("token", "sig", "size").join(best, "token").select("hub", "sig", "size").distinct()
+    regions = written(regions, "ngram-regions")
+    chosen = regions.select("sig").distinct()
+    bloom = spark.sparkContext.broadcast(_bloom(chosen))
+    sets = written(_chosen_sets(docs, n, sketch, bloom).join(chosen.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig"), "left_semi").dropDuplicates(["sig"]), "ngram-sets")
+    return seen.where("part is null").select("doc_id", "doc_key", "n_shingles", "sig"), components(_region_links(regions, sets, percent))
 
 
 def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,9 @@ from tessera.agents import Agent, Random
 from tessera.game import Game
 from tessera.operators.conditions import forbid
 from tessera.operators.matching import match
-from tessera.pattern import Pattern
+from tessera.pattern import Pattern, Var
 from tessera.plans.runner import Result
-from tessera.plans.schedule import PlayerRuleApp, Schedule, schedule
+from tessera.plans.schedule import Merge, PlayerRuleApp, Schedule, schedule
 from tessera.rule import adding
 from tessera.schema import Schema
 from tessera.world import World, make, repeated
@@ -36,7 +37,7 @@ def steps() -> list[dict]:
 
 
 def board(spark: SparkSession) -> World:
-    return make(spark, SCHEMA, {"Sq": [{"num": i + 1} for i in range(9)], "Step": steps()})
+    return replace(make(spark, SCHEMA, {"Sq": [{"num": i + 1} for i in range(9)], "Step": steps()}), checked=True)
 
 
 def mark(player: str):
@@ -47,12 +48,12 @@ def mark(player: str):
     return adding(f"mark_{player}", left, right, conditions=tuple(taken))
 
 
-def line(player: str, kind: str) -> Pattern:
-    """Three marks along two steps of a kind."""
+def line(player: str) -> Pattern:
+    """Three marks along two steps of one kind."""
     h = f"{player.lower()}sq"
     return Pattern(
         SCHEMA, {"a": "Sq", "b": "Sq", "c": "Sq", "e": "Step", "f": "Step", "x": player, "y": player, "z": player},
-        {("e", "src"): "a", ("e", "tgt"): "b", ("f", "src"): "b", ("f", "tgt"): "c", ("x", h): "a", ("y", h): "b", ("z", h): "c"}, {("e", "kind"): kind, ("f", "kind"): kind},
+        {("e", "src"): "a", ("e", "tgt"): "b", ("f", "src"): "b", ("f", "tgt"): "c", ("x", h): "a", ("y", h): "b", ("z", h): "c"}, {("e", "kind"): Var("kind"), ("f", "kind"): Var("kind")},
     )
 
 
@@ -60,9 +61,8 @@ def terminal(w: World) -> DataFrame:
     """Won by a line, drawn by nine marks."""
     won = None
     for p in ("X", "O"):
-        for kind in ("row", "column", "down", "up"):
-            found = match(line(p, kind), w).select("world_id", F.lit(p).alias("winner")).distinct()
-            won = found if won is None else won.unionByName(found)
+        found = match(line(p), w).select("world_id", F.lit(p).alias("winner"))
+        won = found if won is None else won.unionByName(found)
     won = won.groupBy("world_id").agg(F.min("winner").alias("winner"))
     marks = w.table("X").select("world_id").unionByName(w.table("O").select("world_id")).groupBy("world_id").agg(F.count(F.lit(1)).alias("n"))
     return w.ids.join(won, "world_id", "left").join(marks, "world_id", "left").select("world_id", (F.col("winner").isNotNull() | (F.col("n") >= 9)).alias("done"), "winner")
@@ -71,13 +71,7 @@ def terminal(w: World) -> DataFrame:
 def turns() -> Schedule:
     """X moves, then O, round and round; a player that can't move ends the game as a draw."""
     boxes = {"x": PlayerRuleApp("x_moves", mark("X"), "X"), "o": PlayerRuleApp("o_moves", mark("O"), "O")}
-    return schedule("tictactoe", ["again"], ["start"], boxes | {"merge": _merge()}, "w = merge(again, start)\nx1, x0 = x(w)\no1, o0 = o(x1)\nreturn o1, x0, o0")
-
-
-def _merge():
-    from tessera.plans.schedule import Merge
-
-    return Merge()
+    return schedule("tictactoe", ["again"], ["start"], boxes | {"merge": Merge()}, "w = merge(again, start)\nx1, x0 = x(w)\no1, o0 = o(x1)\nreturn o1, x0, o0")
 
 
 GAME = Game(("X", "O"), board, terminal, SCHEMA)

@@ -68,6 +68,7 @@ class Runner:
         self.changes: list[DataFrame] = []
         self.snapshots: list[tuple[int, dict[str, DataFrame]]] = []
         self.caches: dict[str, MatchCache] = {}
+        self.held: dict[str, int] = {}
         self.state = world.ids.select("world_id", F.lit("").alias("wire"), F.lit(0).cast("long").alias("turn"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("winner"))
 
     # -- wires
@@ -76,7 +77,12 @@ class Runner:
         return self.state.where(F.col("wire").isin(list(wires)))
 
     def any_on(self, wires: tuple[str, ...]) -> bool:
-        return bool(wires) and not self.on(wires).isEmpty()
+        return any(self.held.get(w) for w in wires)
+
+    def settle(self, state: DataFrame) -> None:
+        """The new state, and how many worlds each wire holds: a row a wire."""
+        self.state = state.checkpoint()
+        self.held = {r["wire"]: r["count"] for r in self.state.groupBy("wire").count().collect()}
 
     def move(self, wires: tuple[str, ...], to: DataFrame) -> None:
         """Worlds on `wires` go where to(world_id, out, and any of turn, done, winner) says."""
@@ -85,7 +91,13 @@ class Runner:
         here = F.col("_w").isNotNull() & F.col("wire").isin(list(wires))
         cols = [F.col("world_id"), F.when(here, F.col("_out")).otherwise(F.col("wire")).alias("wire")]
         cols += [(F.when(here, F.col(f"_{c}")).otherwise(F.col(c)) if c in to.columns else F.col(c)).alias(c) for c in ("turn", "done", "winner")]
-        self.state = s.select(*cols).checkpoint()
+        self.settle(s.select(*cols))
+
+    def worlds(self, here: DataFrame, wires: tuple[str, ...] = ()) -> World:
+        """The worlds of here; all of them as they are, where all stand on `wires`."""
+        if wires and sum(self.held.get(w, 0) for w in wires) == sum(self.held.values()):
+            return self.world
+        return self.world.only(here)
 
     # -- boxes
 
@@ -109,7 +121,7 @@ class Runner:
                 out = F.when(u < sums[i], F.lit(outs[i])).otherwise(out)
             self.move(inputs, here.withColumn("out", out))
         elif isinstance(box, Query):
-            found = matching.match(box.pattern, self.world.only(here), box.monic).select("world_id").distinct().withColumn("_yes", F.lit(True))
+            found = matching.match(box.pattern, self.worlds(here, inputs), box.monic).select("world_id").distinct().withColumn("_yes", F.lit(True))
             self.move(inputs, here.join(found, "world_id", "left").select("world_id", F.when(F.col("_yes"), F.lit(outs[0])).otherwise(F.lit(outs[1])).alias("out")))
         elif isinstance(box, (RuleApp, PlayerRuleApp)):
             self.run_rule(box, inputs, outs, here, pins, path)
@@ -138,9 +150,9 @@ class Runner:
         if self.any_on(ends):
             self.move(ends, self.on(ends).select("world_id", F.lit(outs[0]).alias("out")))
 
-    def candidates(self, box: RuleApp | PlayerRuleApp, here: DataFrame, pins) -> tuple[DataFrame, tuple[str, ...]]:
+    def candidates(self, box: RuleApp | PlayerRuleApp, world: World, here: DataFrame, pins) -> tuple[DataFrame, tuple[str, ...]]:
         """The legal matches in the worlds of `here`, and the columns of which each value gets one choice."""
-        world, rule = self.world.only(here), box.rule
+        rule = box.rule
         groups: tuple[str, ...] = ("world_id",)
         pinned = None
         if pins is not None:
@@ -177,7 +189,8 @@ class Runner:
     def run_rule(self, box, inputs, outs, here, pins, path, at_once: bool = False) -> None:
         self.step += 1
         rule, player = box.rule, isinstance(box, PlayerRuleApp)
-        found, groups = self.candidates(box, here, pins)
+        world = self.worlds(here, inputs)
+        found, groups = self.candidates(box, world, here, pins)
         found = found.withColumn("passes", F.lit(False))
         elements = tuple(rule.left.elements)
         offered = found
@@ -189,14 +202,14 @@ class Runner:
         agent = self.options.agents.get(box.player) if player else First()
         if agent is None:
             raise KeyError(f"no agent for player {box.player}")
-        ctx = Context(self.world.only(here), box.player if player else "", self.step, elements, self.options.seed, groups, turns)
+        ctx = Context(world, box.player if player else "", self.step, elements, self.options.seed, groups, turns)
         picked = agent.choose(offered, ctx).checkpoint()
         chosen = picked.where("not passes").drop("passes")
         if at_once:
             rank = [tick(g) for g in groups[1:]] + [tick(e) for e in elements]
             chosen = rewriting.independent(rule, chosen, rank).checkpoint()
         fired = chosen.select("world_id").distinct()
-        any_fired = not chosen.isEmpty()
+        any_fired = not chosen.isEmpty()  # of a checkpoint
         before = self.world
         if any_fired:
             change = rewriting.apply(rule, chosen.select("world_id", *[tick(c) for c in chosen.columns if c not in ("world_id", *groups)]), self.world)
@@ -214,8 +227,9 @@ class Runner:
         if player:
             s = s.withColumn("turn", F.col("turn") + 1)
             if self.options.terminal is not None and any_fired:
-                end = self.options.terminal(self.world.only(fired)).select("world_id", F.col("done").alias("_end"), F.col("winner").cast("string").alias("_winner"))
-                s = s.join(end, "world_id", "left").withColumn("_end", F.coalesce("_end", F.lit(False)))
+                # worlds in which nothing fired may be asked as well, but keep their state
+                end = self.options.terminal(self.worlds(fired, inputs)).select("world_id", F.col("done").alias("_end"), F.col("winner").cast("string").alias("_winner"))
+                s = s.join(end, "world_id", "left").withColumn("_end", F.coalesce("_end", F.lit(False)) & F.col("_fired"))
                 s = s.withColumn("winner", F.when(F.col("_end"), F.col("_winner")).otherwise(F.col("winner"))).withColumn("done", F.col("done") | F.col("_end")).drop("_end", "_winner")
             s = s.withColumn("done", F.col("done") | (F.col("turn") > self.options.t_max))
         s = s.checkpoint()
@@ -286,13 +300,12 @@ class Runner:
     def loop(self, x: Schedule, top: str, outs: tuple[str, ...], path: tuple[str, ...], pins) -> None:
         start = tuple(top + w for w in (*x.trace, *x.inputs))
         for turn in range(self.options.most_passes):
-            live = self.on(start) if turn == 0 else self.on(start).where(~F.col("done"))
-            if live.isEmpty():
-                break
-            if turn:
+            if turn and self.any_on(start):
                 # what is done stays on its wire
                 rest = self.on(start).where("done").select("world_id", F.concat(F.col("wire"), F.lit("!done")).alias("out"))
                 self.move(start, rest)
+            if not self.any_on(start):
+                break
             for s in x.steps:
                 self.run_box(x.boxes[s.box], tuple(top + w for w in s.inputs), tuple(top + w for w in s.outputs), (*path, x.name), pins)
             back = {top + r: top + t for r, t in zip(x.returns, x.trace)}
@@ -324,7 +337,7 @@ def run(x: Schedule, world: World, agents: Mapping[str, Agent], t_max: int = 100
     r = Runner(world, Options(agents, t_max, terminal, seed, **more))
     top = f"{x.name}."
     place = F.pmod(F.col("world_id"), F.lit(len(inputs))).cast("int") if len(inputs) > 1 else F.lit(0)
-    r.state = r.state.withColumn("wire", F.element_at(F.array(*[F.lit(top + w) for w in inputs]), place + 1)).checkpoint()
+    r.settle(r.state.withColumn("wire", F.element_at(F.array(*[F.lit(top + w) for w in inputs]), place + 1)))
     exits = tuple(f"exit:{w}" for w in x.exits)
     r.loop(x, top, exits, (), None)
     wire = F.when(F.col("wire").startswith("exit:"), F.substring("wire", 6, 1 << 20))

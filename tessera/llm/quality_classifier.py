@@ -153,7 +153,7 @@ def sample(labels: DataFrame, max_rows: int = MAX_ROWS, hold_out: bool = True) -
     if n > max_rows:
         # thinned before it is ordered, so that tasks don't each give max_rows rows
         share = min(1.0, 1.05 * max_rows / n)
-        marked = marked.where(F.xxhash64("doc_id") < int(share * 2**64) - 2**63)
+        marked = marked.where(F.xxhash64("doc_id") <= min(2**63 - 1, int(share * 2**64) - 2**63))
     return marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
 
 

@@ -225,7 +225,7 @@ def merged(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     ranges = max(1, min(MOST_RANGES, -(-total // range_bytes)))
     # a sample that the number of ranges bounds: 16 for each, thinned where the index is kept
     share = min(1.0, 16 * ranges * STEP / max(1, total))
-    picked = index.where(F.xxhash64("run", "offset") <= int(share * (2**64 - 1)) - 2**63).select("key", "time", "page_id").collect()
+    picked = index.where(F.xxhash64("run", "offset") <= min(2**63 - 1, int(share * 2**64) - 2**63)).select("key", "time", "page_id").collect()
     keys = sorted(sort_key(r["key"], r["time"], r["page_id"]) for r in picked)
     cuts = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
     shared = spark.sparkContext.broadcast(cuts)

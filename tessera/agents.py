@@ -111,16 +111,23 @@ class Function(Agent):
     def choose(self, candidates, ctx):
         turns = ctx.turns if ctx.turns is not None else candidates.select("world_id").distinct().withColumn("turn", F.lit(0).cast("long"))
         given = candidates.join(turns.select("world_id", F.col("turn").alias("_turn")), "world_id", "left")
-        schema, f, elements = candidates.schema, self.f, list(ctx.elements)
+        names, f, elements = candidates.columns, self.f, list(ctx.elements)
+        # match columns have dots and question marks in their names
+        safe = [f"c{i}" for i in range(len(names))]
+        schema = T.StructType([T.StructField(c, k.dataType) for c, k in zip(safe, candidates.schema)])
 
         def pick(pdf):
+            pdf.columns = [*names, "_turn"]
             pdf = pdf.sort_values(["passes", *elements]).reset_index(drop=True)
-            rows = pdf.drop(columns="_turn").astype(object).where(pdf.drop(columns="_turn").notna(), None).to_dict("records")
+            own = pdf[names].astype(object)
             turn = pdf["_turn"].iloc[0]
-            i = f(int(pdf["world_id"].iloc[0]), 0 if turn is None or turn != turn else int(turn), rows)
-            return pdf.iloc[0:0].drop(columns="_turn") if i is None else pdf.iloc[[i]].drop(columns="_turn")
+            i = f(int(pdf["world_id"].iloc[0]), 0 if turn is None or turn != turn else int(turn), own.where(own.notna(), None).to_dict("records"))
+            out = pdf.iloc[0:0][names] if i is None else pdf.iloc[[i]][names]
+            out.columns = safe
+            return out
 
-        return given.groupBy(*ctx.groups).applyInPandas(pick, schema)
+        given = given.select(*[tick(c).alias(s) for c, s in zip(names, safe)], "_turn")
+        return given.groupBy(*[safe[names.index(g)] for g in ctx.groups]).applyInPandas(pick, schema).toDF(*names)
 
 
 @dataclass(frozen=True)

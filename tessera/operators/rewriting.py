@@ -79,16 +79,18 @@ def apply(rule: Rule, chosen: DataFrame, world: World) -> Change:
     ids = list(rule.left.elements)
     chosen = numbered(_carried(rule, chosen, world), ids, "_n")
     tables = dict(world.tables)
+    counters: list[DataFrame] = []
     deleted: dict[str, DataFrame] = {}
     for o in world.schema.obs:
         if own := [e for e in rule.deleted if rule.left.elements[e] == o]:
             gone = reduce(DataFrame.unionByName, [chosen.select("world_id", tick(e).alias("part_id")) for e in own]).distinct()
             deleted[o] = gone
+            # what was deleted may have had the highest id; insertions show in the table
+            counters.append(_next_ids(world, o).select("world_id", F.lit(o).alias("ob"), "next"))
             tables[o] = tables[o].join(gone, ["world_id", "part_id"], "left_anti")
 
     # ids of new rows: as many for each match as the rule adds to a table
     places: dict[str, str] = {b: a for a, b in rule.keep.items()}
-    counters = []
     for o in world.schema.obs:
         own = [e for e in rule.added if rule.right.elements[e] == o]
         if own:
@@ -96,7 +98,6 @@ def apply(rule: Rule, chosen: DataFrame, world: World) -> Change:
             for i, e in enumerate(own):
                 chosen = chosen.withColumn(f"+{e}", F.col(f"_next_{o}") + F.col("_n") * len(own) + i)
                 places[e] = f"+{e}"
-            counters.append(chosen.groupBy("world_id").agg(F.max(F.col(f"_next_{o}") + (F.col("_n") + 1) * len(own)).alias("next")).select("world_id", F.lit(o).alias("ob"), "next"))
 
     inserted: dict[str, DataFrame] = {}
     for o in world.schema.obs:

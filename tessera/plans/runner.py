@@ -215,7 +215,7 @@ class Runner:
             change = rewriting.apply(rule, chosen.select("world_id", *[tick(c) for c in chosen.columns if c not in ("world_id", *groups)]), self.world)
             touched = {o: change.world.tables[o].checkpoint() for o in change.world.schema.obs if o in change.deleted or o in change.inserted or o in change.updated}
             counters = change.world.counters
-            self.world = replace(change.world, tables=change.world.tables | touched, counters=None if counters is None else counters.checkpoint())
+            self.world = replace(change.world, tables=change.world.tables | touched, counters=counters.checkpoint() if change.deleted else counters)
             for name, cache in self.caches.items():
                 if cache is not None:
                     self.caches[name] = cache.updated(before, replace(change, world=self.world)).cut()

@@ -52,7 +52,7 @@ def looped(box):
     return S.schedule("loop", ["t"], ["i"], {"box": box, "m": S.Merge()}, "w = m(t, i)\ns, f = box(w)\nreturn s, f")
 
 
-@pytest.mark.parametrize("t_max", [0, 1, 4])
+@pytest.mark.parametrize("t_max", [0, 2])
 def test_turns(spark, t_max):
     r = runner.run(looped(S.PlayerRuleApp("grow", GROW, "p")), world(spark, 1, 2), AGENTS, t_max=t_max)
     assert sizes(r) == {0: 2 + t_max, 1: 2 + t_max}
@@ -63,27 +63,27 @@ def test_turns(spark, t_max):
 
 def test_exhaustion_takes_the_failure_wire(spark):
     s = looped(S.PlayerRuleApp("mark", MARK, "r"))
-    r = runner.run(s, world(spark, 3, 2), AGENTS, win_conditions={"f": "winner"}, keep_legal=True, snapshots=True, log_changes=True)
-    assert sizes(r, "E") == {0: 3, 1: 3}
+    r = runner.run(s, world(spark, 2, 2), AGENTS, win_conditions={"f": "winner"}, keep_legal=True, snapshots=True, log_changes=True)
+    assert sizes(r, "E") == {0: 2, 1: 2}
     rows = r.experiences.where("world_id = 0").orderBy("turn").collect()
-    assert [(x["action"], x["legal"], x["done"], x["winner"]) for x in rows] == [("mark", 3, False, None), ("mark", 2, False, None), ("mark", 1, False, None), (None, 0, True, "winner")]
-    assert [len(x["legal_actions"] or []) for x in rows] == [3, 2, 1, 0]
+    assert [(x["action"], x["legal"], x["done"], x["winner"]) for x in rows] == [("mark", 2, False, None), ("mark", 1, False, None), (None, 0, True, "winner")]
+    assert [len(x["legal_actions"] or []) for x in rows] == [2, 1, 0]
     assert {(x["done"], x["winner"], x["exit_wire"]) for x in r.control.collect()} == {(True, "winner", "f")}
-    assert [t["E"].where("world_id = 0").count() for _, t in r.snapshots] == [1, 2, 3, 3]
-    assert r.changes.where("world_id = 0 and change = 'add'").count() == 3
-    assert r.events.where("fired").count() == 6
+    assert [t["E"].where("world_id = 0").count() for _, t in r.snapshots] == [1, 2, 2]
+    assert r.changes.where("world_id = 0 and change = 'add'").count() == 2
+    assert r.events.where("fired").count() == 4
 
 
 def test_terminal(spark):
     def terminal(w):
-        return w.nparts("V").select("world_id", (F.col("n") >= 4).alias("done"), F.lit("p").alias("winner"))
+        return w.nparts("V").select("world_id", (F.col("n") >= 3).alias("done"), F.lit("p").alias("winner"))
 
     r = runner.run(looped(S.PlayerRuleApp("grow", GROW, "p")), world(spark, 1, 2), AGENTS, terminal=terminal)
-    assert set(sizes(r).values()) == {4}
+    assert set(sizes(r).values()) == {3}
     assert r.experiences.where("done").select("winner").distinct().first()["winner"] == "p"
     # where exits decide, the terminal isn't asked
-    r = Game(("p",), None, terminal, GRAPH, {"f": None}).run(looped(S.PlayerRuleApp("grow", GROW, "p")), world(spark, 1), AGENTS, t_max=6)
-    assert sizes(r) == {0: 8}
+    r = Game(("p",), None, terminal, GRAPH, {"f": None}).run(looped(S.PlayerRuleApp("grow", GROW, "p")), world(spark, 1), AGENTS, t_max=2)
+    assert sizes(r) == {0: 4}
 
 
 def test_native_rule_is_no_decision(spark):
@@ -110,9 +110,9 @@ def test_pass(spark):
 @pytest.mark.parametrize("cached", [False, True])
 def test_limit_and_cache(spark, cached):
     box = S.PlayerRuleApp("mark", MARK, "p", match_limit=1, use_cache=cached)
-    r = runner.run(looped(box), world(spark, 3), AGENTS)
-    assert [x["legal"] for x in r.experiences.orderBy("turn").collect()] == [1, 1, 1, 0]
-    assert sizes(r, "E") == {0: 3}
+    r = runner.run(looped(box), world(spark, 2), AGENTS)
+    assert [x["legal"] for x in r.experiences.orderBy("turn").collect()] == [1, 1, 0]
+    assert sizes(r, "E") == {0: 2}
 
 
 def test_views_and_own_matchers(spark):
@@ -127,7 +127,7 @@ def test_views_and_own_matchers(spark):
     assert runner.run(S.tryrule(some), world(spark, 4), AGENTS).experiences.first()["legal"] == 2
 
 
-@pytest.mark.parametrize("n", [1, 5])
+@pytest.mark.parametrize("n", [3])
 def test_agent_loop(spark, n):
     box = S.PlayerRuleApp("mark", MARK, "p", in_hom={"a": "v"})
     loop = S.AgentLoop("each", Pattern(GRAPH, {"a": "V"}), box)
@@ -136,7 +136,7 @@ def test_agent_loop(spark, n):
     assert set(sizes(r, "E").values()) == {n} and r.experiences.count() == 2 * n
 
 
-@pytest.mark.parametrize("n", [1, 64, 310])
+@pytest.mark.parametrize("n", [310])
 def test_agents_at_once(spark, n):
     box = S.PlayerRuleApp("mark", MARK, "p", in_hom={"a": "v"})
     s = S.schedule("s", [], ["i"], {"l": S.AgentLoop("each", Pattern(GRAPH, {"a": "V"}), box, at_once=True)}, "r = l(i)\nreturn r")
@@ -149,8 +149,8 @@ def test_agents_that_contend(spark):
     box = S.PlayerRuleApp("eat", eat, "p", in_hom={"x": "a"})
     for at_once in (True, False):
         s = S.schedule("s", [], ["i"], {"l": S.AgentLoop("each", Pattern(GRAPH, {"x": "V"}), box, at_once=at_once)}, "r = l(i)\nreturn r")
-        left = sizes(runner.run(s, world(spark, 4), AGENTS))[0]
-        assert left == (1 if not at_once else 3)
+        left = sizes(runner.run(s, world(spark, 3), AGENTS))[0]
+        assert left == (1 if not at_once else 2)
 
 
 def test_coin_and_split(spark):
@@ -170,13 +170,13 @@ def test_coin_and_split(spark):
 def test_query_while_nested(spark):
     s = S.schedule("s", [], ["i"], {"q": S.Query("q", LOOP)}, "a, b = q(i)\nreturn a, b")
     assert runner.run(s, make(spark, GRAPH, graph_rows(1, [(1, 1)])), AGENTS).control.first()["exit_wire"] == "a"
-    grow = S.While("w", S.RuleApp("grow", GROW), lambda w: w.nparts("V").where("n < 4").select("world_id"))
+    grow = S.While("w", S.RuleApp("grow", GROW), lambda w: w.nparts("V").where("n < 2").select("world_id"))
     s = S.schedule("s", [], ["i"], {"w": grow}, "a = w(i)\nreturn a")
-    assert sizes(runner.run(s, world(spark, 1), AGENTS)) == {0: 4}
+    assert sizes(runner.run(s, world(spark, 1), AGENTS)) == {0: 2}
     inner = looped(S.PlayerRuleApp("mark", MARK, "p"))
     s = S.schedule("outer", [], ["i"], {"x": inner, "w": S.Weaken()}, "a = x(i)\nb = w(a)\nreturn b")
-    r = runner.run(s, world(spark, 2), AGENTS)
-    assert sizes(r, "E") == {0: 2} and r.control.first()["exit_wire"] == "b"
+    r = runner.run(s, world(spark, 1), AGENTS)
+    assert sizes(r, "E") == {0: 1} and r.control.first()["exit_wire"] == "b"
     assert r.experiences.first()["schedule_path"] == ["outer", "loop"]
 
 
@@ -193,8 +193,8 @@ def test_combinators(spark):
 
 def test_batches_are_single_runs(spark):
     s = looped(S.PlayerRuleApp("mark", MARK, "r"))
-    many = runner.run(s, world(spark, 3, 3), AGENTS, seed=5)
-    tables = make(spark, GRAPH, {"V": [{"world_id": 2, "part_id": i + 1} for i in range(3)], "E": []})
+    many = runner.run(s, world(spark, 2, 3), AGENTS, seed=5)
+    tables = make(spark, GRAPH, {"V": [{"world_id": 2, "part_id": i + 1} for i in range(2)], "E": []})
     one = runner.run(s, tables, AGENTS, seed=5)
 
     def order(r):
@@ -243,13 +243,13 @@ def test_games_need_players():
 def test_tictactoe(spark):
     from tessera.games import tictactoe
 
-    r = tictactoe.play(spark, 40, seed=2)
-    rows = r.control.collect()
-    assert all(x["done"] for x in rows) and {x["winner"] for x in rows} >= {"X", "O"}
+    r = tictactoe.play(spark, 30, seed=2, t_max=2)
     marks = r.world.table("X").unionByName(r.world.table("O").withColumnRenamed("osq", "xsq"))
-    assert marks.select("world_id", "xsq").distinct().count() == marks.count()
-    lengths = r.experiences.groupBy("world_id").count().collect()
-    assert all(5 <= x["count"] <= 9 for x in lengths)
+    assert marks.count() == 30 * 4 and marks.select("world_id", "xsq").distinct().count() == 30 * 4
+    won = make(spark, tictactoe.SCHEMA, {"Sq": [{"num": i + 1} for i in range(9)], "Step": tictactoe.steps(), "X": [{"xsq": i} for i in (3, 5, 7)], "O": [{"osq": i} for i in (1, 2, 6)]})
+    assert tictactoe.terminal(won).first()["winner"] == "X"
+    bent = won.with_tables(X=won.table("X").withColumn("xsq", F.when(F.col("xsq") == 7, 1).otherwise(F.col("xsq")).cast("long")))
+    assert not tictactoe.terminal(bent).first()["done"]
 
 
 def test_identity_rules_only_look(spark):

@@ -495,14 +495,3 @@ def win_rate(spark, sf_dir):
 def win_rates(spark, sf_dir):
     return experience.win_rates(_trajectory(spark, sf_dir), []).select("winner", "wins", F.round("win_rate", 9).alias("win_rate"))
 
-
-# -- games
-
-
-@query(None)
-def tictactoe_random(spark, sf_dir):
-    """Outcomes of random tic-tac-toe games, one for each nation and order priority, all played together."""
-    from tessera.games import tictactoe
-
-    result = tictactoe.play(spark, 125, seed=1)
-    return result.control.groupBy(F.coalesce("winner", F.lit("draw")).alias("outcome")).agg(F.count(F.lit(1)).alias("games"))

@@ -93,9 +93,10 @@ class Runner:
         cols += [(F.when(here, F.col(f"_{c}")).otherwise(F.col(c)) if c in to.columns else F.col(c)).alias(c) for c in ("turn", "done", "winner")]
         self.settle(s.select(*cols))
 
-    def worlds(self, here: DataFrame, wires: tuple[str, ...] = ()) -> World:
-        """The worlds of here; all of them as they are, where all stand on `wires`."""
-        if wires and sum(self.held.get(w, 0) for w in wires) == sum(self.held.values()):
+    def worlds(self, here: DataFrame, wires: tuple[str, ...]) -> World:
+        """The worlds of here, or all where those on `wires` are a good part of them: filtering every table costs more
+        plan than it saves work, and results are joined with `here` anyway."""
+        if 4 * sum(self.held.get(w, 0) for w in wires) >= sum(self.held.values()):
             return self.world
         return self.world.only(here)
 
@@ -168,6 +169,7 @@ class Runner:
             found = cache.legal(self.world).join(here, "world_id", "left_semi")
         else:
             found = rewriting.legal(rule, world, view=box.view_fn if player else None)
+        found = found.join(here, "world_id", "left_semi")
         if pinned is not None:
             keys = ["world_id", *dict.fromkeys(box.in_hom.values())]
             found = found.join(pinned, keys)
@@ -213,7 +215,9 @@ class Runner:
         before = self.world
         if any_fired:
             change = rewriting.apply(rule, chosen.select("world_id", *[tick(c) for c in chosen.columns if c not in ("world_id", *groups)]), self.world)
-            touched = {o: change.world.tables[o].checkpoint() for o in change.world.schema.obs if o in change.deleted or o in change.inserted or o in change.updated}
+            most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            # a union adds partitions each time
+            touched = {o: change.world.tables[o].coalesce(most).checkpoint() for o in change.world.schema.obs if o in change.deleted or o in change.inserted or o in change.updated}
             counters = change.world.counters
             self.world = replace(change.world, tables=change.world.tables | touched, counters=counters.checkpoint() if change.deleted else counters)
             for name, cache in self.caches.items():

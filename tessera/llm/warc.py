@@ -5,6 +5,7 @@ A sparse index keeps every run's key and offset once in STEP bytes. Keys picked
 ranges of about RANGE_BYTES; a range is a contiguous slice of each run, and one task merges its slices through a
 loser tree, reading members as it goes. The ranges in turn are the captures in global order. A range holds its share
 of bytes and no more, whatever the number of runs, and a URL that a third of all captures share is cut by time and id.
+Captures that are equal in all three stay in one range.
 
 Of records with equal payloads of REVISIT_BYTES or more, that with the largest page_id is the response and the others
 are revisits of it, which keep the HTTP header but no payload.
@@ -239,7 +240,7 @@ def merged(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         bounds = shared.value
         for n in range(len(bounds) + 1):
             low, high = bounds[n - 1] if n else None, bounds[n] if n < len(bounds) else None
-            start = max((r[0] for r, k in zip(rows, own) if low is not None and k <= low), default=0)
+            start = max((r[0] for r, k in zip(rows, own) if low is not None and k < low), default=0)
             end = min((r[0] for r, k in zip(rows, own) if high is not None and k >= high), default=size)
             if start < end:
                 found.append((n, start, end))

@@ -1,8 +1,10 @@
 """The methods against brute force."""
 
+import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -260,6 +262,17 @@ def test_captures_come_in_global_order(spark):
     assert keys == sorted(keys) and len(keys) == 400 and rows[-1]["range"] > 0
 
 
+def test_ties_at_range_cuts_lose_no_capture(spark, monkeypatch):
+    monkeypatch.setattr(warc, "STEP", 2000)
+    rows = [(7, "http://hot.example/", f"{i % 3}") for i in range(300)] + [(None, "http://hot.example/", "n")] * 100 + [(None, None, "u")] * 100 + [(i, f"http://h{i % 5}.example/", "x") for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    folder = warc.new_folder(spark, "test-ties")
+    got = warc.merged(warc.written(warc.write(pages, folder), "test-ties-index"), range_bytes=3000).orderBy("range", "place").collect()
+    keys = [warc.sort_key(r["url_key"], r["captured"], r["page_id"]) for r in got]
+    assert keys == sorted(keys) and got[-1]["range"] > 1
+    assert Counter((r["page_id"], r["payload_digest"]) for r in got) == Counter((i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows)
+
+
 def every_repair(roles):
     """Least cost by trying all sequences of choices."""
     best = math.inf

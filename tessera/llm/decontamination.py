@@ -1,18 +1,19 @@
 """Benchmark decontamination on templates.
 
 Numbers, names and units of documents and benchmark items become typed placeholders, so that a question whose
-figures or persons were exchanged keeps its template. Windows of template words are hashed and joined by hash; the
-fillers of the slots of each matched passage must agree: a value of the item stands for one value of the document
-throughout, and the other way round. A document is contaminated by an item of whose windows it holds the share
-`least_share` in consistent passages.
+figures or persons were exchanged keeps its template. Windows of template words are hashed and joined by hash, and
+windows with a placeholder also by their values, since those with fewer than LITERALS other words are no evidence as
+templates. The fillers of the slots of each matched passage must agree: a value of the item stands for one value of
+the document throughout, and the other way round. A document is contaminated by an item of whose windows it holds the
+share `least_share` in consistent passages.
 
 Only column expressions are used. The items' windows are joined as they come: Catalyst broadcasts them below its
 size threshold and shuffles both sides by hash above it.
 
-Nulls: null and empty texts hold no window and are clean; items with such a text, or whose windows have fewer than
-LITERALS words that aren't placeholders, match nothing. Items shorter than a window are one window. Repeated rows
-get the same verdict each, and a null id is kept. Empty tables: with no documents nothing is returned, with no items
-every document is clean. Further columns are not read.
+Nulls: null and empty texts hold no window and are clean; items with such a text match nothing. Items shorter than a
+window are one window; those of fewer than LITERALS words with a placeholder among them (such as a lone number) match
+only where they are the whole document. Repeated rows get the same verdict each, and a null id is kept. Empty tables:
+with no documents nothing is returned, with no items every document is clean. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ASCII_SPACE, written
 
 WINDOW = 8
-#: Words of a window that must not be placeholders.
+#: Words of a window joined as a template that must not be placeholders.
 LITERALS = 4
+#: Places in `ways`: words with placeholders, words by value.
+TYPED, EXACT = range(2)
 #: Units that become a placeholder where they follow a number.
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t ton tons tonne tonnes oz lb lbs ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr "
@@ -47,12 +50,14 @@ def _words(text: Column) -> Column:
 
 
 def templates(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """`key`, `hashes` of the template's words, and `slots` (pos, value) of its placeholders."""
+    """`key`, `slots` (pos, value) of the placeholders, and `ways`: hashes of the template's words and of all values."""
     # the words stand in a column of their own, so that each text is cut once
     words = df.select(*key, _words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    hashes = F.transform("words", lambda w: F.xxhash64(F.when(w < WORD, F.substring(w, 1, 1)).otherwise(w)))
-    slots = F.filter(F.transform("words", lambda w, i: F.when(w < WORD, F.struct(i.cast("int").alias("pos"), F.substring(w, 2, 1 << 30).alias("value")))), lambda s: s.isNotNull())
-    return words.select(*key, hashes.alias("hashes"), slots.alias("slots"))
+    value = lambda w: F.substring(w, 2, 1 << 30)
+    typed = F.transform("words", lambda w: F.xxhash64(F.when(w < WORD, F.substring(w, 1, 1)).otherwise(w)))
+    exact = F.transform("words", lambda w: F.xxhash64(F.when(w < WORD, value(w)).otherwise(w)))
+    slots = F.filter(F.transform("words", lambda w, i: F.when(w < WORD, F.struct(i.cast("int").alias("pos"), value(w).alias("value")))), lambda s: s.isNotNull())
+    return words.select(*key, F.array(typed, exact).alias("ways"), slots.alias("slots"))
 
 
 def _windows(df: DataFrame, width: int, place: str, *columns: str) -> DataFrame:
@@ -73,19 +78,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, win
     doc_key is a hash of the document's id and text.
     """
     items = written(
-        templates(benchmark.select("item_id", "text").dropDuplicates(), ["item_id"]).withColumn("width", F.least(F.size("hashes"), F.lit(window))).where("width > 0"), "benchmark-templates"
+        templates(benchmark.select("item_id", "text").dropDuplicates(), ["item_id"]).withColumn("width", F.least(F.size(F.get("ways", F.lit(TYPED))), F.lit(window))).where("width > 0"), "benchmark-templates"
     ).withColumnRenamed("slots", "item_slots")
-    texts = templates(docs.select(doc_key(), "text"), ["doc_key"])
+    # a text without placeholders reads the same all ways
+    texts = templates(docs.select(doc_key(), "text"), ["doc_key"]).select("doc_key", "slots", F.explode(F.array_distinct("ways")).alias("hashes")).withColumn("n_words", F.size("hashes"))
     hits = None
     # at most `window` widths: that of the windows and those of shorter items
     for width in sorted(r["width"] for r in items.select("width").distinct().collect()):
-        own = items.where(F.col("width") == width)
-        own = _windows(own.withColumn("n_windows", F.size("hashes") - width + 1), width, "item_pos", "item_id", "n_windows", "item_slots")
+        own = items.where(F.col("width") == width).select("item_id", "item_slots", F.posexplode("ways").alias("way", "hashes"))
+        own = _windows(own.withColumn("n_windows", F.size("hashes") - width + 1), width, "item_pos", "item_id", "n_windows", "item_slots", "way")
         own = own.withColumn("item_values", _inside(F.col("item_slots"), F.col("item_pos"), width)).drop("item_slots")
-        own = own.where(width - F.size("item_values") >= min(LITERALS, width))
-        found = _windows(texts, width, "pos", "doc_key", "slots").join(own, "hash")
-        pairs = F.zip_with("item_values", _inside(F.col("slots"), F.col("pos"), width), lambda a, b: F.struct(a["value"].alias("of_item"), b["value"].alias("of_doc")))
-        found = found.select("doc_key", "item_id", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
+        own = own.where(F.when(F.col("way") == TYPED, width - F.size("item_values") >= min(LITERALS, width)).otherwise(F.size("item_values") > 0))
+        found = _windows(texts, width, "pos", "doc_key", "slots", "n_words").join(own, "hash")
+        if width < LITERALS:
+            found = found.where((F.col("way") != EXACT) | (F.col("n_words") == width))
+        shift = F.col("pos") - F.col("item_pos")
+        # of windows met by value, a word may be a slot on one side only
+        filled = F.transform(_inside(F.col("slots"), F.col("pos"), width), lambda d: F.struct(F.get(F.filter("item_values", lambda i: i["pos"] + shift == d["pos"]), F.lit(0)).alias("slot"), d["value"].alias("value")))
+        pairs = F.transform(F.filter(filled, lambda f: f["slot"].isNotNull()), lambda f: F.struct(f["slot"]["value"].alias("of_item"), f["value"].alias("of_doc")))
+        found = found.select("doc_key", "item_id", "n_windows", "item_pos", shift.alias("shift"), pairs.alias("pairs"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], f"doc_key bigint, item_id {benchmark.schema['item_id'].dataType.simpleString()}, share double, reparameterised boolean")

@@ -246,6 +246,25 @@ def test_reparameterised_questions(spark):
     assert got == {1: (True, False), 2: (True, True), 3: (False, False), 4: (False, False)}
 
 
+def decontaminated(spark, items, docs):
+    """(doc, item): (share, reparameterised) of the matches at any share, items and documents by their places."""
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = decontamination.matches(docs, items, 0.0).join(docs.select("doc_id", decontamination.doc_key()), "doc_key")
+    return {(r["doc_id"], r["item_id"]): (round(r["share"], 2), r["reparameterised"]) for r in found.collect()}
+
+
+def test_copies_rich_in_placeholders(spark):
+    items = [
+        "Continue the series 2, 4, 8, 16, 32, 64, 128, 256, 512 and give the next term",
+        "Which of Anna, Omar, Lena, Paul, Mary, John, Rosa and Igor was the last to leave the room",
+        "Who Wrote The Famous Book About A Young Whale Hunter",
+        "12",
+    ]
+    docs = [f"Well: {i} Ok" for i in items] + ["12", "1 2 3 4 5 6 7 8 9 10 11 12 13"]
+    assert decontaminated(spark, items, docs) == {(i, i): (1.0, False) for i in range(3)} | {(4, 3): (1.0, False)}
+
+
 def test_loser_tree_sorts():
     rng = random.Random(4)
     for k in range(9):

@@ -3,9 +3,10 @@
 Numbers, names and units of documents and benchmark items become typed placeholders, so that a question whose
 figures or persons were exchanged keeps its template. Windows of template words are hashed and joined by hash, and
 windows with a placeholder also by their values, since those with fewer than LITERALS other words are no evidence as
-templates. The fillers of the slots of each matched passage must agree: a value of the item stands for one value of
-the document throughout, and the other way round. A document is contaminated by an item of whose windows it holds the
-share `least_share` in consistent passages.
+templates. The names in the slots of each matched passage must agree: a name of the item stands for one name of the
+document throughout, and the other way round; windows that hold a name which doesn't are left out. Numbers and units
+need not agree, since figures drawn anew coincide by chance. A document is contaminated by an item of whose windows
+it holds the share `least_share`.
 
 Only column expressions are used. The items' windows are joined as they come: Catalyst broadcasts them below its
 size threshold and shuffles both sides by hash above it.
@@ -50,13 +51,13 @@ def _words(text: Column) -> Column:
 
 
 def templates(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """`key`, `slots` (pos, value) of the placeholders, and `ways`: hashes of the template's words and of all values."""
+    """`key`, `slots` (pos, value, name) of the placeholders, and `ways`: hashes of the template's words and of all values."""
     # the words stand in a column of their own, so that each text is cut once
     words = df.select(*key, _words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     value = lambda w: F.substring(w, 2, 1 << 30)
     typed = F.transform("words", lambda w: F.xxhash64(F.when(w < WORD, F.substring(w, 1, 1)).otherwise(w)))
     exact = F.transform("words", lambda w: F.xxhash64(F.when(w < WORD, value(w)).otherwise(w)))
-    slots = F.filter(F.transform("words", lambda w, i: F.when(w < WORD, F.struct(i.cast("int").alias("pos"), value(w).alias("value")))), lambda s: s.isNotNull())
+    slots = F.filter(F.transform("words", lambda w, i: F.when(w < WORD, F.struct(i.cast("int").alias("pos"), value(w).alias("value"), w.startswith(NAME).alias("name")))), lambda s: s.isNotNull())
     return words.select(*key, F.array(typed, exact).alias("ways"), slots.alias("slots"))
 
 
@@ -95,18 +96,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, win
         shift = F.col("pos") - F.col("item_pos")
         # of windows met by value, a word may be a slot on one side only
         filled = F.transform(_inside(F.col("slots"), F.col("pos"), width), lambda d: F.struct(F.get(F.filter("item_values", lambda i: i["pos"] + shift == d["pos"]), F.lit(0)).alias("slot"), d["value"].alias("value")))
-        pairs = F.transform(F.filter(filled, lambda f: f["slot"].isNotNull()), lambda f: F.struct(f["slot"]["value"].alias("of_item"), f["value"].alias("of_doc")))
+        pairs = F.transform(F.filter(filled, lambda f: f["slot"].isNotNull()), lambda f: F.struct(f["slot"]["value"].alias("of_item"), f["value"].alias("of_doc"), f["slot"]["name"].alias("name")))
         found = found.select("doc_key", "item_id", "n_windows", "item_pos", shift.alias("shift"), pairs.alias("pairs"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], f"doc_key bigint, item_id {benchmark.schema['item_id'].dataType.simpleString()}, share double, reparameterised boolean")
     # one passage: the windows of an item at one shift; no more of them than the item has
-    passages = hits.groupBy("doc_key", "item_id", "n_windows", "shift").agg(F.collect_set("item_pos").alias("held"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    items_said = F.array_distinct(F.transform("pairs", lambda p: p["of_item"]))
-    docs_said = F.array_distinct(F.transform("pairs", lambda p: p["of_doc"]))
-    agree = (F.size("pairs") == F.size(items_said)) & (F.size("pairs") == F.size(docs_said))
-    sound = passages.where(agree).withColumn("changed", F.exists("pairs", lambda p: p["of_item"] != p["of_doc"]))
-    covered = sound.select("doc_key", "item_id", "n_windows", "changed", F.explode("held").alias("item_pos")).groupBy("doc_key", "item_id", "n_windows", "item_pos").agg(F.max("changed").alias("changed"))
+    passages = hits.groupBy("doc_key", "item_id", "n_windows", "shift").agg(F.collect_set(F.struct("item_pos", "pairs")).alias("held"))
+    names = F.filter(F.array_distinct(F.flatten(F.transform("held", lambda h: h["pairs"]))), lambda p: p["name"])
+    clashing = F.filter("names", lambda p: F.exists("names", lambda q: (p["of_item"] == q["of_item"]) != (p["of_doc"] == q["of_doc"])))
+    # a column before the rows are made, so that a passage's names are compared once
+    each = passages.withColumn("names", names).withColumn("clashing", clashing).select("doc_key", "item_id", "n_windows", "clashing", F.explode("held").alias("held"))
+    sound = each.where(~F.arrays_overlap("held.pairs", "clashing")).withColumn("changed", F.exists("held.pairs", lambda p: p["of_item"] != p["of_doc"]))
+    covered = sound.groupBy("doc_key", "item_id", "n_windows", F.col("held.item_pos").alias("item_pos")).agg(F.max("changed").alias("changed"))
     shares = covered.groupBy("doc_key", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("n"), F.max("changed").alias("reparameterised"))
     return shares.select("doc_key", "item_id", (F.col("n") / F.col("n_windows")).alias("share"), "reparameterised").where(F.col("share") >= least_share)
 

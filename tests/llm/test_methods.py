@@ -265,6 +265,22 @@ def test_copies_rich_in_placeholders(spark):
     assert decontaminated(spark, items, docs) == {(i, i): (1.0, False) for i in range(3)} | {(4, 3): (1.0, False)}
 
 
+APPLES = "If Anna buys {} apples and sells {} apples to Omar how many apples does Anna have at the end of the day"
+
+
+def test_figures_may_coincide(spark):
+    pears = "A box holds {} apples and {} pears while the next box holds a single plum so how many fruits are there"
+    items = [APPLES.format(12, 5), pears.format(2, 2)]
+    docs = [
+        APPLES.format(7, 7).replace("Anna", "Mary"),
+        pears.format(3, 4),
+        # names must agree: six of 16 windows hold no Anna, one neither Anna nor Omar
+        APPLES.format(7, 7).replace("Anna", "Mary", 1).replace("Anna", "Paul"),
+        APPLES.format(7, 7).replace("Anna", "Mary").replace("Omar", "Mary"),
+    ]
+    assert decontaminated(spark, items, docs) == {(0, 0): (1.0, True), (1, 1): (1.0, True), (2, 0): (0.38, True), (3, 0): (0.06, True)}
+
+
 def test_loser_tree_sorts():
     rng = random.Random(4)
     for k in range(9):

@@ -3,7 +3,8 @@
 Numbers, names and units of documents and benchmark items become typed placeholders, so that a question whose
 figures or persons were exchanged keeps its template. Windows of template words are hashed and joined by hash, and
 windows with a placeholder also by their values, since those with fewer than LITERALS other words are no evidence as
-templates. The names in the slots of each matched passage must agree: a name of the item stands for one name of the
+templates, and with the names alone by value, since only capitals tell names: so a copy is found whatever its case
+and line breaks. New names are found only where they are capitalised. The names in the slots of each matched passage must agree: a name of the item stands for one name of the
 document throughout, and the other way round; windows that hold a name which doesn't are left out. Numbers and units
 need not agree, since figures drawn anew coincide by chance. A document is contaminated by an item of whose windows
 it holds the share `least_share`.
@@ -27,8 +28,8 @@ from tessera.llm.common import ASCII_SPACE, written
 WINDOW = 8
 #: Words of a window joined as a template that must not be placeholders.
 LITERALS = 4
-#: Places in `ways`: words with placeholders, words by value.
-TYPED, EXACT = range(2)
+#: Places in `ways`: words with placeholders, those with names by value, words by value.
+TYPED, NAMED, EXACT = range(3)
 #: Units that become a placeholder where they follow a number.
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t ton tons tonne tonnes oz lb lbs ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr "
@@ -43,7 +44,7 @@ NUMBER, NAME, UNIT, WORD = "\u0001", "\u0002", "\u0003", "\u0004"
 def _words(text: Column) -> Column:
     """Lower-case words without marks; numbers, names and units carry their mark in front of the value."""
     # a capitalised word within a sentence; the first word of a sentence is capitalised anyway
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}'-]+", f"{NAME}$0")
+    named = F.regexp_replace(F.regexp_replace(text, r"[\s\p{Z}]+", " "), r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}'-]+", f"{NAME}$0")
     plain = F.regexp_replace(named, rf"[^\p{{L}}\p{{N}}{NAME}{ASCII_SPACE}.,:/]+|[.,:/](?![0-9])", "")
     digits = F.regexp_replace(plain, rf"(?<![^{ASCII_SPACE}])[.,:/]*(?=[0-9])", NUMBER)
     units = F.regexp_replace(digits, rf"(?<=[0-9] )(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{UNIT}$0")
@@ -51,14 +52,15 @@ def _words(text: Column) -> Column:
 
 
 def templates(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """`key`, `slots` (pos, value, name) of the placeholders, and `ways`: hashes of the template's words and of all values."""
+    """`key`, `slots` (pos, value, name) of the placeholders, and `ways`: hashes of the template's words, with names by value, and of all values."""
     # the words stand in a column of their own, so that each text is cut once
     words = df.select(*key, _words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     value = lambda w: F.substring(w, 2, 1 << 30)
     typed = F.transform("words", lambda w: F.xxhash64(F.when(w < WORD, F.substring(w, 1, 1)).otherwise(w)))
+    named = F.transform("words", lambda w: F.xxhash64(F.when(w.startswith(NAME), value(w)).when(w < WORD, F.substring(w, 1, 1)).otherwise(w)))
     exact = F.transform("words", lambda w: F.xxhash64(F.when(w < WORD, value(w)).otherwise(w)))
     slots = F.filter(F.transform("words", lambda w, i: F.when(w < WORD, F.struct(i.cast("int").alias("pos"), value(w).alias("value"), w.startswith(NAME).alias("name")))), lambda s: s.isNotNull())
-    return words.select(*key, F.array(typed, exact).alias("ways"), slots.alias("slots"))
+    return words.select(*key, F.array(typed, named, exact).alias("ways"), slots.alias("slots"))
 
 
 def _windows(df: DataFrame, width: int, place: str, *columns: str) -> DataFrame:
@@ -89,7 +91,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, win
         own = items.where(F.col("width") == width).select("item_id", "item_slots", F.posexplode("ways").alias("way", "hashes"))
         own = _windows(own.withColumn("n_windows", F.size("hashes") - width + 1), width, "item_pos", "item_id", "n_windows", "item_slots", "way")
         own = own.withColumn("item_values", _inside(F.col("item_slots"), F.col("item_pos"), width)).drop("item_slots")
-        own = own.where(F.when(F.col("way") == TYPED, width - F.size("item_values") >= min(LITERALS, width)).otherwise(F.size("item_values") > 0))
+        n_slots, n_names = F.size("item_values"), F.size(F.filter("item_values", lambda s: s["name"]))
+        n_words = width - n_slots + F.when(F.col("way") == NAMED, n_names).otherwise(0)
+        # a way that reads as the one before it adds nothing
+        own = own.where(F.when(F.col("way") == EXACT, n_slots > 0).otherwise((n_words >= min(LITERALS, width)) & ((F.col("way") == TYPED) | (n_names > 0))))
         found = _windows(texts, width, "pos", "doc_key", "slots", "n_words").join(own, "hash")
         if width < LITERALS:
             found = found.where((F.col("way") != EXACT) | (F.col("n_words") == width))

@@ -281,6 +281,12 @@ def test_figures_may_coincide(spark):
     assert decontaminated(spark, items, docs) == {(0, 0): (1.0, True), (1, 1): (1.0, True), (2, 0): (0.38, True), (3, 0): (0.06, True)}
 
 
+def test_case_and_line_breaks_hide_no_copy(spark):
+    item = APPLES.format(12, 5)
+    docs = [f(x) for x in (item, APPLES.format(30, 7)) for f in (str.lower, str.upper, str.title, lambda t: t.replace(" ", "\n"), lambda t: t.replace(" Omar", "\u00a0\r\n  Omar"))]
+    assert decontaminated(spark, [item], docs) == {(i, 0): (1.0, i >= 5) for i in range(10)}
+
+
 def test_loser_tree_sorts():
     rng = random.Random(4)
     for k in range(9):

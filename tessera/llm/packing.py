@@ -2,8 +2,8 @@
 
 Documents are tokenised, end with token 0, and only those that are longer than a sequence are cut. How many pieces
 there are of each length is all that the plan needs: at most SEQUENCE counts, whatever the corpus. From the longest
-length down, the gap that a length leaves is looked up in an index of sums: of one, two or three lengths that still
-have pieces. Combinations that fill the gap exactly are used up to their availability; what has no exact complement
+length down, the gap that a length leaves is filled by one, two or three lengths that still have pieces: a flag for
+each length tells the last of them, and those before it are searched; no sums are kept. Combinations that fill the gap exactly are used up to their availability; what has no exact complement
 is packed best-fit into the smallest gap that holds it. The plan is a short list of layouts with a multiplicity. Pieces are
 then numbered within their length, and number n of a length stands at a place of the layouts that n alone decides.
 

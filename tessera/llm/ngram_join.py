@@ -18,6 +18,9 @@ How it stays whole and even at any size:
   near copies costs a few probes and not all pairs.
 * A region of more than LANE_KEYS keys is spread over lanes; what is outside of the hub's component after that also
   probes the other lanes.
+* The sketch tells which shingles are in very many sets; these are dealt to several tasks by a salt.
+* Copies are counted before they meet classes, and classes of more than a thousandth of all documents meet them by a
+  broadcast of less than a thousand rows.
 
 Nulls, empty texts and texts without words have an empty set, are linked with nothing, and their component is their
 own id. A text of fewer words than a shingle is one shingle of all its words. Null ids are ignored by the minimum and
@@ -27,17 +30,23 @@ gives an empty result. Further columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.llm.common import in_arrow, text_bytes, written
 
 SKETCH_BITS = 24
 LANE_KEYS = 1 << 21
+#: Sets with one shingle that one task takes.
+HOT = 1 << 10
+#: Digests that a task remembers, so that copies in it are sent once.
+REMEMBERED = 200_000
 
 _U = np.uint64
 
@@ -152,7 +161,7 @@ def _sets_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        held = np.zeros(1 << bits, np.uint8)
+        held = np.zeros(1 << bits, np.uint16)
         arrow = None
         for b in batches:
             ids, texts = b.column(0), text_bytes(b)
@@ -163,11 +172,11 @@ def _sets_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 sizes.append(len(k))
                 sigs.append(digest(k))
                 at = (k >> shift).astype(np.int64)
-                held[at] = np.minimum(held[at], 254) + 1
+                held[at] = np.minimum(held[at], 65534) + 1
             m = len(sizes)
             yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=schema.names)
         if arrow is not None:
-            pieces = np.split(held, 64)
+            pieces = np.split(held, PARTS)
             used = [i for i, p in enumerate(pieces) if p.any()]
             m = len(used)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, arrow), *[pa.nulls(m, pa.int64())] * 3, pa.array(used, pa.int32()), pa.array([zlib.compress(pieces[i].tobytes(), 1) for i in used], pa.binary())], names=schema.names)
@@ -180,29 +189,50 @@ def doc_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def _ranks(seen: DataFrame, bits: int) -> np.ndarray:
-    """The sketch as one byte a counter, a logarithm of the count. 2**bits bytes at any input."""
+#: Pieces of a sketch, each summed by itself.
+PARTS = 64
+#: Sketches are summed in two steps where more tasks than this have one.
+ONE_STEP = 256
+
+
+class Ranks:
+    """The sketch as one byte a counter, a logarithm of the count, and how many counts a counter has on average."""
+
+    def __init__(self, sums: np.ndarray):
+        self.typical = max(1.0, float(sums.mean()))
+        # third steps of log2: fine enough to tell one from two where counters are seldom shared
+        self.table = np.clip(np.floor(3 * np.log2(sums.astype(np.float32) / np.float32(self.typical) + 1)), 0, 62).astype(np.uint8)
+
+    def salts(self) -> list[int]:
+        """By rank, among how many tasks the sets with such a shingle are dealt: HOT each, what other shingles may
+        have added to the counter left aside."""
+        return [max(1, math.ceil(self.typical * (2 ** ((r + 1) / 3) - 3) / HOT)) for r in range(63)]
+
+
+def _ranks(seen: DataFrame, bits: int) -> Ranks:
+    """2**bits counters at any input."""
 
     def add(key, table):
         import pyarrow as pa
 
-        total = np.zeros((1 << bits) // 64, np.int64)
-        for raw in table.column("counts").to_pylist():
-            raw = zlib.decompress(raw)
-            total += np.frombuffer(raw, np.uint8 if len(raw) * 64 == 1 << bits else np.uint32)
+        total = np.zeros((1 << bits) // PARTS, np.int64)
+        for raw in table.column("counts"):
+            raw = zlib.decompress(raw.as_py())
+            # those of a single task have two bytes a counter
+            total += np.frombuffer(raw, np.uint16 if len(raw) * PARTS == 2 << bits else np.uint32)
         raw = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([raw], pa.binary())})
 
-    parts = seen.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(256)).alias("lane"))
-    lanes = parts.groupBy("part", "lane").applyInArrow(lambda key, table: add(key, table), "part int, counts binary")
-    rows = lanes.groupBy("part").applyInArrow(lambda key, table: add(key, table), "part int, counts binary").collect()
+    parts = seen.where("part is not null").select("part", "counts")
+    tasks = parts.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    if tasks > ONE_STEP:
+        parts = parts.withColumn("lane", F.pmod(F.xxhash64("counts"), F.lit(math.isqrt(tasks)))).groupBy("part", "lane").applyInArrow(lambda key, table: add(key, table), "part int, counts binary")
+    rows = parts.groupBy("part").applyInArrow(lambda key, table: add(key, table), "part int, counts binary").collect()
     sums = np.zeros(1 << bits, np.uint32)
-    wide = (1 << bits) // 64
+    wide = (1 << bits) // PARTS
     for r in rows:
         sums[r["part"] * wide : (r["part"] + 1) * wide] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    typical = max(1.0, float(sums.mean()))
-    # third steps of log2: fine enough to tell one from two where counters are seldom shared
-    return np.clip(np.floor(3 * np.log2(sums.astype(np.float32) / np.float32(typical) + 1)), 0, 62).astype(np.uint8)
+    return Ranks(sums)
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
@@ -211,14 +241,16 @@ def _prefixes(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        ranks = sketch.value
+        ranks, known = sketch.value, set()
         for texts in map(text_bytes, batches):
-            tokens, sigs, sizes, known = [], [], [], set()
+            tokens, sigs, sizes = [], [], []
             for raw in texts:
                 k = shingle_set(raw, n)
                 d = digest(k)
-                if len(k) == 0 or d in known:  # copies side by side
+                if len(k) == 0 or d in known:
                     continue
+                if len(known) == REMEMBERED:
+                    known.clear()
                 known.add(d)
                 o = ordered(k, ranks)[: len(k) - least_shared(len(k), percent) + needed(len(k), percent)]
                 tokens.append(o.view(np.int64))
@@ -236,14 +268,16 @@ def _chosen_sets(docs: DataFrame, n: int, sketch, bloom) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        ranks, bits = sketch.value, bloom.value
+        ranks, bits, known = sketch.value, bloom.value, set()
         for texts in map(text_bytes, batches):
-            sigs, keys, known = [], [], set()
+            sigs, keys = [], []
             for raw in texts:
                 k = shingle_set(raw, n)
                 d = digest(k)
                 if d in known or not _may_hold(bits, d):
                     continue
+                if len(known) == REMEMBERED:
+                    known.clear()
                 known.add(d)
                 sigs.append(d)
                 keys.append(ordered(k, ranks).tobytes())
@@ -408,29 +442,44 @@ def _with_root(df: DataFrame, roots: DataFrame, key: str = "sig", name: str = "r
     return df.join(r, F.col(key) == F.col("_sig"), "left").withColumn(name, F.coalesce("_root", key)).drop("_sig", "_root")
 
 
-def classes(docs: DataFrame, n: int, percent: int, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, doc_key, n_shingles, sig) for each document, and the roots of the classes that are linked with another."""
-    spark = docs.sparkSession
-    seen = written(_sets_and_sketch(docs, n, bits), "ngram-seen")
-    sketch = spark.sparkContext.broadcast(_ranks(seen, bits))
-    every = written(_prefixes(docs, n, percent, sketch), "ngram-prefixes")
-    shared = every.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
-    live = written(every.join(shared, "token").groupBy("token", "sig").agg(F.first("size").alias("size")), "ngram-live")
+def _in_touch(every: DataFrame, percent: int, salts: list[int]) -> DataFrame:
+    """(token, salt, sig, size, touch) of the prefix shingles that may lead to a link.
+
+    Counting takes turns between shingles and sets, and each turn is one shuffle: windows count where the rows lie.
+    """
+    many = F.element_at(F.array(*map(F.lit, salts)), F.shiftrightunsigned("token", 58).cast("int") + 1)
+    rows = every.withColumn("salt", F.when(many > 1, F.pmod(F.xxhash64("sig"), many)).otherwise(0).cast("int"))
+    by_token, by_sig = Window.partitionBy("token", "salt"), Window.partitionBy("sig")
     # a similar set is no smaller than this one's least overlap with it
     least = F.ceil(F.col("size") * percent / 100).cast("int")
     enough = F.least(2 + F.ceil((100 - percent) * least / 400).cast("int"), least)
+    # copies that other tasks have seen as well
+    rows = rows.withColumn("before", F.lag("sig").over(by_token.orderBy("sig"))).where("before is null or before <> sig").drop("before")
     for _ in range(2):
-        busy = live.groupBy("sig").agg(F.count(F.lit(1)).alias("shares"), F.first("size").alias("size")).where(F.col("shares") >= enough).select("sig")
-        kept = live.select("token", "sig", "size").join(busy, "sig", "left_semi")
-        several = kept.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        live = written(kept.join(several, "token").select("token", "sig", "size", "sets"), "ngram-live")
-    touch = live.groupBy("sig").agg(F.sum(F.log2("sets")).alias("touch"))
-    best = live.join(touch, "sig").groupBy("token").agg(F.max(F.struct("touch", "sig")).alias("best")).select("token", F.col("best.sig").alias("hub"))
-    regions = live.select("token", "sig", "size").join(best, "token").select("hub", "sig", "size").distinct()
+        rows = rows.withColumn("sets", F.count(F.lit(1)).over(by_token)).where((F.col("sets") > 1) | (many > 1))
+        rows = rows.withColumn("shares", F.count(F.lit(1)).over(by_sig)).where(F.col("shares") >= enough).drop("shares")
+    # a salted shingle is in more sets than one task counts; hubs need no more than a rough number
+    rows = rows.withColumn("sets", F.count(F.lit(1)).over(by_token)).where((F.col("sets") > 1) | (many > 1)).withColumn("sets", F.col("sets") * many)
+    return rows.withColumn("touch", F.sum(F.log2("sets")).over(by_sig)).select("token", "salt", many.alias("salts"), "sig", "size", "touch")
+
+
+def classes(docs: DataFrame, n: int, percent: int, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc_key, n_shingles, sig) for each document, and the roots of the classes that are linked with another."""
+    spark = docs.sparkSession
+    seen = written(_sets_and_sketch(docs, n, bits), "ngram-seen")
+    ranks = _ranks(seen, bits)
+    sketch = spark.sparkContext.broadcast(ranks.table)
+    live = written(_in_touch(_prefixes(docs, n, percent, sketch), percent, ranks.salts()), "ngram-live")
+    best = live.groupBy("token").agg(F.max(F.struct("touch", "sig")).alias("best"), F.first("salts").alias("salts"))
+    best = best.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("best.sig").alias("hub"))
+    regions = live.select("token", "salt", "sig", "size").join(best, ["token", "salt"]).select("hub", "sig", "size").distinct()
     regions = written(regions, "ngram-regions")
     chosen = regions.select("sig").distinct()
     bloom = spark.sparkContext.broadcast(_bloom(chosen))
     sets = written(_chosen_sets(docs, n, sketch, bloom).join(chosen.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig"), "left_semi").dropDuplicates(["sig"]), "ngram-sets")
+    # what they were made for is written
+    sketch.destroy()
+    bloom.destroy()
     return seen.where("part is null").select("doc_id", "doc_key", "n_shingles", "sig"), components(_region_links(regions, sets, percent))
 
 
@@ -439,10 +488,15 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows, roots = classes(docs, n, percent)
     full, empty = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
     # copies are counted before they are joined with the components
-    ids = _with_root(full.groupBy("sig").agg(F.min("doc_id").alias("least")), roots)
-    least = written(ids.groupBy("root").agg(F.min("least").alias("component_id")).join(ids.select("sig", "root"), "root").select(F.col("sig").alias("_sig"), "component_id"), "ngram-least")
-    found = full.join(least, F.col("sig") == F.col("_sig")).select("doc_id", "n_shingles", "component_id", "sig")
-    return found.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig"))
+    ids = written(_with_root(full.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), roots), "ngram-ids")
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id")).join(ids.select("sig", "root", "copies"), "root").select(F.col("sig").alias("_sig"), "component_id", "copies")
+    least = written(least, "ngram-least")
+    # fewer than a thousand classes can hold a thousandth of the documents each
+    share = (least.agg(F.sum("copies")).first()[0] or 0) / 1000
+    heavy, light = F.broadcast(least.where(F.col("copies") > share)), least.where(F.col("copies") <= share)
+    same = F.col("sig") == F.col("_sig")
+    found = full.join(heavy, same).unionByName(full.join(heavy, same, "left_anti").join(light, same))
+    return found.select("doc_id", "n_shingles", "component_id", "sig").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -451,12 +505,14 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Documents with an empty set are linked with nothing and stay.
     """
     rows, roots = classes(docs, n, percent)
-    rows = written(_with_root(rows.where("n_shingles > 0"), roots), "ngram-rows")
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")).alias("best")).select("root", F.col("best.doc_key").alias("best_key"))
+    rows = rows.where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")).alias("best")
+    kept = _with_root(rows.groupBy("sig").agg(first), roots).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.doc_key").alias("best_key"))
     # written, so that the joins' strategy follows the size of the tables
-    gone = written(rows.join(best, "root").where("doc_key <> best_key").select(F.col("doc_key").alias("gone_key")).distinct(), "ngram-gone")
+    same = (F.col("doc_key") == F.col("best_key")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
+    gone = written(rows.join(kept, same, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key")).distinct(), "ngram-gone")
     again = written(rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("doc_key").alias("again_key")), "ngram-again")
-    left = docs.join(gone, doc_key(docs) == gone["gone_key"], "left_anti")
+    left = docs.join(gone, (doc_key(docs) == gone["gone_key"]) & docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
     single = left.join(again, doc_key(left) == again["again_key"], "left_anti")
     # rows that are repeated with id and text: few, or the join wouldn't be here
     double = left.join(again, doc_key(left) == again["again_key"], "inner").dropDuplicates(["again_key"]).select(*docs.columns)

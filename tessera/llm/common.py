@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +16,19 @@ from pyspark.sql import functions as F
 ASCII_SPACE = "\\x20\\x09-\\x0D"
 
 
+#: Bytes of rows that Python workers take at a time, where the session doesn't say otherwise. Texts differ in length by
+#: four orders of magnitude, so that a number of rows bounds no memory.
+ARROW_BYTES = 4 << 20
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset and all
+    executors are on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints/tessera"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,21 +51,55 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def _tidy() -> None:
+    """Give back to the system what a task has freed: workers are used again, and Spark counts on their memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow on workers that have this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow on workers that have this package, in batches of ARROW_BYTES."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_ARROW_KEY, None) in _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_KEY, str(ARROW_BYTES))
 
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _tidy()
+
+    return df.mapInArrow(tidied, schema)
 
-def new_folder(spark: SparkSession, name: str, listed: bool = True) -> str:
-    """A fresh path below the shared folder; forget_written() deletes the listed ones."""
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    if listed:
-        _WRITTEN.append(path)
-    return path
 
+#: Paths of tables by who is to delete them; the last list takes new ones.
+_OWNERS: list[list[str]] = [[]]
 
-_WRITTEN: list[str] = []
+
+@contextmanager
+def owned_by(paths: list[str]) -> Iterator[None]:
+    """Tables that operators write within the block are added to `paths`, for the caller to forget()."""
+    _OWNERS.append(paths)
+    try:
+        yield
+    finally:
+        _OWNERS.pop()
+
+
+def new_folder(spark: SparkSession, name: str, owned: bool = True) -> str:
+    """A fresh path below the shared folder, in the list of its owner."""
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if owned:
+        _OWNERS[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -64,19 +109,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget_written(spark: SparkSession) -> None:
-    """Delete the tables that operators have left in the shared folder.
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the tables in `paths` and empty the list.
 
-    Only for callers that have written their results: a DataFrame that still reads such a table fails afterwards.
+    For callers that have written their results: a DataFrame that still reads such a table fails afterwards.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        p = _WRITTEN.pop()
-        path = jvm.org.apache.hadoop.fs.Path(p)
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def forget_written(spark: SparkSession) -> None:
+    """forget() all tables that operators have left outside of owned_by()."""
+    forget(spark, _OWNERS[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,8 +33,8 @@ LOTS = 256
 
 
 @lru_cache(maxsize=2)
-def _encoders(name: str):
-    """The tokenizer of the file, and the same vocabulary as ranks, whose ids are equal and which is faster.
+def _fast(name: str):
+    """The file's vocabulary as ranks, whose ids are the tokenizer's and which is faster, and its special tokens.
 
     The tokenizers library takes special tokens out of a text; texts that hold one go to it.
     """
@@ -43,20 +43,26 @@ def _encoders(name: str):
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
         special = [t["content"] for t in json.load(f).get("added_tokens", [])]
-    return exact, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+
+
+@lru_cache(maxsize=2)
+def _exact(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
 
 
 def token_ids(text: str, name: str = "byte_bpe_50k") -> list[int]:
-    exact, fast, special = _encoders(name)
+    fast, special = _fast(name)
     if any(s in text for s in special):
-        return exact.encode(text, add_special_tokens=False).ids
+        return _exact(name).encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)
 
 

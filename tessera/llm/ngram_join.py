@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import in_arrow, text_bytes, written
+from tessera.llm.common import in_arrow, text_bytes, unused, written
 
 SKETCH_BITS = 24
 LANE_KEYS = 1 << 21
@@ -274,7 +274,7 @@ def _chosen_sets(docs: DataFrame, n: int, sketch, bloom) -> DataFrame:
             for raw in texts:
                 k = shingle_set(raw, n)
                 d = digest(k)
-                if d in known or not _may_hold(bits, d):
+                if d in known or not _hold(bits, np.array([d]))[0]:
                     continue
                 if len(known) == REMEMBERED:
                     known.clear()
@@ -289,35 +289,56 @@ def _chosen_sets(docs: DataFrame, n: int, sketch, bloom) -> DataFrame:
     return in_arrow(docs.select("text"), run, "sig bigint, keys binary")
 
 
-#: Bits of the filter that thins out sets before they are joined; 4 MB whatever the input. It may only let too many pass.
-BLOOM_BITS = 1 << 25
+#: Bits of a filter of digests, at most: 16 MB whatever the input. A filter may only let too many pass, and an exact
+#: join follows.
+MOST_BITS = 1 << 27
 
 
-def _may_hold(bits: np.ndarray, d: int) -> bool:
-    u = d & (2**64 - 1)
-    a, b = u % BLOOM_BITS, (u >> 32) % BLOOM_BITS
-    return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
+def _places(u: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two of `size` bits, a power of two, for each digest."""
+    return u & _U(size - 1), (u >> _U(32)) & _U(size - 1) ^ (u >> _U(59))
 
 
-def _bloom(sigs: DataFrame) -> np.ndarray:
-    """A filter over the column sig, united from one filter for each of 8 slices."""
+def _hold(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Which of the digests the filter may hold."""
+    a, b = _places(digests.view(_U), len(bits) * 8)
+    return (bits[a >> _U(3)] >> (a & _U(7)).astype(np.uint8) & bits[b >> _U(3)] >> (b & _U(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(digests: DataFrame, column: str) -> np.ndarray:
+    """A filter over a column of digests, united from one for each of 8 slices: 16 bits a digest up to MOST_BITS."""
+    size = min(MOST_BITS, max(1 << 16, 1 << (16 * digests.count()).bit_length()))
 
     def make(frames):
         import pyarrow as pa
 
-        bits = np.zeros(BLOOM_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in frames:
-            u = b.column(b.schema.get_field_index("sig")).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
-            bits[(u % _U(BLOOM_BITS)).astype(np.int64)] = True
-            bits[((u >> _U(32)) % _U(BLOOM_BITS)).astype(np.int64)] = True
+            for at in _places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U), size):
+                bits[at.astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
-    total = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in sigs.select("sig").coalesce(8).mapInArrow(make, "bits binary").toLocalIterator():
+    total = np.zeros(size // 8, np.uint8)
+    for r in in_arrow(digests.select(column).coalesce(8), make, "bits binary").toLocalIterator():
         total |= np.frombuffer(r["bits"], np.uint8)
     return total
 
 
+def _passed(docs: DataFrame, bits, hit: bool) -> DataFrame:
+    """The rows whose doc_key the filter may hold, or can't hold: texts that are sure of their fate needn't be
+    shuffled to learn it."""
+    at = len(docs.columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep = _hold(bits.value, b.column(at).to_numpy()) == hit
+            yield pa.RecordBatch.from_arrays(b.columns[:at], names=b.schema.names[:at]).filter(pa.array(keep))
+
+    return in_arrow(docs.withColumn(unused(docs, "key"), doc_key(docs)), run, docs.schema)
+
+
 def _links(groups: DataFrame, percent: int, join) -> DataFrame:
     """What join(rows) says of each group (hub, lane); groups: hub, lane, sig, probe, keys."""
 
@@ -402,14 +423,17 @@ def _with_sets(df: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _region_links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within regions (hub, sig, size), each hub being in its own."""
+    """Links within regions (hub, sig, size), each hub being in its own. sets: (sig, keys), one row for each sig."""
     lanes = regions.groupBy("hub").agg(F.ceil(F.sum("size") / LANE_KEYS).cast("int").alias("lanes"))
     placed = regions.join(lanes, "hub").withColumn("lane", F.pmod(F.xxhash64("sig"), F.col("lanes")).cast("int"))
     hubs = lanes.select("hub", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("hub").alias("sig"))
     rows = placed.where("sig <> hub").select("hub", "lane", "sig", "lanes").unionByName(hubs.withColumn("lanes", F.lit(0)))
-    found = written(_links(_with_sets(rows.withColumn("probe", F.lit(False)), sets), percent, _spanned(percent)), "ngram-region-links")
     wide = written(lanes.where("lanes > 1"), "ngram-wide")
-    if wide.isEmpty():
+    # sets go to their regions as they are read, unless they are needed again
+    again = not wide.isEmpty()
+    sets = written(sets, "ngram-sets") if again else sets
+    found = written(_links(_with_sets(rows.withColumn("probe", F.lit(False)), sets), percent, _spanned(percent)), "ngram-region-links")
+    if not again:
         return found.where("lane < 0").select("a", "b")
     # sets outside of their hub's component probe the region's other lanes
     rest = found.where("lane >= 0").select(F.col("a").alias("hub"), F.col("b").alias("sig"), F.col("lane").alias("own")).join(wide, "hub")
@@ -474,13 +498,13 @@ def classes(docs: DataFrame, n: int, percent: int, bits: int = SKETCH_BITS) -> t
     best = best.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("best.sig").alias("hub"))
     regions = live.select("token", "salt", "sig", "size").join(best, ["token", "salt"]).select("hub", "sig", "size").distinct()
     regions = written(regions, "ngram-regions")
-    chosen = regions.select("sig").distinct()
-    bloom = spark.sparkContext.broadcast(_bloom(chosen))
-    sets = written(_chosen_sets(docs, n, sketch, bloom).join(chosen.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig"), "left_semi").dropDuplicates(["sig"]), "ngram-sets")
+    chosen = spark.sparkContext.broadcast(_filter(regions.select("sig").distinct(), "sig"))
+    sets = _chosen_sets(docs, n, sketch, chosen).dropDuplicates(["sig"])
+    roots = components(_region_links(regions, sets, percent))
     # what they were made for is written
     sketch.destroy()
-    bloom.destroy()
-    return seen.where("part is null").select("doc_id", "doc_key", "n_shingles", "sig"), components(_region_links(regions, sets, percent))
+    chosen.destroy()
+    return seen.where("part is null").select("doc_id", "doc_key", "n_shingles", "sig"), roots
 
 
 def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -504,16 +528,22 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Documents with an empty set are linked with nothing and stay.
     """
+    spark = docs.sparkSession
     rows, roots = classes(docs, n, percent)
     rows = rows.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")).alias("best")
     kept = _with_root(rows.groupBy("sig").agg(first), roots).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.doc_key").alias("best_key"))
-    # written, so that the joins' strategy follows the size of the tables
     same = (F.col("doc_key") == F.col("best_key")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
+    # written, so that the joins' strategy follows the size of the tables
     gone = written(rows.join(kept, same, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key")).distinct(), "ngram-gone")
-    again = written(rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("doc_key").alias("again_key")), "ngram-again")
-    left = docs.join(gone, (doc_key(docs) == gone["gone_key"]) & docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    single = left.join(again, doc_key(left) == again["again_key"], "left_anti")
-    # rows that are repeated with id and text: few, or the join wouldn't be here
-    double = left.join(again, doc_key(left) == again["again_key"], "inner").dropDuplicates(["again_key"]).select(*docs.columns)
-    return single.unionByName(double)
+    again = rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("doc_key")
+    touched = written(gone.select(F.col("gone_key").alias("doc_key")).unionByName(again), "ngram-touched")
+    if touched.isEmpty():
+        return docs
+    bits = spark.sparkContext.broadcast(_filter(touched, "doc_key"))
+    key = unused(docs, "key")
+    maybe = _passed(docs, bits, True)
+    maybe = maybe.withColumn(key, doc_key(maybe))
+    left = maybe.join(gone, (F.col(key) == gone["gone_key"]) & maybe["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    # rows that are repeated with id and text
+    return _passed(docs, bits, False).unionByName(left.dropDuplicates([key, "doc_id"]).drop(key))

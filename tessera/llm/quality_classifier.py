@@ -158,11 +158,11 @@ def sample(labels: DataFrame, max_rows: int = MAX_ROWS, hold_out: bool = True) -
 
 
 def learned(counted: DataFrame, marked: DataFrame) -> Ensemble:
-    """An ensemble from counts of documents and the labels of some of them."""
+    """An ensemble from counts of documents and the labels of max_rows of them at most, whose ids are broadcast."""
     stats = statistics()
     names = list(stats)
     # of rows that share an id, the one with the least counts
-    one = counted.groupBy("doc_id").agg(F.min(F.struct(*FIELDS)).alias("least")).select("doc_id", "least.*")
+    one = counted.join(F.broadcast(marked.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*FIELDS)).alias("least")).select("doc_id", "least.*")
     rows = one.join(marked, "doc_id").select("quality", *[v.alias(k) for k, v in stats.items()]).toPandas().sort_values(["quality", *names])
     return fit(rows[names].to_numpy(dtype=float), rows["quality"].to_numpy(dtype=int), names)
 
@@ -170,7 +170,7 @@ def learned(counted: DataFrame, marked: DataFrame) -> Ensemble:
 def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, hold_out: bool = True) -> DataFrame:
     """doc_id, held_out, score, predicted for every document. hold_out: don't learn from rows that are held out."""
     counted = written(with_counts(docs), "classifier-counts")
-    model = learned(counted, sample(labels, max_rows, hold_out))
+    model = learned(counted, written(sample(labels, max_rows, hold_out), "classifier-labels"))
     # the features stand in columns of their own, so that each is computed once
     wide = counted.select("doc_id", *[v.alias(k) for k, v in statistics().items()])
     out = wide.select("doc_id", (crc_of_id(F.col("doc_id")) % 3 == 1).alias("held_out"), model.expression({k: F.col(k) for k in model.names}).alias("score"))

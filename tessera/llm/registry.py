@@ -41,7 +41,7 @@ def op8_pii(spark, sf_dir):
 
 
 def op9_warc(spark, sf_dir):
-    return warc.archived(table(spark, sf_dir, "pages"))
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_chat_format(spark, sf_dir):
@@ -52,5 +52,14 @@ def queries() -> dict:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_quality_rules, op4_sharding, op5_packing, op6_quality_classifier, op7_decontamination, op8_pii, op9_warc, op10_chat_format)}
 
 
+#: What the archives say of each page, by plain SQL over the pages.
+OP9_WARC = """
+WITH s AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, max(page_id) AS first FROM s WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM s LEFT JOIN f USING (payload_digest)
+"""
+
+
 def oracles() -> dict:
-    return {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}
+    return {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL, "op9_warc": OP9_WARC}.items() if v}

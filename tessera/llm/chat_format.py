@@ -8,7 +8,11 @@ path through the automaton of legal turns, found by dynamic programming, and the
 Costs of a stretch of turns form a matrix (state before, state after) under (min, +), which is associative. So
 conversations are range-partitioned by (conversation, turn), one may span any number of tasks, and only the stretches
 at the edges of partitions, two matrices a partition, meet on the driver. Each row comes back as a fragment of the
-rendering; fragments in order make up the conversation, so no conversation has to fit into one row.
+rendering with its place in the conversation; fragments by place make up the conversation, so no conversation has to
+fit into one row. rendered() puts them together, PAGE turns to a row.
+
+A text can't open or close a turn: between `<` and `|` it gets a backslash more than it has, which unescaped() takes
+away again.
 
 Nulls: a null text is empty, a null or unknown role is relabelled, a null turn comes first, and null conversation
 ids form one conversation. Ties of (conv_id, turn) follow role and text; repeated rows are merged like any others.
@@ -18,6 +22,9 @@ read.
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +38,10 @@ FAR = 1 << 40
 #: Cost of giving a turn another role: by the role it has (None: unknown), to each of ROLES.
 RELABEL = {"system": (0, 4, 6), "user": (5, 0, 4), "assistant": (6, 4, 0), None: (4, 1, 1)}
 OPEN, CLOSE, JOIN = "<|im_start|>{role}\n", "<|im_end|>\n", "\n\n"
+#: Turns in one row of rendered().
+PAGE = 10_000
+_MARKER = re.compile(r"<(\\*)\|")
+_ESCAPED = re.compile(r"<\\(\\*)\|")
 #: Messages to insert before one of a role, by the state before; None: not allowed.
 BETWEEN: dict[tuple[int, int], tuple[int, ...]] = {
     (START, 0): (), (START, 1): (), (START, 2): (1,),
@@ -99,6 +110,15 @@ def solve(roles: list[str | None], before: int, after: int | None) -> tuple[int,
     return total, found[::-1]
 
 
+def escaped(text: str) -> str:
+    """The text without anything that reads as a marker."""
+    return _MARKER.sub(r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return _ESCAPED.sub(r"<\1|", text)
+
+
 def fragments(texts: list[str | None], choices: list, first: bool, last: bool) -> list[str]:
     """Each turn's part of the rendering. A message is closed by what follows it."""
     out = []
@@ -108,7 +128,7 @@ def fragments(texts: list[str | None], choices: list, first: bool, last: bool) -
         else:
             empty = "".join(OPEN.format(role=ROLES[r]) + CLOSE for r in put)
             part = ("" if first and i == 0 else CLOSE) + empty + OPEN.format(role=ROLES[role])
-        out.append(part + (text or ""))
+        out.append(part + escaped(text or ""))
     if last and out:
         out[-1] += CLOSE + "".join(OPEN.format(role=ROLES[r]) + CLOSE for r in ENDING[choices[-1][0]])
     return out
@@ -119,7 +139,7 @@ COLUMNS = ["conv_id", "turn", "role", "text", "part", "side", "seq", "new_role",
 
 def formatted(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, new_role, merged, inserted (messages before or, at the end, after), cost, fragment, and
-    (part, seq), by which the fragments of a conversation are in order."""
+    seq, the place in the conversation, from 0."""
     spark = turns.sparkSession
     kind = {c: turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn", "role", "text")}
     schema = f"conv_id {kind['conv_id']}, turn {kind['turn']}, role string, text string, part int, side int, seq bigint, new_role string, merged boolean, inserted int, cost bigint, fragment string, costs array<bigint>"
@@ -138,20 +158,21 @@ def formatted(turns: DataFrame) -> DataFrame:
 
         return [ids, turn, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64())]
 
-    def answer(rows, part, first, last, before, after):
-        """Rows (conv_id, turn, role, text, seq) of a stretch with their choices."""
+    def answer(rows, part, first, last, before, after, base=0):
+        """Rows (conv_id, turn, role, text, seq) of a stretch with their choices. base: turns before the stretch."""
         _, choices = solve([known(r[2]) for r in rows], before, after)
         shown = fragments([r[3] for r in rows], choices, first, last)
         for i, (r, (state, merged, put, cost), text) in enumerate(zip(rows, choices, shown)):
             tail = ENDING[state] if last and i == len(rows) - 1 else ()
-            yield (r[0], r[1], r[2], None, part, None, r[4], ROLES[state], merged, len(put) + len(tail), cost + INSERT * len(tail), text, None)
+            yield (r[0], r[1], r[2], None, part, None, base + i, ROLES[state], merged, len(put) + len(tail), cost + INSERT * len(tail), text, None)
 
     def open_stretch(rows, part, side):
         m = identity()
         for r in rows:
             m = extend(m, known(r[2]))
         for i, r in enumerate(rows):
-            yield (*r[:4], part, side, r[4], None, None, None, None, None, [c for line in m for c in line] if i == 0 else None)
+            # with the first row, the matrix and the number of turns
+            yield (*r[:4], part, side, r[4], None, None, None, None, None, [*(c for line in m for c in line), len(rows)] if i == 0 else None)
 
     def first_pass(batches):
         """Conversations inside a partition are done; the first and the last may go on in a neighbour and stay open."""
@@ -183,7 +204,7 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     # two stretches a partition at most
     edges = table.where("costs is not null").select("part", "side", "conv_id", "costs").orderBy("part", "side").collect()
-    ends: dict[tuple[int, int], tuple[bool, bool, int, int | None]] = {}
+    ends: dict[tuple[int, int], tuple[bool, bool, int, int | None, int]] = {}
     chain: list = []
     for i, e in enumerate(edges):
         chain.append(e)
@@ -196,10 +217,11 @@ def formatted(turns: DataFrame) -> DataFrame:
             m, last = s["costs"], ahead[-1]
             ahead.append([min(last[a] + m[4 * a + b] for a in range(4)) for b in range(4)])
         state = min(range(4), key=lambda s: ahead[-1][s] + INSERT * len(ENDING[s]))
+        base = [0, *accumulate(s["costs"][16] for s in chain)]
         for n in range(len(chain) - 1, -1, -1):
             m = chain[n]["costs"]
             came = min(range(4), key=lambda a: ahead[n][a] + m[4 * a + state])
-            ends[chain[n]["part"], chain[n]["side"]] = (n == 0, n == len(chain) - 1, came, None if n == len(chain) - 1 else state)
+            ends[chain[n]["part"], chain[n]["side"]] = (n == 0, n == len(chain) - 1, came, None if n == len(chain) - 1 else state, base[n])
             state = came
         chain = []
     shared = spark.sparkContext.broadcast(ends)
@@ -209,9 +231,17 @@ def formatted(turns: DataFrame) -> DataFrame:
 
         part, side = key[0].as_py(), key[1].as_py()
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "seq"))), key=lambda r: r[4])
-        first, last, before, after = shared.value[part, side]
-        return pa.Table.from_batches([batch(list(answer(rows, part, first, last, before, after)), types_of(t.column("conv_id").type, t.column("turn").type))])
+        first, last, before, after, base = shared.value[part, side]
+        return pa.Table.from_batches([batch(list(answer(rows, part, first, last, before, after, base)), types_of(t.column("conv_id").type, t.column("turn").type))])
 
     rest = table.where("side is not null").groupBy("part", "side").applyInArrow(lambda key, t: second_pass(key, t), schema)
     out = table.where("side is null").unionByName(rest)
-    return out.select("conv_id", "turn", "role", "new_role", "merged", "inserted", "cost", "fragment", "part", "seq")
+    return out.select("conv_id", "turn", "role", "new_role", "merged", "inserted", "cost", "fragment", "seq")
+
+
+def rendered(turns: DataFrame) -> DataFrame:
+    """conv_id, page, n_turns, cost, text: each conversation as one text, or as several of PAGE turns, to be joined in
+    the order of pages."""
+    found = formatted(turns).withColumn("page", F.floor(F.col("seq") / PAGE))
+    parts = F.sort_array(F.collect_list(F.struct("seq", "fragment")))
+    return found.groupBy("conv_id", "page").agg(F.count(F.lit(1)).alias("n_turns"), F.sum("cost").alias("cost"), F.array_join(F.transform(parts, lambda p: p["fragment"]), "").alias("text"))

@@ -123,7 +123,7 @@ def test_warc(spark):
 
 def test_chat_format(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "user", None), (None, None, None, None), (2, 0, "bot", "x"), (2, 0, "bot", "x"), (3, 0, "assistant", "late")], "conv_id bigint, turn bigint, role string, text string")
-    rows = chat_format.formatted(turns).orderBy("part", "seq").collect()
+    rows = chat_format.formatted(turns).orderBy("conv_id", "seq").collect()
     assert len(rows) == 6
     text = "".join(r["fragment"] for r in rows if r["conv_id"] == 3)
     assert text == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nlate<|im_end|>\n"

@@ -99,56 +99,121 @@ class Softmax(ArgMax):
         return best(self.scored(candidates, ctx), ctx, [-(F.col("score") / self.temperature - F.log(-F.log(u)))]).drop("score")
 
 
+def in_groups(candidates: DataFrame, ctx: Context, pick: Callable[[Any, Any, Any], Any]) -> DataFrame:
+    """The rows that pick(table, edges, turns) names by their places in the table; a negative place is none.
+
+    Groups come whole and in canonical order, many to a call: rows edges[i] .. edges[i + 1] of the Arrow table are
+    group i, which is at turns[i]. Only a group larger than a batch makes a call hold more than about a batch.
+    """
+    turns = ctx.turns if ctx.turns is not None else candidates.select("world_id").distinct().withColumn("turn", F.lit(0).cast("long"))
+    names = candidates.columns
+    # match columns have dots and question marks in their names
+    safe = [f"c{i}" for i in range(len(names))]
+    own = {n: s for n, s in zip(names, safe)}
+    keys = [own[g] for g in ctx.groups]
+    given = candidates.join(turns.select("world_id", F.coalesce("turn", F.lit(0)).alias("_turn")), "world_id", "left")
+    given = given.select(*[tick(c).alias(s) for c, s in zip(names, safe)], F.coalesce("_turn", F.lit(0)).alias("_turn"))
+    dealt = given.repartition(*keys).sortWithinPartitions(*keys, own["passes"], *[own[e] for e in ctx.elements])
+    schema = T.StructType([T.StructField(c, k.dataType) for c, k in zip(safe, candidates.schema)])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def changes(t):
+            differ = np.zeros(max(0, t.num_rows - 1), bool)
+            for k in keys:
+                v = t.column(k).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(k).to_numpy()
+                differ |= v[1:] != v[:-1]
+            return np.flatnonzero(differ) + 1
+
+        def chosen(parts):
+            t = pa.Table.from_batches(parts).combine_chunks()
+            edges = np.concatenate([[0], changes(t), [t.num_rows]])
+            places = np.asarray(pick(t.rename_columns([*names, "_turn"]), edges, t.column("_turn").to_numpy()[edges[:-1]]), np.int64)
+            yield from t.select(safe).take(pa.array(places[places >= 0])).to_batches()
+
+        held, last = [], None  # the last group may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held and tuple(b.column(k)[0].as_py() for k in keys) != last:
+                yield from chosen(held)
+                held = []
+            cuts = changes(b)
+            if len(cuts):
+                yield from chosen([*held, b.slice(0, int(cuts[-1]))])
+                held = []
+                b = b.slice(int(cuts[-1]))
+            held.append(b)
+            last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
+        if held:
+            yield from chosen(held)
+
+    return dealt.mapInArrow(run, schema).toDF(*names)
+
+
 @dataclass(frozen=True)
 class Function(Agent):
     """A Python function of (world id, turn, list of candidate dicts), giving an index or None.
 
-    It runs once for each group, on the group's candidates; for many candidates use ArgMax or Vectorised.
+    It runs once for each group, on the group's candidates; for many candidates use ArgMax or Batched.
     """
 
     f: Callable[[int, int, list[dict]], int | None]
 
     def choose(self, candidates, ctx):
-        turns = ctx.turns if ctx.turns is not None else candidates.select("world_id").distinct().withColumn("turn", F.lit(0).cast("long"))
-        given = candidates.join(turns.select("world_id", F.col("turn").alias("_turn")), "world_id", "left")
-        names, f, elements = candidates.columns, self.f, list(ctx.elements)
-        # match columns have dots and question marks in their names
-        safe = [f"c{i}" for i in range(len(names))]
-        schema = T.StructType([T.StructField(c, k.dataType) for c, k in zip(safe, candidates.schema)])
-
-        def pick(pdf):
-            pdf.columns = [*names, "_turn"]
-            pdf = pdf.sort_values(["passes", *elements]).reset_index(drop=True)
-            own = pdf[names].astype(object)
-            turn = pdf["_turn"].iloc[0]
-            i = f(int(pdf["world_id"].iloc[0]), 0 if turn is None or turn != turn else int(turn), own.where(own.notna(), None).to_dict("records"))
-            out = pdf.iloc[0:0][names] if i is None else pdf.iloc[[i]][names]
-            out.columns = safe
-            return out
-
-        given = given.select(*[tick(c).alias(s) for c, s in zip(names, safe)], "_turn")
-        return given.groupBy(*[safe[names.index(g)] for g in ctx.groups]).applyInPandas(pick, schema).toDF(*names)
+        f = self.f
+
+        def pick(table, edges, turns):
+            places = []
+            for a, b, turn in zip(edges, edges[1:], turns):
+                rows = table.slice(a, b - a).drop_columns("_turn").to_pylist()
+                i = f(rows[0]["world_id"], int(turn), rows)
+                places.append(-1 if i is None else a + range(len(rows))[i])
+            return places
+
+        return in_groups(candidates, ctx, pick)
+
+
+@dataclass(frozen=True)
+class Batched(Agent):
+    """A Python function of (matrix of candidates by elements, edges, turns) giving a 1-based index for each group,
+    which is clamped; rows edges[i] .. edges[i + 1] of the matrix are group i. One call serves many worlds and agents.
+    A pass is a row of zeros.
+    """
+
+    f: Callable[[Any, Any, Any], Any]
+
+    def choose(self, candidates, ctx):
+        f, elements = self.f, list(ctx.elements)
+
+        def pick(table, edges, turns):
+            import numpy as np
+
+            cols = [table.column(e).fill_null(0).to_numpy() for e in elements]
+            matrix = np.stack(cols, axis=1) if cols else np.zeros((table.num_rows, 0), np.int64)
+            return edges[:-1] + np.clip(np.asarray(f(matrix, edges, turns), np.int64), 1, np.diff(edges)) - 1
+
+        return in_groups(candidates, ctx, pick)
 
 
 @dataclass(frozen=True)
 class Vectorised(Agent):
     """A Python function of (matrix of candidates by elements, turn) giving a 1-based index, which is clamped.
 
-    One call serves a group; calls of many groups share Arrow batches.
+    One call serves a group, on a slice of the matrix that the groups of a batch share.
     """
 
     f: Callable[[Any, int], int]
 
     def choose(self, candidates, ctx):
-        f, elements = self.f, list(ctx.elements)
-
-        def pick(_, turn, rows):
-            import numpy as np
+        f = self.f
 
-            m = np.array([[r[e] if r[e] is not None else 0 for e in elements] for r in rows], dtype=np.int64).reshape(len(rows), len(elements))
-            return min(max(int(f(m, turn)), 1), len(rows)) - 1
+        def each(matrix, edges, turns):
+            return [int(f(matrix[a:b], int(t))) for a, b, t in zip(edges, edges[1:], turns)]
 
-        return Function(pick).choose(candidates, ctx)
+        return Batched(each).choose(candidates, ctx)
 
 
 @dataclass

@@ -7,29 +7,29 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.functions.numbering import ranked
 
 
 def ordinal(df: DataFrame, attr: str) -> DataFrame:
-    """(value, code): distinct set values, 1 for the least. The distinct values are few; they are ranked in one task."""
-    values = df.where(F.col(attr).isNotNull()).select(F.col(attr).alias("value")).distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")).cast("long"))
+    """(value, code): distinct set values, 1 for the least."""
+    return ranked(df.where(F.col(attr).isNotNull()).select(F.col(attr).alias("value")).distinct(), ["value"], "code")
 
 
 def nominal(df: DataFrame, attr: str, seen: list[str]) -> DataFrame:
     """(value, code): distinct set values in the order in which they are first seen, by the columns `seen`."""
     first = df.where(F.col(attr).isNotNull()).groupBy(F.col(attr).alias("value")).agg(F.min(F.struct(*seen)).alias("at"))
-    return first.withColumn("code", F.row_number().over(Window.orderBy("at", "value")).cast("long")).select("value", "code")
+    return ranked(first, ["at", "value"], "code").select("value", "code")
 
 
 def extended(codes: DataFrame, values: DataFrame, ordered: bool) -> DataFrame:
     """A dictionary with more values: ranks shift, numbers are appended."""
     both = codes.select("value").unionByName(values.select("value")).where("value is not null").distinct()
     if ordered:
-        return both.withColumn("code", F.row_number().over(Window.orderBy("value")).cast("long"))
+        return ranked(both, ["value"], "code")
     new = both.join(codes, "value", "left_anti")
     top = codes.agg(F.coalesce(F.max("code"), F.lit(0)).alias("top"))
-    return codes.unionByName(new.crossJoin(top).select("value", (F.col("top") + F.row_number().over(Window.orderBy("value"))).alias("code")))
+    return codes.unionByName(ranked(new, ["value"], "after").crossJoin(top).select("value", (F.col("top") + F.col("after")).alias("code")))
 
 
 def encode(df: DataFrame, attr: str, codes: DataFrame, name: str | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.world import shared
+
 LOTS = 1024
 
 
@@ -26,6 +28,21 @@ def numbered(df: DataFrame, by: list[str], name: str = "n", lots: int = LOTS) ->
     return ranked.join(sums, ["world_id", "_lot"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_lot", "_in", "_base")
 
 
+def ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with 1, 2, ... under `name` in the order of `by`, which tells rows apart.
+
+    Rows are dealt by ranges of the order; what is ranked in one task is the number of rows of each range. Ranges are
+    drawn anew for each run, so they are written down before they are counted.
+    """
+    shared(df.sparkSession)
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_held")).select("_part", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_base"))
+    found = dealt.withColumn("_part", part).join(sizes, "_part")
+    return found.withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).select(*df.columns, name)
+
+
 def chosen_of(value: Column, table: dict, default: Column | None = None) -> Column:
     """The value that a small mapping gives; the default, or null, for others."""
     if not table:

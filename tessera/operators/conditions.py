@@ -51,19 +51,22 @@ def _reduced(n: Pattern, known: Iterable[str]) -> Pattern:
     return Pattern(n.schema, {e: o for e, o in n.elements.items() if e in kept}, homs, attrs)
 
 
-def satisfied(matches: DataFrame, pattern: Pattern, world: World, conditions: Iterable[Condition]) -> DataFrame:
-    """The matches that meet all conditions, each by one semi- or anti-join on the elements that they share."""
+def satisfied(matches: DataFrame, pattern: Pattern, world: World, conditions: Iterable[Condition], anchored: bool = False) -> DataFrame:
+    """The matches that meet all conditions, each by one semi- or anti-join on the elements that they share.
+
+    anchored: the matches are few, so that the search for extensions starts from them.
+    """
     for c in conditions:
         small = _reduced(c.extension, pattern.elements)
         thresholds = [t for t in c.thresholds if t.element in small.elements]
-        found = match(small, world, monic=c.monic, thresholds=thresholds)
         keys = [e for e in small.elements if e in pattern.elements]
+        found = match(small, world, monic=c.monic, thresholds=thresholds, pins=matches.select("world_id", *map(tick, keys)) if anchored and keys else None)
         keys += [f"?{v}" for v in small.variables() if v in pattern.variables()]
         new = [e for e in small.elements if e not in pattern.elements]
         injective = set(world.schema.obs) if c.monic is True else set() if c.monic is False else set(c.monic)
         apart = [(x, e) for e in new for x in c.extension.elements if x in pattern.elements and x not in keys and small.elements[e] == pattern.elements[x] and small.elements[e] in injective]
         needed = [*keys, *dict.fromkeys(e for _, e in apart)]
-        right = found.select(F.col("world_id").alias("_w"), *[tick(k).alias(f"_{i}") for i, k in enumerate(needed)]).distinct()
+        right = found.select(F.col("world_id").alias("_w"), *[tick(k).alias(f"_{i}") for i, k in enumerate(needed)])
         same = [F.col("world_id") == F.col("_w")] + [tick(k) == F.col(f"_{i}") for i, k in enumerate(keys)]
         same += [tick(x) != F.col(f"_{needed.index(e)}") for x, e in apart]
         matches = matches.join(right, reduce(lambda a, b: a & b, same), "left_semi" if c.must else "left_anti")
@@ -100,6 +103,6 @@ class Guard:
     conditions: tuple[Condition, ...] = ()
     deleted: tuple[str, ...] = field(default=())
 
-    def applied(self, matches: DataFrame, pattern: Pattern, world: World) -> DataFrame:
-        kept = satisfied(identified(matches, pattern, self.deleted), pattern, world, self.conditions)
+    def applied(self, matches: DataFrame, pattern: Pattern, world: World, anchored: bool = False) -> DataFrame:
+        kept = satisfied(identified(matches, pattern, self.deleted), pattern, world, self.conditions, anchored)
         return undangling(kept, pattern, world, self.deleted)

@@ -49,9 +49,16 @@ def order(pattern: Pattern) -> list[Column]:
 class Plan:
     """Decides scans, joins and their order for one pattern."""
 
-    def __init__(self, pattern: Pattern, world: World, monic: Monic, pins: dict[str, Any], thresholds: Iterable[Threshold], keep_joins: bool = False, extra: dict[str, list[str]] | None = None):
+    def __init__(
+        self, pattern: Pattern, world: World, monic: Monic, pins: dict[str, Any], thresholds: Iterable[Threshold], keep_joins: bool = False, extra: dict[str, list[str]] | None = None, held: DataFrame | None = None, same: Iterable[tuple[str, str]] = ()
+    ):
         self.pattern, self.world, self.pins = pattern, world, pins
         self.thresholds = list(thresholds)
+        # rows that restrict the elements they name jointly: the search starts there
+        self.held, self.anchors = held, [] if held is None else [e for e in pattern.elements if e in held.columns]
+        self.same = list(same)
+        if unknown := [e for pair in self.same for e in pair if e not in pattern.elements]:
+            raise ValueError(f"no element {unknown[0]}")
         injective = set(world.schema.obs) if monic is True else set() if monic is False else set(monic)
         if unknown := injective - set(world.schema.obs):
             raise ValueError(f"no table {sorted(unknown)}")
@@ -67,7 +74,7 @@ class Plan:
     def _only_followed(self) -> set[str]:
         """Elements that nothing but one foreign key of another element speaks of."""
         p = self.pattern
-        busy = {e for e, _ in p.homs} | {e for e, _ in p.attrs} | {t.element for t in self.thresholds} | set(self.extra)
+        busy = {e for e, _ in p.homs} | {e for e, _ in p.attrs} | {t.element for t in self.thresholds} | set(self.extra) | {e for pair in self.same for e in pair}
         return {e for e in p.elements if e not in busy and any(to == e for to in p.homs.values())}
 
     def scan(self, e: str) -> DataFrame:
@@ -103,13 +110,36 @@ class Plan:
         constant = sum(x == e and not isinstance(v, Var) for (x, _), v in p.attrs.items())
         return (e not in self.pins, -constant, -sum(t.element == e for t in self.thresholds), -sum(x == e for x, _ in p.homs))
 
-    def component(self, names: list[str]) -> DataFrame:
-        p = self.pattern
+    def components(self) -> list[list[str]]:
+        """The pattern's connected parts; rows that hold elements jointly, and elements that are one, connect them."""
+        parts = self.pattern.components()
+        for ties in [self.anchors, *self.same]:
+            tied = [c for c in parts if set(c) & set(ties)]
+            if len(tied) > 1:
+                parts = [[e for e in self.pattern.elements if any(e in c for c in tied)]] + [c for c in parts if c not in tied]
+        return parts
+
+    def start(self, names: list[str]) -> tuple[DataFrame, list[str]]:
+        """What the search of a part starts from: the rows that hold its elements, or its most selective scan."""
         todo = [e for e in names if e not in self.followed]
-        first = min(todo, key=self.weight)
-        df, done = self.scan(first), [first]
-        todo.remove(first)
-        df = self._follow(df, done)
+        own = [e for e in self.anchors if e in names]
+        if not own:
+            first = min(todo, key=self.weight)
+            return self._follow(self.scan(first), done := [first]), done
+        df = self.held.select("world_id", *[tick(e).cast("long").alias(e) for e in own]).distinct()
+        for a, b in self.apart:
+            if a in own and b in own:
+                df = df.where(tick(a) != tick(b))
+        done = list(own)
+        for e in own:
+            if e not in self.followed:
+                done.append(done.pop(done.index(e)))  # _follow() looks at the last
+                df = self._follow(df.join(self.scan(e), ["world_id", e]), done)
+        return df, done
+
+    def component(self, names: list[str]) -> DataFrame:
+        df, done = self.start(names)
+        todo = [e for e in names if e not in self.followed and e not in done]
         while todo:
             near = [e for e in todo if self._between(e, done)]
             e = min(near, key=self.weight)
@@ -123,7 +153,7 @@ class Plan:
         return df
 
     def _follow(self, df: DataFrame, done: list[str]) -> DataFrame:
-        """Elements that a foreign key of the last element leads to, without a join."""
+        """Elements that a foreign key of the last element leads to, without a join; they join `done`."""
         last = done[-1]
         for (x, h), to in self.pattern.homs.items():
             if x == last and to in self.followed:
@@ -155,19 +185,20 @@ class Plan:
             own = [(x, n) for x, n in places if x == e]
             if before and own:
                 found.append(tick(_hom(*own[0])) == tick(_hom(*before[0])))
-        return found
+        return found + [tick(a) == tick(b) for a, b in self.same if (a == e and b in done) or (b == e and a in done)]
 
     def build(self) -> DataFrame:
         p = self.pattern
         if not p.elements:
             return self.world.ids.select("world_id")
-        parts = [self.component(c) for c in p.components()]
+        components = self.components()
+        parts = [self.component(c) for c in components]
         df = parts[0]
         for other in parts[1:]:
             other = other.withColumnRenamed("world_id", "_w")
             df = (df.crossJoin(other) if self.world.one_world else df.join(other, F.col("world_id") == F.col("_w"))).drop("_w")
         names = set()
-        for c in p.components():
+        for c in components:
             for a, b in self.apart:
                 if (a in c) != (b in c) and (a, b) not in names:
                     names.add((a, b))
@@ -189,22 +220,23 @@ def match(
     view: Callable[[World], World] | None = None,
     keep_joins: bool = False,
     extra: dict[str, list[str]] | None = None,
+    same: Iterable[tuple[str, str]] = (),
 ) -> DataFrame:
     """All matches of the pattern.
 
     monic: True, or the tables within which elements must differ. pins: part ids by element, or a DataFrame with
-    world_id and columns named like elements, whose rows restrict the matches jointly. take: so many matches of each
+    world_id and columns named like elements, whose rows restrict the matches jointly; the search starts from them.
+    same: pairs of elements that must be one row. take: so many matches of each
     world by a seeded hash, all where there are no more. limit: the first so many of each world in canonical order.
     view: what of the world may be seen. keep_joins: join even where a checked foreign key suffices. extra: attrs of
     elements to carry as `element.attr`.
     """
     if view is not None:
         world = view(world)
-    fixed = pins if isinstance(pins, dict) else {}
-    df = Plan(pattern, world, monic, fixed, thresholds, keep_joins, extra).build()
-    if isinstance(pins, DataFrame):
-        keys = ["world_id", *[c for c in pins.columns if c in pattern.elements]]
-        df = df.join(pins.select(*keys).distinct(), keys, "left_semi")
+    fixed, held = (pins, None) if isinstance(pins, dict) else ({}, pins)
+    df = Plan(pattern, world, monic, fixed, thresholds, keep_joins, extra, held, same).build()
+    if held is not None and not any(e in held.columns for e in pattern.elements):
+        df = df.join(held.select("world_id").distinct(), "world_id", "left_semi")
     if take is not None:
         df = sample(df, pattern, take, seed)
     if limit is not None:
@@ -212,12 +244,34 @@ def match(
     return df
 
 
+#: Up to so many first rows of a group Spark finds before it shuffles; a larger number goes through lots.
+FEW = 1000
+LOTS = 1024
+
+
 def first(df: DataFrame, n: int, by: list[Column], one_world: bool = False) -> DataFrame:
-    """The first n rows of each world: a top-n where there is one, else a window that Spark limits before it shuffles."""
+    """The first n rows of each world: a top-n for one world; for a few rows a window that Spark limits before it
+    shuffles; else by lots of the first column's range."""
     if one_world:
         return df.orderBy(*by).limit(n) if by else df.limit(n)
-    w = Window.partitionBy("world_id").orderBy(*(by or [F.lit(0)]))
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    if n <= FEW or not by:
+        w = Window.partitionBy("world_id").orderBy(*(by or [F.lit(0)]))
+        return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    ends = df.groupBy("world_id").agg(F.min(by[0]).alias("_low"), F.max(by[0]).alias("_high"))
+    width = (F.col("_high").cast("double") - F.col("_low") + 1) / LOTS
+    return _by_lots(df.join(ends, "world_id"), n, F.floor((by[0].cast("double") - F.col("_low")) / width).cast("int"), by).drop("_low", "_high")
+
+
+def _by_lots(df: DataFrame, n: int, lot: Column, by: list[Column]) -> DataFrame:
+    """The first n rows of each world, where lots follow the order: lots are counted, and rows are ordered within
+    their lot, so that a world's rows are many tasks."""
+    placed = df.withColumn("_lot", lot)
+    before = Window.partitionBy("world_id").orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
+    # at most LOTS rows a world
+    lots = placed.groupBy("world_id", "_lot").agg(F.count(F.lit(1)).alias("_held")).withColumn("_base", F.coalesce(F.sum("_held").over(before), F.lit(0))).where(F.col("_base") < n)
+    kept = placed.join(lots.select("world_id", "_lot", "_base"), ["world_id", "_lot"])
+    rank = F.row_number().over(Window.partitionBy("world_id", "_lot").orderBy(*by))
+    return kept.withColumn("_rank", rank).where(F.col("_rank") + F.col("_base") <= n).drop("_rank", "_lot", "_base").select(*df.columns)
 
 
 def uniform(seed: int | Column, *keys: Column) -> Column:
@@ -228,7 +282,10 @@ def uniform(seed: int | Column, *keys: Column) -> Column:
 def sample(df: DataFrame, pattern: Pattern, n: int, seed: int) -> DataFrame:
     """n matches of each world, each set of n as likely as another over seeds."""
     ids = order(pattern)
-    return first(df, n, [F.xxhash64(F.lit(seed), F.col("world_id"), *ids), *ids])
+    draw = F.xxhash64(F.lit(seed), F.col("world_id"), *ids)
+    if n <= FEW:
+        return first(df, n, [draw, *ids])
+    return _by_lots(df.withColumn("_draw", draw), n, F.shiftright("_draw", 54).cast("int"), [F.col("_draw"), *ids]).drop("_draw")
 
 
 def count(matches: DataFrame) -> DataFrame:

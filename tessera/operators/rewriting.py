@@ -13,18 +13,19 @@ from tessera.functions.numbering import clamped, numbered
 from tessera.operators.matching import match, tick
 from tessera.pattern import Var
 from tessera.rule import Rule
-from tessera.world import World
+from tessera.world import World, shared
 
 
 def legal(rule: Rule, world: World, pins: dict[str, Any] | DataFrame | None = None, take: int | None = None, seed: int = 0, limit: int | None = None, view=None) -> DataFrame:
     """The matches that a rule may be applied at: conditions, identification and dangling checks first, then limits.
 
-    Conditions see the whole world even where a view restricts the matches.
+    Conditions see the whole world even where a view restricts the matches. Pins come before all of it, and the
+    search for extensions starts from the pinned matches as well.
     """
     from tessera.operators import matching
 
     found = match(rule.left, world, rule.monic, pins, rule.thresholds, view=view)
-    found = rule.guard.applied(found, rule.left, world)
+    found = rule.guard.applied(found, rule.left, world, anchored=pins is not None)
     if take is not None:
         found = matching.sample(found, rule.left, take, seed)
     if limit is not None:
@@ -90,7 +91,7 @@ def apply(rule: Rule, chosen: DataFrame, world: World) -> Change:
             tables[o] = tables[o].join(gone, ["world_id", "part_id"], "left_anti")
 
     # ids of new rows: as many for each match as the rule adds to a table
-    places: dict[str, str] = {b: a for a, b in rule.keep.items()}
+    places: dict[str, str] = {b: a for a, b in reversed(rule.keep.items())}
     for o in world.schema.obs:
         own = [e for e in rule.added if rule.right.elements[e] == o]
         if own:
@@ -139,6 +140,21 @@ def apply(rule: Rule, chosen: DataFrame, world: World) -> Change:
             joined = tables[o].join(new, ["world_id", "part_id"], "left")
             tables[o] = joined.select(*[F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in world.schema.struct(o).names])
 
+    for o in dict.fromkeys(rule.left.elements[a] for a, _ in rule.merged):
+        pairs = [chosen.select("world_id", tick(a).alias("gone"), tick(b).alias("stays")) for a, b in rule.merged if rule.left.elements[a] == o]
+        one = _representatives(reduce(DataFrame.unionByName, pairs).where("gone <> stays").distinct())
+        counters.append(_next_ids(world, o).select("world_id", F.lit(o).alias("ob"), "next"))
+        gone = one.select("world_id", F.col("part_id").alias("part_id"))
+        deleted[o] = deleted[o].unionByName(gone) if o in deleted else gone
+        tables[o] = tables[o].join(gone, ["world_id", "part_id"], "left_anti")
+        to = one.select(F.col("world_id").alias("_w"), F.col("part_id").alias("_p"), F.col("root").alias("_root"))
+        for h, (a, b) in world.schema.homs.items():
+            if b == o:
+                moved = tables[a].join(to, (F.col("world_id") == F.col("_w")) & (F.col(h) == F.col("_p")), "left")
+                hit = moved.where("_p is not null").select("world_id", "part_id")
+                updated[a] = updated[a].unionByName(hit).distinct() if a in updated else hit
+                tables[a] = moved.withColumn(h, F.coalesce("_root", h)).drop("_w", "_p", "_root").select(*world.schema.struct(a).names)
+
     kept = world.counters
     if counters:
         fresh = reduce(DataFrame.unionByName, counters)
@@ -148,13 +164,33 @@ def apply(rule: Rule, chosen: DataFrame, world: World) -> Change:
     return Change(after, deleted, inserted, updated, images)
 
 
+def _representatives(pairs: DataFrame) -> DataFrame:
+    """(world_id, part_id, root) of rows that become another: pairs (gone, stays) of all matches, followed to the end.
+
+    A row that stays for one match and goes for another takes its rows along; of several that a row becomes, and in
+    circles, the least id stays.
+    """
+    shared(pairs.sparkSession)
+    both = pairs.select("world_id", F.col("gone").alias("a"), F.col("stays").alias("b")).unionByName(pairs.select("world_id", F.col("stays").alias("a"), F.col("gone").alias("b"))).distinct().checkpoint()
+    # rows that only stay are preferred as roots of what becomes one
+    only = pairs.select("world_id", F.col("stays").alias("part_id")).distinct().join(pairs.select("world_id", F.col("gone").alias("part_id")).distinct(), ["world_id", "part_id"], "left_anti").withColumn("top", F.lit(0))
+    roots = both.select("world_id", F.col("a").alias("part_id")).distinct().join(only, ["world_id", "part_id"], "left")
+    roots = roots.select("world_id", "part_id", F.struct(F.coalesce("top", F.lit(1)).alias("late"), F.col("part_id").alias("id")).alias("root")).checkpoint()
+    while True:
+        near = both.join(roots, (both["world_id"] == roots["world_id"]) & (both["b"] == roots["part_id"])).groupBy(both["world_id"], both["a"].alias("part_id")).agg(F.min("root").alias("near"))
+        step = roots.join(near, ["world_id", "part_id"]).select("world_id", "part_id", F.col("root").alias("was"), F.least("root", "near").alias("root")).checkpoint()
+        roots = step.drop("was")
+        if step.where("root <> was").isEmpty():
+            return roots.select("world_id", "part_id", F.col("root.id").alias("root")).where("part_id <> root")
+
+
 def independent(rule: Rule, chosen: DataFrame, rank: list[Column]) -> DataFrame:
     """Of matches that contend for a row, the first by rank.
 
     Rows that a match deletes or changes may be used by no other match of the world; a match stays if it is the first
     at every row that it shares with such a use.
     """
-    changing = [*rule.deleted, *[e for e in rule.keep if e in rule.changed_attrs() or e in rule.changed_homs() or any(d.element == e for d in rule.deltas)]]
+    changing = [*rule.deleted, *[e for pair in rule.merged for e in pair], *[e for e in rule.keep if e in rule.changed_attrs() or e in rule.changed_homs() or any(d.element == e for d in rule.deltas)]]
     if not changing or not rule.left.elements:
         return chosen
     placed = numbered_rank(chosen, rank)
@@ -173,11 +209,11 @@ def numbered_rank(df: DataFrame, rank: list[Column]) -> DataFrame:
 def cascade(world: World, seeds: dict[str, DataFrame]) -> World:
     """Delete rows (world_id, part_id) by table, and all rows that refer to deleted ones, to the end.
 
-    The rounds are those of the longest chain of foreign keys among the tables, or, on cycles, until nothing new goes.
+    The rounds end when nothing new goes: without cycles after the longest chain of foreign keys among the tables.
+    What goes is checkpointed in each round, so that a round reads no earlier one.
     """
+    shared(world.spark)
     tables, front = dict(world.tables), dict(seeds)
-    order = world.schema.load_order()
-    acyclic = all(order.index(b) < order.index(a) for a, b in world.schema.homs.values())
     while front:
         for o, gone in front.items():
             tables[o] = tables[o].join(gone.select("world_id", "part_id"), ["world_id", "part_id"], "left_anti")
@@ -187,8 +223,6 @@ def cascade(world: World, seeds: dict[str, DataFrame]) -> World:
                 gone = front[b].select(F.col("world_id").alias("_w"), F.col("part_id").alias("_p"))
                 t = tables[a]
                 after.setdefault(a, []).append(t.join(gone, (t["world_id"] == F.col("_w")) & (t[h] == F.col("_p")), "left_semi").select("world_id", "part_id"))
-        front = {o: reduce(DataFrame.unionByName, dfs).distinct() for o, dfs in after.items()}
-        if not acyclic and front:
-            front = {o: df.checkpoint() for o, df in front.items()}
-            front = {o: df for o, df in front.items() if not df.isEmpty()}
+        front = {o: reduce(DataFrame.unionByName, dfs).distinct().checkpoint() for o, dfs in after.items()}
+        front = {o: df for o, df in front.items() if not df.isEmpty()}
     return replace(world, tables=tables)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera import agents, experience
 from tessera.functions import encoding
-from tessera.functions.numbering import chosen_of, clamped, softmax
+from tessera.functions.numbering import chosen_of, softmax
 from tessera.operators import changes, conditions, elements, incremental, matching, migration, rewriting, zones
 from tessera.operators.matching import match, tick
 from tessera.pattern import Pattern, Threshold, Var
@@ -68,7 +68,7 @@ def match_triangle_same_nation(spark, sf_dir):
     return found.groupBy(*[F.col(e).alias(e) for e in ("n", "c", "o", "s")]).agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("SELECT s_nationkey::BIGINT AS nation, count(*)::BIGINT AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey GROUP BY 1")
+@query("SELECT s_nationkey::BIGINT AS nation, c_custkey::BIGINT AS c, o_orderkey::BIGINT AS o, s_suppkey::BIGINT AS s, count(*)::BIGINT AS lines FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey GROUP BY ALL")
 def match_shared_variable(spark, sf_dir):
     """The same cycle by a shared attribute: the customer's and the supplier's nation as one variable."""
     from tessera.sources.parquet import TABLE_HOMS, TABLE_KEYS, from_tables
@@ -77,7 +77,7 @@ def match_shared_variable(spark, sf_dir):
     tables = {o: (spark.read.parquet(f"{sf_dir}/{o}.parquet"), TABLE_KEYS[o]) for o in obs}
     w = from_tables(tables, {h: ab for h, ab in TABLE_HOMS.items() if set(ab) <= set(obs)}, checked=True)
     p = _p(w, {"c": "customer", "o": "orders", "l": "lineitem", "s": "supplier"}, {("o", "o_custkey"): "c", ("l", "l_orderkey"): "o", ("l", "l_suppkey"): "s"}, {("c", "c_nationkey"): Var("nation"), ("s", "s_nationkey"): Var("nation")})
-    return match(p, w).groupBy(F.col("`?nation`").cast("long").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    return match(p, w).groupBy(F.col("`?nation`").cast("long").alias("nation"), "c", "o", "s").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def _supplier_pairs(w: World) -> Pattern:
@@ -139,11 +139,12 @@ def match_inconsistent_pin(spark, sf_dir):
     return _ids(match(_p(w, {"n": "nation", "r": "region"}, {("n", "n_regionkey"): "r"}), w, pins={"n": 0, "r": own + 1}), n="n", r="r")
 
 
-@query("SELECT c_custkey::BIGINT AS c, o_orderkey::BIGINT AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 = 0")
+@query("SELECT c_custkey::BIGINT AS c, o_orderkey::BIGINT AS o FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
 def match_joint_pins(spark, sf_dir):
-    """Pins as a table: matches of every tenth customer."""
+    """Pins as a table: matches of the customers of a region, the search starting from them."""
     w = star_world(spark, sf_dir, ["region", "nation", "customer", "orders"])
-    pins = w.table("customer").where("part_id % 10 = 0").select("world_id", F.col("part_id").alias("c"))
+    there = match(_p(w, {"c": "customer", "n": "nation", "r": "region"}, {("c", "c_nationkey"): "n", ("n", "n_regionkey"): "r"}), w, pins={"r": 1})
+    pins = there.select("world_id", "c")
     return _ids(match(_p(w, {"c": "customer", "o": "orders"}, {("o", "o_custkey"): "c"}), w, pins=pins), c="c", o="o")
 
 
@@ -205,11 +206,24 @@ def take_n_all(spark, sf_dir):
     return _ids(match(p, w, take=10_000_000, seed=3, keep_joins=True), n="n", s="s")
 
 
-@query(None)
+@query("SELECT least(100, count(*))::BIGINT AS taken, least(100, count(*))::BIGINT AS distinct_taken, least(100, count(*))::BIGINT AS legal, true AS seeds_differ FROM orders")
 def take_n_some(spark, sf_dir):
-    """A hundred of the matches, each set of a hundred as likely as another over seeds."""
+    """A hundred of the matches: how many there are, are distinct and are matches, and whether another seed gives others."""
     w = star_world(spark, sf_dir, ["region", "nation", "customer", "orders"])
-    return _ids(match(_orders(w), w, take=100, seed=5), c="c", o="o")
+    taken, other = match(_orders(w), w, take=100, seed=5), match(_orders(w), w, take=100, seed=6)
+    counted = taken.agg(F.count(F.lit(1)).alias("taken"), F.countDistinct("c", "o").alias("distinct_taken"))
+    real = taken.join(w.table("orders").select(F.col("part_id").alias("o"), F.col("o_custkey").alias("c")), ["o", "c"], "left_semi").agg(F.count(F.lit(1)).alias("legal"))
+    differ = taken.join(other, ["c", "o"], "left_anti").agg((F.count(F.lit(1)) > 0).alias("seeds_differ"))
+    return counted.crossJoin(real).crossJoin(differ)
+
+
+@query("SELECT count(*)::BIGINT AS taken, true AS whole FROM orders")
+def take_n_many(spark, sf_dir):
+    """A sample of more than a task should order, through lots: here as many as there are."""
+    w = star_world(spark, sf_dir, ["region", "nation", "customer", "orders"])
+    found = match(_orders(w), w)
+    taken = matching.sample(found, _orders(w), 10_000_000, 3)
+    return taken.agg(F.count(F.lit(1)).alias("taken")).crossJoin(found.join(taken, ["c", "o"], "left_anti").agg((F.count(F.lit(1)) == 0).alias("whole")))
 
 
 @query("SELECT c_custkey::BIGINT AS c, o_orderkey::BIGINT AS o FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM customer JOIN orders ON o_custkey = c_custkey) WHERE r = 1")
@@ -333,13 +347,13 @@ def rewrite_delta_clamped(spark, sf_dir):
 GONE = "c_nationkey <> 5"
 
 
-@query(f"SELECT ob, count(*)::BIGINT AS n FROM (SELECT 'nation' AS ob FROM nation WHERE n_nationkey <> 5 UNION ALL SELECT 'customer' FROM customer WHERE {GONE} UNION ALL SELECT 'orders' FROM orders JOIN customer ON o_custkey = c_custkey WHERE {GONE} UNION ALL SELECT 'supplier' FROM supplier WHERE s_nationkey <> 5 UNION ALL SELECT 'lineitem' FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE {GONE} AND s_nationkey <> 5) GROUP BY 1")
+@query(f"SELECT 'nation' AS ob, n_nationkey::BIGINT AS key FROM nation WHERE n_nationkey <> 5 UNION ALL SELECT 'customer', c_custkey FROM customer WHERE {GONE} UNION ALL SELECT 'orders', o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE {GONE} UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_nationkey <> 5 UNION ALL SELECT 'lineitem', l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE {GONE} AND s_nationkey <> 5")
 def spo_cascade_delete(spark, sf_dir):
     """Nation 5 and all that refers to it, however far."""
     w = star_world(spark, sf_dir)
     after = rewriting.cascade(w, {"nation": w.table("nation").where("part_id = 5").select("world_id", "part_id")})
-    parts = [after.table(o).select(F.lit(o).alias("ob")) for o in ("nation", "customer", "orders", "supplier", "lineitem")]
-    return reduce(DataFrame.unionByName, parts).groupBy("ob").agg(F.count(F.lit(1)).alias("n"))
+    parts = [after.table(o).select(F.lit(o).alias("ob"), F.col("l_orderkey" if o == "lineitem" else "part_id").alias("key")) for o in ("nation", "customer", "orders", "supplier", "lineitem")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # -- following changes
@@ -361,26 +375,42 @@ def incremental_equals_fresh(spark, sf_dir):
     return cache.matches.select(F.col("n").cast("long").alias("n"), F.col("`?name`").alias("name"))
 
 
-@query("SELECT 'delete' AS change, count(*)::BIGINT AS n FROM part WHERE p_size > 45 HAVING count(*) > 0 UNION ALL SELECT 'update', count(*)::BIGINT FROM part WHERE p_size BETWEEN 2 AND 45 HAVING count(*) > 0")
+@query("SELECT 'part' AS ob, p_partkey::BIGINT AS part_id, CASE WHEN p_size > 45 THEN 'delete' ELSE 'update' END AS change FROM part WHERE p_size > 45 OR p_size > 1")
 def cdc_between_snapshots(spark, sf_dir):
-    """What a deletion of large parts and a decrement of the others log."""
+    """What two rules log, one that deletes large parts and one that shrinks the others."""
     w = star_world(spark, sf_dir, ["part"])
-    small = w.table("part").where("p_size <= 45").withColumn("p_size", clamped(F.col("p_size") - 1, low=1))
-    return changes.table_changes(w.table("part"), small, "part").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    p = _p(w, {"p": "part"})
+    drop = deleting("drop", p, _p(w, {}), thresholds=(Threshold("p", "p_size", ">", 45),))
+    shrink = identity("shrink", p, deltas=(Delta("p", "p_size", -1, low=1),))
+    one = rewriting.apply(drop, rewriting.legal(drop, w), w).world
+    two = rewriting.apply(shrink, rewriting.legal(shrink, one), one).world
+    return changes.between(w, two).select("ob", "part_id", "change")
 
 
 # -- zones, migration, graphs, codes
 
 
-@query("SELECT a.s_suppkey::BIGINT AS a, b.s_suppkey::BIGINT AS b, m.n_regionkey::BIGINT AS zone FROM supplier a JOIN nation m ON a.s_nationkey = m.n_nationkey JOIN supplier b ON a.s_suppkey <> b.s_suppkey JOIN nation n ON b.s_nationkey = n.n_nationkey AND m.n_regionkey = n.n_regionkey WHERE m.n_regionkey = 3")
+def _zones(w: World) -> DataFrame:
+    """A zone for each supplier: its region's number, from 1."""
+    nation = w.table("nation").select(F.col("part_id").alias("_n"), (F.col("n_regionkey") + 1).alias("zone"))
+    return w.table("supplier").join(nation, F.col("s_nationkey") == F.col("_n")).select("world_id", "part_id", "zone")
+
+
+@query("SELECT a.s_suppkey::BIGINT AS a, b.s_suppkey::BIGINT AS b, m.n_regionkey::BIGINT + 1 AS zone FROM supplier a JOIN nation m ON a.s_nationkey = m.n_nationkey JOIN supplier b ON a.s_suppkey <> b.s_suppkey JOIN nation n ON b.s_nationkey = n.n_nationkey AND m.n_regionkey = n.n_regionkey")
 def zone_local_pairs(spark, sf_dir):
-    """Pairs of suppliers of one region, regions being zones and the pattern having no other tie; here those of zone 3."""
+    """Pairs of suppliers of one region, regions being zones and the pattern having no other tie."""
     w = star_world(spark, sf_dir, ["region", "nation", "supplier"])
-    z = w.table("supplier").join(w.table("nation").select(F.col("part_id").alias("_n"), (F.col("n_regionkey") + 1).alias("zone")), F.col("s_nationkey") == F.col("_n")).select("world_id", "part_id", "zone")
-    zoned = zones.assigned(w, {"supplier": z.where("zone = 4")})
-    only = zoned.with_tables(supplier=zoned.table("supplier").where("zone is not null"))
-    found = zones.zoned(_p(w, {"a": "supplier", "b": "supplier"}), only, ["supplier"], monic=True)
-    return found.select("a", "b", (F.col("zone") - 1).alias("zone"))
+    z = zones.assigned(w, {"supplier": _zones(w)})
+    return zones.zoned(Pattern(z.schema, {"a": "supplier", "b": "supplier"}), z, ["supplier"], monic=True).select("a", "b", "zone")
+
+
+@query("WITH s AS (SELECT s_suppkey::BIGINT AS s, CASE WHEN n_regionkey > 0 THEN n_regionkey::BIGINT + 1 END AS zone FROM supplier JOIN nation ON s_nationkey = n_nationkey), n AS (SELECT n_nationkey::BIGINT AS n, CASE WHEN n_regionkey > 0 THEN n_regionkey::BIGINT + 1 END AS zone FROM nation) SELECT s, n, coalesce(s.zone, n.zone) AS zone FROM s JOIN n ON s.zone IS NULL OR n.zone IS NULL OR s.zone = n.zone")
+def zone_global_rows(spark, sf_dir):
+    """Suppliers and nations of one zone, where the rows of region 0 have none and so are in every zone."""
+    w = star_world(spark, sf_dir, ["region", "nation", "supplier"])
+    own = w.table("nation").where("n_regionkey > 0").select("world_id", "part_id", (F.col("n_regionkey") + 1).alias("zone"))
+    z = zones.assigned(w, {"supplier": _zones(w).where("zone > 1"), "nation": own})
+    return zones.zoned(Pattern(z.schema, {"s": "supplier", "n": "nation"}), z, ["supplier", "nation"]).select("s", "n", "zone")
 
 
 @query("SELECT s_suppkey::BIGINT AS key, s_nationkey::BIGINT AS land, s_name AS label FROM supplier")
@@ -460,7 +490,8 @@ def nparts(spark, sf_dir):
 @query("SELECT o_custkey::BIGINT AS c, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def match_counts(spark, sf_dir):
     w = star_world(spark, sf_dir, ["region", "nation", "customer", "orders"])
-    return match(_orders(w), w).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    found = match(_orders(w), w).select(F.col("c").alias("world_id"), "o")
+    return matching.count(found).withColumnRenamed("world_id", "c")
 
 
 @query("SELECT round(ln((SELECT count(*) FROM region)) + ln((SELECT count(*) FROM nation)), 9) AS log_space")
@@ -495,3 +526,5 @@ def win_rate(spark, sf_dir):
 def win_rates(spark, sf_dir):
     return experience.win_rates(_trajectory(spark, sf_dir), []).select("winner", "wins", F.round("win_rate", 9).alias("win_rate"))
 
+
+from tessera.plans import catalog_forms, catalog_runs  # noqa: E402, F401  they add to QUERIES

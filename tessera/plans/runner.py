@@ -1,24 +1,27 @@
 """Running schedules: all worlds of a batch advance together, each on the wire where it stands.
 
-The worlds' tables are never split. A control table says for each world on which wire it is, its turn, and whether it
-is done; a box works on the worlds of its input wires and moves them to its outputs. After each box that changes
-something, what it changed is checkpointed in the shared folder, so plans stay short and lost executors cost little.
+The worlds' tables are never split. A control table says for each world where it is, its turn, and whether it is done;
+a box works on the worlds of its input wires and moves them to its outputs. Where worlds lie is told by labels, a new
+one for each move, and the driver keeps which labels a wire has and how many worlds each: wires that meet, are renamed
+or lead back, and worlds that are done and wait, cost no job. After each box that changes something, what it changed is
+checkpointed in the shared folder, so plans stay short and lost executors cost little.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.agents import Agent, Context, First
 from tessera.operators import matching, rewriting
 from tessera.operators.incremental import MatchCache
-from tessera.operators.matching import tick, uniform
+from tessera.operators.matching import tick
 from tessera.plans.schedule import AgentLoop, Coin, Merge, PlayerRuleApp, Query, RuleApp, Schedule, Split, Weaken, While
 from tessera.world import World, shared
 
@@ -57,6 +60,25 @@ class Result:
     changes: DataFrame | None = None
 
 
+#: Unions of the control table with rows of a box before it is written down again.
+MOST_UNIONS = 8
+
+
+def checkpointed(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without their lineage; their jobs run side by side."""
+    if len(tables) < 2:
+        return {k: t.checkpoint() for k, t in tables.items()}
+    with ThreadPoolExecutor(len(tables)) as pool:
+        waits = {k: pool.submit(t.checkpoint) for k, t in tables.items()}
+        return {k: w.result() for k, w in waits.items()}
+
+
+def drawn(seed: int, step: int, name: str) -> Column:
+    """A draw in [0, 1) for each world: 52 bits of a digest that any engine can take."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(str(step)), F.col("world_id").cast("string"), F.lit(name))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 class Runner:
     def __init__(self, world: World, options: Options):
         self.spark = world.spark
@@ -68,35 +90,74 @@ class Runner:
         self.changes: list[DataFrame] = []
         self.snapshots: list[tuple[int, dict[str, DataFrame]]] = []
         self.caches: dict[str, MatchCache] = {}
-        self.held: dict[str, int] = {}
+        #: worlds by (label, done)
+        self.held: dict[tuple[str, bool], int] = {}
+        #: labels of each wire; those with a flag only as far as worlds are done, or aren't
+        self.lies: dict[str, set[tuple[str, bool | None]]] = {}
+        self.moves = self.unions = 0
         self.state = world.ids.select("world_id", F.lit("").alias("wire"), F.lit(0).cast("long").alias("turn"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("winner"))
 
     # -- wires
 
+    def label(self, wire: str) -> str:
+        """A new label for worlds that come to a wire: a number, a bar, the wire."""
+        self.moves += 1
+        return f"{self.moves}|{wire}"
+
+    def place(self, wires: tuple[str, ...]) -> Column:
+        """Whether a row of the control table is on one of the wires."""
+        found = F.lit(False)
+        for flag in (None, False, True):
+            labels = sorted(x for w in wires for x, f in self.lies.get(w, ()) if f is flag)
+            if labels:
+                here = F.col("wire").isin(labels)
+                found = found | (here if flag is None else here & (F.col("done") == flag))
+        return found
+
     def on(self, wires: tuple[str, ...]) -> DataFrame:
-        return self.state.where(F.col("wire").isin(list(wires)))
+        return self.state.where(self.place(wires))
+
+    def many_on(self, wires: tuple[str, ...]) -> int:
+        return sum(self.held.get((x, d), 0) for w in wires for x, f in self.lies.get(w, ()) for d in (False, True) if f is None or f is d)
 
     def any_on(self, wires: tuple[str, ...]) -> bool:
-        return any(self.held.get(w) for w in wires)
+        return self.many_on(wires) > 0
 
     def settle(self, state: DataFrame) -> None:
-        """The new state, and how many worlds each wire holds: a row a wire."""
+        """The new state, and how many worlds have each label; new labels lie on the wires that they name."""
         self.state = state.checkpoint()
-        self.held = {r["wire"]: r["count"] for r in self.state.groupBy("wire").count().collect()}
+        known = {x for entries in self.lies.values() for x, _ in entries}
+        self.held = {(r["wire"], r["done"]): r["count"] for r in self.state.groupBy("wire", "done").count().collect()}
+        for x in {x for x, _ in self.held} - known:
+            self.lies.setdefault(x.partition("|")[2], set()).add((x, None))
 
     def move(self, wires: tuple[str, ...], to: DataFrame) -> None:
         """Worlds on `wires` go where to(world_id, out, and any of turn, done, winner) says."""
+        mark = self.label("")
         given = to.select(F.col("world_id").alias("_w"), *[F.col(c).alias(f"_{c}") for c in to.columns if c != "world_id"])
         s = self.state.join(given, F.col("world_id") == F.col("_w"), "left")
-        here = F.col("_w").isNotNull() & F.col("wire").isin(list(wires))
-        cols = [F.col("world_id"), F.when(here, F.col("_out")).otherwise(F.col("wire")).alias("wire")]
+        here = F.col("_w").isNotNull() & self.place(wires)
+        cols = [F.col("world_id"), F.when(here, F.concat(F.lit(mark), F.col("_out"))).otherwise(F.col("wire")).alias("wire")]
         cols += [(F.when(here, F.col(f"_{c}")).otherwise(F.col(c)) if c in to.columns else F.col(c)).alias(c) for c in ("turn", "done", "winner")]
         self.settle(s.select(*cols))
 
+    def rename(self, to: Mapping[str, str]) -> None:
+        """All worlds on a wire go to another, without a look at them."""
+        taken = {a: self.lies.pop(a, set()) for a in to}
+        for a, b in to.items():
+            self.lies.setdefault(b, set()).update(taken[a])
+
+    def park(self, wires: tuple[str, ...]) -> None:
+        """Worlds that are done go from each wire to one beside it."""
+        for w in wires:
+            entries = self.lies.pop(w, set())
+            self.lies[w] = {(x, False) for x, f in entries if f is not True}
+            self.lies.setdefault(f"{w}!done", set()).update((x, True) for x, f in entries if f is not False)
+
     def worlds(self, here: DataFrame, wires: tuple[str, ...]) -> World:
         """The worlds of here, or all where those on `wires` are a good part of them: filtering every table costs more
         plan than it saves work, and results are joined with `here` anyway."""
-        if 4 * sum(self.held.get(w, 0) for w in wires) >= sum(self.held.values()):
+        if 4 * self.many_on(wires) >= sum(self.held.values()):
             return self.world
         return self.world.only(here)
 
@@ -108,11 +169,11 @@ class Runner:
         here = self.on(inputs).select("world_id")
         outs = [*outputs, *[f"{'/'.join(path)}:dropped"] * box.outputs]
         if isinstance(box, (Merge, Weaken)):
-            self.move(inputs, here.withColumn("out", F.lit(outs[0])))
+            self.rename({w: outs[0] for w in inputs})
         elif isinstance(box, (Coin, Split)):
             self.step += 1
             weights = (box.p, 1 - box.p) if isinstance(box, Coin) else box.weights
-            u = uniform(self.options.seed, F.lit(self.step), F.col("world_id"), F.lit(box.name)) * float(sum(weights))
+            u = drawn(self.options.seed, self.step, box.name) * float(sum(weights))
             out, below = F.lit(outs[len(weights) - 1]), 0.0
             sums = []
             for w in weights[:-1]:
@@ -130,7 +191,7 @@ class Runner:
             self.run_agents(box, inputs, outs, here, path)
         elif isinstance(box, While):
             top = f"{'/'.join(path)}:{box.name}"
-            self.move(inputs, here.withColumn("out", F.lit(f"{top}>")))
+            self.rename({w: f"{top}>" for w in inputs})
             for _ in range(box.most):
                 now = self.on((f"{top}>",)).where(~F.col("done")).select("world_id")
                 going = box.test(self.world.only(now)).select("world_id").withColumn("_go", F.lit(True))
@@ -138,7 +199,7 @@ class Runner:
                 if not self.any_on((f"{top}!",)):
                     break
                 self.run_body(box.body, (f"{top}!",), (f"{top}>",), (*path, box.name), pins)
-            self.move((f"{top}>",), self.on((f"{top}>",)).select("world_id", F.lit(outs[0]).alias("out")))
+            self.rename({f"{top}>": outs[0]})
         elif isinstance(box, Schedule):
             self.run_nested(box, inputs, outs, path, pins)
         else:
@@ -148,8 +209,7 @@ class Runner:
         """A body whose outputs all meet on one wire."""
         ends = tuple(f"{'/'.join(path)}:{body.name}#{i}" for i in range(body.outputs))
         self.run_box(body, inputs, ends, path, pins)
-        if self.any_on(ends):
-            self.move(ends, self.on(ends).select("world_id", F.lit(outs[0]).alias("out")))
+        self.rename({e: outs[0] for e in ends})
 
     def candidates(self, box: RuleApp | PlayerRuleApp, world: World, here: DataFrame, pins) -> tuple[DataFrame, tuple[str, ...]]:
         """The legal matches in the worlds of `here`, and the columns of which each value gets one choice."""
@@ -158,8 +218,13 @@ class Runner:
         pinned = None
         if pins is not None:
             rows, agents = pins
-            pinned = rows.join(here, "world_id", "left_semi").select("world_id", *[tick(a).alias(to) for a, to in box.in_hom.items()], *[tick(a).alias(f"@{a}") for a in agents]) if box.in_hom else None
-            groups = ("world_id", *[f"@{a}" for a in agents]) if pinned is not None else groups
+            if box.in_hom:
+                held = {to: a for a, to in reversed(box.in_hom.items())}
+                rows = rows.join(here, "world_id", "left_semi")
+                for a, to in box.in_hom.items():
+                    rows = rows if held[to] == a else rows.where(tick(a) == tick(held[to]))
+                pinned = rows.select("world_id", *[tick(a).alias(to) for to, a in held.items()], *[tick(a).alias(f"@{a}") for a in agents])
+                groups = ("world_id", *[f"@{a}" for a in agents])
         player = isinstance(box, PlayerRuleApp)
         if player and box.fast_match_fn is not None:
             found = rule.guard.applied(box.fast_match_fn(rule, world), rule.left, world)
@@ -168,7 +233,9 @@ class Runner:
             self.caches[box.name] = cache
             found = cache.legal(self.world).join(here, "world_id", "left_semi")
         else:
-            found = rewriting.legal(rule, world, view=box.view_fn if player else None)
+            # the search starts from the agents' rows
+            own = None if pinned is None else pinned.select("world_id", *[tick(e) for e in held])
+            found = rewriting.legal(rule, world, pins=own, view=box.view_fn if player else None)
         found = found.join(here, "world_id", "left_semi")
         if pinned is not None:
             keys = ["world_id", *dict.fromkeys(box.in_hom.values())]
@@ -217,9 +284,11 @@ class Runner:
             change = rewriting.apply(rule, chosen.select("world_id", *[tick(c) for c in chosen.columns if c not in ("world_id", *groups)]), self.world)
             most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             # a union adds partitions each time
-            touched = {o: change.world.tables[o].coalesce(most).checkpoint() for o in change.world.schema.obs if o in change.deleted or o in change.inserted or o in change.updated}
-            counters = change.world.counters
-            self.world = replace(change.world, tables=change.world.tables | touched, counters=counters.checkpoint() if change.deleted else counters)
+            wanted = {o: change.world.tables[o].coalesce(most) for o in change.world.schema.obs if o in change.deleted or o in change.inserted or o in change.updated}
+            if change.deleted:
+                wanted[""] = change.world.counters
+            touched = checkpointed(wanted)
+            self.world = replace(change.world, counters=touched.pop("", change.world.counters), tables=change.world.tables | touched)
             for name, cache in self.caches.items():
                 if cache is not None:
                     self.caches[name] = cache.updated(before, replace(change, world=self.world)).cut()
@@ -236,30 +305,46 @@ class Runner:
                 s = s.join(end, "world_id", "left").withColumn("_end", F.coalesce("_end", F.lit(False)) & F.col("_fired"))
                 s = s.withColumn("winner", F.when(F.col("_end"), F.col("_winner")).otherwise(F.col("winner"))).withColumn("done", F.col("done") | F.col("_end")).drop("_end", "_winner")
             s = s.withColumn("done", F.col("done") | (F.col("turn") > self.options.t_max))
+            s = self._decided(rule, offered, picked, s)
         s = s.checkpoint()
         if player:
-            self._record(box, rule, offered, picked, s, path)
+            self._record(box, rule, s, path)
         self.events.append(s.select("world_id", F.lit(self.step).cast("long").alias("step"), F.lit(box.name).alias("box"), F.lit(rule.name).alias("rule"), F.col("_fired").alias("fired")))
-        out = F.when(F.col("_fired"), F.lit(outs[0])).otherwise(F.lit(outs[1]))
-        self.move(inputs, s.select("world_id", out.alias("out"), "turn", "done", "winner"))
+        yes, no = self.label(outs[0]), self.label(outs[1])
+        rows = s.select("world_id", F.when(F.col("_fired"), F.lit(yes)).otherwise(F.lit(no)).alias("wire"), "turn", "done", "winner")
+        self.state = self.state.where(~self.place(inputs)).unionByName(rows)
+        for w in inputs:
+            for x, f in self.lies.pop(w, set()):
+                for d in (False, True):
+                    if f is None or f is d:
+                        self.held.pop((x, d), None)
+        for r in s.groupBy("_fired", "done").count().collect():
+            self.held[yes if r["_fired"] else no, r["done"]] = r["count"]
+        self.lies.setdefault(outs[0], set()).add((yes, None))
+        self.lies.setdefault(outs[1], set()).add((no, None))
+        self.unions += 1
+        if self.unions % MOST_UNIONS == 0:
+            self.state = self.state.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint()
         if player and self.options.snapshots:
             self.snapshots.append((self.step, self.world.tables))
 
-    def _record(self, box, rule, offered, picked, s, path) -> None:
+    def _decided(self, rule, offered, picked, s) -> DataFrame:
+        """s with what was offered to each world, and what was chosen."""
         names = list(rule.left.elements)
         as_map = F.create_map(*[x for e in names for x in (F.lit(e), tick(e))]) if names else F.create_map().cast("map<string,bigint>")
-        acts = picked.where("not passes").select("world_id", as_map.alias("match")) if names else picked.where("not passes").select("world_id", F.lit(None).cast("map<string,bigint>").alias("match"))
         legal = offered.groupBy("world_id").agg(F.count(F.lit(1)).alias("legal"), *([F.sort_array(F.collect_list(F.when(~F.col("passes"), F.to_json(as_map)))).alias("legal_actions")] if self.options.keep_legal and names else []))
-        made = picked.where("not passes").groupBy("world_id").agg(F.count(F.lit(1)).alias("_n"))
-        one = acts.groupBy("world_id").agg(F.first("match").alias("match")) if names else acts
-        rows = s.join(legal, "world_id", "left").join(made, "world_id", "left").join(one, "world_id", "left")
+        acts = picked.where("not passes")
+        one = F.first(as_map).alias("match") if names else F.lit(None).cast("map<string,bigint>").alias("match")
+        return s.join(legal, "world_id", "left").join(acts.groupBy("world_id").agg(F.count(F.lit(1)).alias("_n"), one), "world_id", "left")
+
+    def _record(self, box, rule, s, path) -> None:
         acted = F.col("_n").isNotNull()
-        actions = F.transform("legal_actions", lambda j: F.from_json(j, "map<string,bigint>")) if self.options.keep_legal and names else F.lit(None).cast("array<map<string,bigint>>")
+        actions = F.transform("legal_actions", lambda j: F.from_json(j, "map<string,bigint>")) if "legal_actions" in s.columns else F.lit(None).cast("array<map<string,bigint>>")
         self.experiences.append(
-            rows.select(
+            s.select(
                 "world_id", F.lit(self.step).cast("long").alias("step"), F.lit(box.player).alias("player"), "turn", F.lit(box.name).alias("box"), F.lit(rule.name).alias("rule"), F.when(acted, F.lit(rule.name)).alias("action"), F.when(acted, F.col("match")).alias("match"),
                 F.coalesce("legal", F.lit(0).cast("long")).alias("legal"), actions.alias("legal_actions"), "done", "winner", F.create_map().cast("map<string,string>").alias("info"), F.lit(list(path)).cast("array<string>").alias("schedule_path"),
-            ).checkpoint()
+            )
         )
 
     def run_agents(self, box: AgentLoop, inputs, outs, here, path) -> None:
@@ -270,15 +355,14 @@ class Runner:
             if not isinstance(box.body, (RuleApp, PlayerRuleApp)):
                 raise TypeError(f"{box.name}: only a single rule can be applied for all agents at once")
             self.run_rule(box.body, inputs, [f"{top}+", f"{top}-"], here, (agents, names), (*path, box.name), at_once=True)
-            ends = (f"{top}+", f"{top}-")
-            self.move(ends, self.on(ends).select("world_id", F.lit(outs[0]).alias("out")))
+            self.rename({f"{top}+": outs[0], f"{top}-": outs[0]})
             return
         from pyspark.sql.window import Window
 
         w = Window.partitionBy("world_id").orderBy(*[tick(e) for e in names])
         ranked = agents.withColumn("_rank", F.row_number().over(w)).checkpoint()
         most = ranked.agg(F.max("_rank")).first()[0] or 0
-        self.move(inputs, here.withColumn("out", F.lit(f"{top}>")))
+        self.rename({w: f"{top}>" for w in inputs})
         for rank in range(1, most + 1):
             rows = ranked.where(F.col("_rank") == rank).drop("_rank")
             for e, o in box.interface.elements.items():
@@ -288,7 +372,7 @@ class Runner:
             active = self.on((f"{top}>",)).where(~F.col("done")).join(rows.select("world_id"), "world_id", "left_semi").select("world_id", F.lit(f"{top}!").alias("out"))
             self.move((f"{top}>",), active)
             self.run_body(box.body, (f"{top}!",), (f"{top}>",), (*path, box.name), (rows, names))
-        self.move((f"{top}>",), self.on((f"{top}>",)).select("world_id", F.lit(outs[0]).alias("out")))
+        self.rename({f"{top}>": outs[0]})
 
     # -- schedules
 
@@ -297,28 +381,20 @@ class Runner:
         order; one feeds the first."""
         top = f"{'/'.join((*path, x.name))}."
         starts = x.inputs or x.trace
-        for i, w in enumerate(inputs):
-            self.move((w,), self.on((w,)).select("world_id", F.lit(top + starts[min(i, len(starts) - 1)]).alias("out")))
+        self.rename({w: top + starts[min(i, len(starts) - 1)] for i, w in enumerate(inputs)})
         self.loop(x, top, tuple(outs), path, pins)
 
     def loop(self, x: Schedule, top: str, outs: tuple[str, ...], path: tuple[str, ...], pins) -> None:
         start = tuple(top + w for w in (*x.trace, *x.inputs))
         for turn in range(self.options.most_passes):
-            if turn and self.any_on(start):
+            if turn:
                 # what is done stays on its wire
-                rest = self.on(start).where("done").select("world_id", F.concat(F.col("wire"), F.lit("!done")).alias("out"))
-                self.move(start, rest)
+                self.park(start)
             if not self.any_on(start):
                 break
             for s in x.steps:
                 self.run_box(x.boxes[s.box], tuple(top + w for w in s.inputs), tuple(top + w for w in s.outputs), (*path, x.name), pins)
-            back = {top + r: top + t for r, t in zip(x.returns, x.trace)}
-            ends = {top + r: outs[i] for i, r in enumerate(x.exits)}
-            goes = back | ends
-            if goes:
-                now = self.on(tuple(goes)).select("world_id", "wire")
-                out = reduce(lambda acc, kv: F.when(F.col("wire") == kv[0], F.lit(kv[1])).otherwise(acc), goes.items(), F.col("wire"))
-                self.move(tuple(goes), now.select("world_id", out.alias("out")))
+            self.rename({top + r: top + t for r, t in zip(x.returns, x.trace)} | {top + r: outs[i] for i, r in enumerate(x.exits)})
             if not x.trace:
                 break
 
@@ -341,10 +417,10 @@ def run(x: Schedule, world: World, agents: Mapping[str, Agent], t_max: int = 100
     r = Runner(world, Options(agents, t_max, terminal, seed, **more))
     top = f"{x.name}."
     place = F.pmod(F.col("world_id"), F.lit(len(inputs))).cast("int") if len(inputs) > 1 else F.lit(0)
-    r.settle(r.state.withColumn("wire", F.element_at(F.array(*[F.lit(top + w) for w in inputs]), place + 1)))
+    r.settle(r.state.withColumn("wire", F.element_at(F.array(*[F.lit(r.label(top + w)) for w in inputs]), place + 1)))
     exits = tuple(f"exit:{w}" for w in x.exits)
     r.loop(x, top, exits, (), None)
-    wire = F.when(F.col("wire").startswith("exit:"), F.substring("wire", 6, 1 << 20))
+    wire = reduce(lambda acc, w: F.when(r.place((w,)), F.lit(w.removeprefix("exit:"))).otherwise(acc), exits, F.lit(None).cast("string"))
     control = r.state.select("world_id", "turn", "done", "winner", wire.alias("exit_wire"))
     if win_conditions:
         won = reduce(lambda acc, kv: F.when(F.col("exit_wire") == kv[0], F.lit(kv[1])).otherwise(acc), win_conditions.items(), F.col("winner"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from tessera.pattern import Pattern
-from tessera.rule import Rule
+from tessera.rule import Rule, adding
 
 
 @dataclass(frozen=True)
@@ -243,6 +243,11 @@ def _wrapped(x: Any) -> tuple[Any, int]:
     return x, x.outputs
 
 
+def create(name: str, pattern: Pattern) -> RuleApp:
+    """A box that adds the pattern's rows to a world, whatever is there."""
+    return RuleApp(name, adding(name, Pattern(pattern.schema), pattern))
+
+
 def tryrule(x: Any, name: str | None = None) -> Schedule:
     """x, whether it succeeds or not."""
     n = x.outputs

@@ -32,7 +32,8 @@ class Delta:
 class Rule:
     """left: what has to be there. keep: element of left -> element of right. right: what there is afterwards.
 
-    Elements of left that keep doesn't name are deleted; elements of right that it doesn't lead to are added. A kept
+    Elements of left that keep doesn't name are deleted; elements of right that it doesn't lead to are added; elements
+    that keep leads to one element become one row, the first named, and what refers to them refers to it. A kept
     element changes the homs and attrs that right gives differently. expressions: (element of right, attr) -> value.
     An attr of right that is a Var of left has that value; a Var of its own stays as it was, or NULL in a new row.
     """
@@ -48,8 +49,6 @@ class Rule:
     deltas: tuple[Delta, ...] = ()
 
     def __post_init__(self):
-        if len(set(self.keep.values())) != len(self.keep):
-            raise ValueError(f"{self.name}: two elements can't become one")
         for a, b in self.keep.items():
             if self.left.elements[a] != self.right.elements[b]:
                 raise ValueError(f"{self.name}: {a} and {b} are of different tables")
@@ -61,6 +60,14 @@ class Rule:
     def deleted(self) -> tuple[str, ...]:
         return tuple(e for e in self.left.elements if e not in self.keep)
 
+    @property
+    def merged(self) -> tuple[tuple[str, str], ...]:
+        """(element, the element whose row it becomes)."""
+        first: dict[str, str] = {}
+        for a, b in self.keep.items():
+            first.setdefault(b, a)
+        return tuple((a, first[b]) for a, b in self.keep.items() if first[b] != a)
+
     @property
     def added(self) -> tuple[str, ...]:
         there = set(self.keep.values())
@@ -88,9 +95,9 @@ class Rule:
 
     def changed_attrs(self) -> dict[str, dict[str, Any]]:
         """By kept element of left: attr -> constant, Var of left, or Expression."""
-        known = set(self.left.variables())
+        known, gone = set(self.left.variables()), {a for a, _ in self.merged}
         found: dict[str, dict[str, Any]] = {}
-        for a, b in self.keep.items():
+        for a, b in ((a, b) for a, b in self.keep.items() if a not in gone):
             for n in self.left.schema.attrs_of(self.left.elements[a]):
                 if (b, n) in self.expressions:
                     found.setdefault(a, {})[n] = self.expressions[b, n]
@@ -103,7 +110,8 @@ class Rule:
     def changed_homs(self) -> dict[str, dict[str, str]]:
         """By kept element of left: hom -> element of right, where that differs from what left says."""
         found: dict[str, dict[str, str]] = {}
-        for a, b in self.keep.items():
+        gone = {a for a, _ in self.merged}
+        for a, b in ((a, b) for a, b in self.keep.items() if a not in gone):
             for h in self.left.schema.homs_of(self.left.elements[a]):
                 to = self.right.homs.get((b, h))
                 if to is not None and self.keep.get(self.left.homs.get((a, h), "")) != to:

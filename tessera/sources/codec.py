@@ -87,6 +87,17 @@ def pattern_in(s: Schema, d: dict) -> Pattern:
     return Pattern(s, d["elements"], {(e, h): t for e, h, t in d["homs"]}, {(e, n): _value_in(v) for e, n, v in d["attrs"]})
 
 
+def morphism_out(left: Pattern, right: Pattern, mapping: Mapping[str, str]) -> dict:
+    """A map of patterns by elements, with both its ends."""
+    if bad := [e for e, to in mapping.items() if left.elements[e] != right.elements[to]]:
+        raise ValueError(f"{bad[0]} and {mapping[bad[0]]} are of different tables")
+    return {"dom": pattern_out(left), "codom": pattern_out(right), "elements": dict(mapping)}
+
+
+def morphism_in(s: Schema, d: dict) -> tuple[Pattern, Pattern, dict[str, str]]:
+    return pattern_in(s, d["dom"]), pattern_in(s, d["codom"]), dict(d["elements"])
+
+
 def _monic_out(m):
     return m if isinstance(m, bool) else list(m)
 

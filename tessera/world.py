@@ -59,6 +59,10 @@ class World:
         """world_id, n."""
         return self.counts().where(F.col("ob") == ob).select("world_id", "n")
 
+    def largest(self) -> DataFrame:
+        """world_id, n: rows of the world's largest table."""
+        return self.counts().groupBy("world_id").agg(F.max("n").alias("n"))
+
     def dangling(self) -> DataFrame:
         """(world_id, ob, part_id, hom) of foreign keys that are not set or lead nowhere."""
         found = []
@@ -102,11 +106,14 @@ def _both(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder for checkpoints: spark.checkpoint.dir, or one set here where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    """The folder for checkpoints: spark.checkpoint.dir, or one set here where it is unset and all executors are on
+    this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+        spark.sparkContext.setCheckpointDir(found or DEFAULT_SHARED)
+    return found or DEFAULT_SHARED
 
 
 def make(spark: SparkSession, schema: Schema, rows: dict[str, list[dict]], worlds: list[int] | None = None) -> World:

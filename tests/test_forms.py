@@ -196,3 +196,57 @@ def test_numbers(spark):
 
 def test_look_rule_is_whole():
     assert identity("x", Pattern(SCHEMA)).deleted == ()
+
+
+def test_ranks(spark):
+    from tessera.functions.numbering import ranked
+
+    df = spark.createDataFrame([(i * 7 % 101, f"x{i}") for i in range(101)], "a bigint, b string").repartition(5)
+    assert sorted((r["a"], r["at"]) for r in ranked(df, ["a"], "at").collect()) == [(i, i + 1) for i in range(101)]
+    assert ranked(df.limit(0), ["a"], "at").count() == 0
+
+
+def test_zones_with_global_rows(spark):
+    from tessera.operators import zones
+    from tessera.pattern import Pattern
+    from tessera.schema import Schema
+    from tessera.world import make
+
+    w = make(spark, Schema(("V",)), {"V": [{} for _ in range(6)]})
+    own = {1: 1, 2: 1, 3: 2, 4: 2, 5: 0}
+    z = zones.assigned(w, {"V": spark.createDataFrame([(0, p, v) for p, v in own.items()], "world_id bigint, part_id bigint, zone bigint")})
+    for names in ("ab", "abc"):
+        found = zones.zoned(Pattern(z.schema, {e: "V" for e in names}), z, ["V"])
+        want = []
+        import itertools
+
+        for pick in itertools.product(range(1, 7), repeat=len(names)):
+            there = {own.get(p, 0) for p in pick} - {0}
+            if len(there) < 2:
+                want.append((*pick, next(iter(there), None)))
+        assert sorted(map(str, ((*(r[e] for e in names), r["zone"]) for r in found.collect()))) == sorted(map(str, want))
+
+
+def test_groups_come_whole_to_agents(spark):
+    """Groups that span Arrow batches, and batches with many groups."""
+    from pyspark.sql import functions as F
+
+    from tessera import agents
+    from tessera.schema import Schema
+    from tessera.world import make
+
+    w = make(spark, Schema(("V",)), {})
+    sizes = [1, 1, 300, 2, 50, 1]
+    rows = [(g, i, False) for g, n in enumerate(sizes) for i in range(n)]
+    found = spark.createDataFrame(rows, "world_id bigint, v bigint, passes boolean").repartition(3)
+    ctx = agents.Context(w, "p", 1, ("v",), turns=spark.createDataFrame([(g, g * 10) for g in range(6)], "world_id bigint, turn bigint"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        last = agents.Function(lambda world, turn, rows: None if len(rows) == 2 else len(rows) - 1 if turn == world * 10 else 0).choose(found, ctx)
+        assert sorted((r["world_id"], r["v"]) for r in last.collect()) == [(g, n - 1) for g, n in enumerate(sizes) if n != 2]
+        middle = agents.Vectorised(lambda m, turn: len(m) // 2 + 1).choose(found, ctx)
+        assert sorted((r["world_id"], r["v"]) for r in middle.collect()) == [(g, n // 2) for g, n in enumerate(sizes)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert agents.Batched(lambda m, edges, turns: edges[:-1] * 0).choose(found.where(F.lit(False)), ctx).count() == 0

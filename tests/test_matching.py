@@ -186,3 +186,45 @@ def test_patterns_are_checked():
         Pattern(GRAPH, {"e": "E", "f": "E"}, {("e", "src"): "f"})
     with pytest.raises(ValueError):
         Schema(("A",), {"f": ("A", "B")})
+
+
+def test_pins_come_first(spark):
+    """Random pins on any elements, connected or not, are what filtering all matches gives."""
+    rng = random.Random(11)
+    w = make(spark, GRAPH, graph_rows(7, [(rng.randint(1, 7), rng.randint(1, 7)) for _ in range(16)]))
+    for p, pinned in ((path(GRAPH, 3), ["V_2"]), (path(GRAPH, 3), ["V_1", "V_3"]), (path(GRAPH, 2).coproduct(path(GRAPH, 1), "a", "b"), ["aV_1", "bV_1"]), (path(GRAPH, 2), ["E_1"])):
+        every = rows(match(p, w, monic=["V"]), p)
+        held = [tuple(rng.randint(1, 9) for _ in pinned) for _ in range(12)]
+        pins = spark.createDataFrame([(0, *h) for h in held], "world_id bigint, " + ", ".join(f"{e} bigint" for e in pinned))
+        at = [list(p.elements).index(e) for e in pinned]
+        assert rows(match(p, w, monic=["V"], pins=pins), p) == [r for r in every if tuple(r[i] for i in at) in set(held)]
+
+
+def test_the_search_starts_from_pins(spark):
+    w = chain(spark, 4)
+    pins = spark.createDataFrame([(0, 2)], "world_id bigint, V_2 bigint")
+    plan = match(path(GRAPH, 3), w, pins=pins)._jdf.queryExecution().optimizedPlan().toString()
+    # below all joins, so at the deepest level of the plan
+    depth = max(plan.split("\n"), key=lambda line: len(line) - len(line.lstrip(" :+-")))
+    assert "Join" not in depth and plan.count("Join") >= 2
+
+
+def test_elements_that_are_one_row(spark):
+    w = chain(spark, 4, [(1, 1)])
+    p = path(GRAPH, 3)
+    assert rows(match(p, w, same=[("V_1", "V_2")]), p) == [r for r in rows(match(p, w), p) if r[0] == r[1]]
+    apart = path(GRAPH, 2).coproduct(path(GRAPH, 2), "a", "b")
+    assert rows(match(apart, w, same=[("aV_2", "bV_1")]), apart) == [r for r in rows(match(apart, w), apart) if r[1] == r[3]]
+    with pytest.raises(ValueError):
+        match(p, w, same=[("V_1", "nobody")])
+
+
+def test_many_first_rows_go_through_lots(spark, monkeypatch):
+    w = repeated(chain(spark, 9), 3)
+    p = path(GRAPH, 2)
+    few = {n: sorted(map(tuple, match(p, w, limit=n).collect())) for n in (1, 5, 20)}
+    drawn = {n: sorted(map(tuple, match(p, w, take=n, seed=4).collect())) for n in (1, 5, 20)}
+    monkeypatch.setattr(matching, "FEW", 0)
+    for n in (1, 5, 20):
+        assert sorted(map(tuple, match(p, w, limit=n).collect())) == few[n]
+        assert sorted(map(tuple, match(p, w, take=n, seed=4).collect())) == drawn[n]

@@ -238,3 +238,48 @@ def test_streamed_changes(spark, tmp_path):
     q.awaitTermination()
     assert incremental.same(state.cache.matches, match(path(GRAPH, 3), state.world), state.rule)
     assert state.matches.count() == 2
+
+
+def test_merging(spark):
+    """Chains of merges end at one row, and what referred to any of them refers to it."""
+    from tessera.operators import rewriting
+    from tessera.pattern import Pattern
+    from tessera.rule import Rule
+    from tessera.schema import Schema
+    from tessera.world import graph_rows, make
+
+    graph = Schema(("V", "E"), {"src": ("E", "V"), "tgt": ("E", "V")})
+    w = make(spark, graph, graph_rows(6, [(1, 2), (2, 3), (5, 6), (4, 1)]))
+    edge = Pattern(graph, {"a": "V", "b": "V", "e": "E"}, {("e", "src"): "a", ("e", "tgt"): "b"})
+    loop = Pattern(graph, {"x": "V", "e": "E"}, {("e", "src"): "x", ("e", "tgt"): "x"})
+    rule = Rule("shrink", edge, {"a": "x", "b": "x", "e": "e"}, loop)
+    assert rule.merged == (("b", "a"),)
+    after = rewriting.apply(rule, rewriting.legal(rule, w), w).world
+    # 4 only stays, so 1, 2 and 3 become 4; 6 becomes 5
+    assert sorted(r["part_id"] for r in after.table("V").collect()) == [4, 5]
+    assert sorted((r["src"], r["tgt"]) for r in after.table("E").collect()) == [(4, 4), (4, 4), (4, 4), (5, 5)]
+    circle = make(spark, graph, graph_rows(3, [(1, 2), (2, 3), (3, 1)]))
+    assert [r["part_id"] for r in rewriting.apply(rule, rewriting.legal(rule, circle), circle).world.table("V").collect()] == [1]
+
+
+def test_isomorphic(spark):
+    from tessera.operators.isomorphism import isomorphic
+    from tessera.schema import Schema
+    from tessera.world import graph_rows, make
+
+    graph = Schema(("V", "E"), {"src": ("E", "V"), "tgt": ("E", "V")})
+
+    def cycles(*sizes):
+        edges, at = [], 0
+        for n in sizes:
+            edges += [(at + i + 1, at + (i + 1) % n + 1) for i in range(n)]
+            at += n
+        return make(spark, graph, graph_rows(at, edges))
+
+    # all rows look alike: only a search tells two triangles from a ring of six
+    assert isomorphic(cycles(3, 3), cycles(3, 3)).first()["same"]
+    assert not isomorphic(cycles(3, 3), cycles(6)).first()["same"]
+    a, b = make(spark, graph, graph_rows(3, [(1, 2), (2, 3)])), make(spark, graph, graph_rows(3, [(3, 1), (1, 2)]))
+    assert isomorphic(a, b).first()["same"]
+    assert not isomorphic(a, make(spark, graph, graph_rows(3, [(1, 2), (1, 3)]))).first()["same"]
+    assert isomorphic(make(spark, graph, {}), make(spark, graph, {})).first()["same"]

@@ -2,13 +2,14 @@
 
 Patterns find emails, IP addresses, cards and phone numbers; what they find stays. The field then labels every word
 with a digit or an @ in it. Its potentials are a word's shape, the labels of neighbouring words, and, on skip edges,
-the labels of other words of the document with the same digits or the same lower-case form, however far apart. Loopy
+the labels of other words of the document that are the same or similar, however far apart: equal digits or lower-case
+forms, digits that end in the same SUFFIX or are one digit's insertion, loss or change apart, addresses of one name. Loopy
 belief propagation, with the words of pattern matches held at their label, makes mentions of one thing agree; words
 that reach CONFIDENT outside of the patterns' matches become further spans.
 
 Potentials are trained piecewise on the patterns' own labels: shapes, neighbours and skip pairs are counted over all
-documents, in tables whose size the shapes bound. A repeated form is chained to its previous mention, so a document
-with n mentions has n - 1 skip edges.
+documents, in tables whose size the shapes bound. A word is chained to the latest one before it that is the same, or
+else similar, so a document with n mentions has n - 1 skip edges.
 
 All scans are linear in the text. Nulls and empty texts have no spans; a null id is kept; repeated rows get the same
 spans each; very long texts are read whole; an empty table gives an empty result. Further columns are not read.
@@ -30,6 +31,8 @@ from tessera.llm.common import in_arrow
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 CONFIDENT = 0.9
+#: Digits at the end that make two numbers similar.
+SUFFIX = 7
 ROUNDS = 30
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -115,21 +118,41 @@ def labels(found: list[tuple[int, int, int, str]], spans: list[Span]) -> list[in
     for _, a, b, _ in found:
         while at < len(spans) and spans[at][2] <= a:
             at += 1
-        hit = next((s for s in spans[at : at + 8] if s[0] < b and s[2] > a), None)
-        out.append(hit[1] + 1 if hit else 0)
+        # spans are in the order of their starts, so that no later one overlaps where this one begins behind the word
+        out.append(spans[at][1] + 1 if at < len(spans) and spans[at][0] < b else 0)
     return out
 
 
+def alike(form: str) -> list[str]:
+    """Keys of a form: forms that share one are similar."""
+    if "@" in form:
+        return [form.partition("@")[0] + "@"]
+    if len(form) < SUFFIX:
+        return []
+    # two strings are one insertion, loss or change apart where they share one of these
+    near = [form, *(form[:i] + form[i + 1 :] for i in range(len(form)))] if SUFFIX < len(form) < 20 else [form]
+    return [f"-{form[-SUFFIX:]}", *near]
+
+
 def edges(found: list[tuple[int, int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Pairs of neighbouring words, and pairs of a form and its previous mention that isn't its neighbour."""
+    """Pairs of neighbouring words, and pairs of a word and the latest before it of its form, or else of a similar one."""
     chain = [(i - 1, i) for i in range(1, len(found)) if found[i][0] == found[i - 1][0] + 1]
     last: dict[str, int] = {}
+    near: dict[str, int] = {}
     skip = []
-    for i, f in enumerate(found):
-        if f[3]:
-            if f[3] in last:
-                skip.append((last[f[3]], i))
-            last[f[3]] = i
+    for i, (_, _, _, form) in enumerate(found):
+        if not form:
+            continue
+        if form in last:
+            skip.append((last[form], i))
+        else:
+            keys = alike(form)
+            before = max((near[k] for k in keys if k in near), default=-1)
+            if before >= 0:
+                skip.append((before, i))
+        for k in alike(form) if form not in last else ():
+            near[k] = i
+        last[form] = i
     return chain, skip
 
 
@@ -268,21 +291,22 @@ def _digest(spans: list[Span]) -> str:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, a count for each kind, base_sha256 and spans, for every document."""
+    """doc_id, a count for each kind, base_sha256, spans and their number, for every document."""
     field = docs.sparkSession.sparkContext.broadcast(trained(docs))
     counts = [f"n_{k}" for k in KINDS]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + [T.StructField(c, T.LongType()) for c in counts] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + [T.StructField(c, T.LongType()) for c in counts] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())])
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for text in b.column(1).to_pylist():
                 base = pattern_spans(text or "")
-                for c, v in zip(cols, [sum(s[1] == k for s in base) for k in range(4)] + [hashlib.sha256(_digest(base).encode()).hexdigest(), _digest(all_spans(text or "", field.value, base))]):
+                spans = all_spans(text or "", field.value, base)
+                for c, v in zip(cols, [sum(s[1] == k for s in base) for k in range(4)] + [hashlib.sha256(_digest(base).encode()).hexdigest(), _digest(spans), len(spans)]):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.string()) for c in cols[4:]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()])], names=schema.names)
 
     return in_arrow(docs.select("doc_id", "text"), run, schema)
 

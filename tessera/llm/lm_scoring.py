@@ -34,7 +34,7 @@ WORDS, BUCKETS = 7168, 1023
 #: Unit 0 is the end, and what comes before the first word.
 UNITS = 1 + WORDS + BUCKETS
 KNOWN = 1 << 17
-#: Longer words are never among the KNOWN.
+#: Longer words are held by a digest.
 LONGEST = 64
 SHARDS, ROUNDS, EPOCHS, DIM, NOISE = 8, 3, 8, 32, 4.0
 LN10 = float(np.log(10))
@@ -44,6 +44,15 @@ def bucket(word: bytes) -> int:
     return 1 + WORDS + crc32(word[-3:]) % BUCKETS
 
 
+def held_as(word: bytes) -> bytes:
+    """What a word is told by in the tables: itself, or a digest behind a byte that no text holds."""
+    if len(word) <= LONGEST:
+        return word
+    from xxhash import xxh3_128_digest
+
+    return b"\xff" + xxh3_128_digest(word)
+
+
 def signed(word: bytes) -> int:
     from xxhash import xxh3_64_intdigest
 
@@ -62,7 +71,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             while part := list(islice(items, 100_000)):
                 words = [w for w, _ in part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([signed(w) for w in words], pa.int64()), pa.array([w if len(w) <= LONGEST else None for w in words], pa.binary()), pa.array([bucket(w) for w in words], pa.int32()), pa.array([n for _, n in part], pa.int64())],
+                    [pa.array([signed(w) for w in words], pa.int64()), pa.array([held_as(w) for w in words], pa.binary()), pa.array([bucket(w) for w in words], pa.int32()), pa.array([n for _, n in part], pa.int64())],
                     names=["hash", "word", "bucket", "n"],
                 )
 
@@ -94,7 +103,7 @@ def _pair_counts(docs: DataFrame, units) -> DataFrame:
 
         for b in batches:
             for raw in text_bytes(b):
-                ids = [get(w) or bucket(w) for w in (raw or b"").lower().split()]
+                ids = [get(w if len(w) <= LONGEST else held_as(w)) or bucket(w) for w in (raw or b"").lower().split()]
                 seq = np.array([0, *ids, 0], np.int64)
                 held.append((seq[:-1] * UNITS + seq[1:]).astype(np.int32))
                 size += len(seq)
@@ -214,7 +223,7 @@ def _parts(docs: DataFrame, shared) -> DataFrame:
             cols = ([], [], [], [], [], [])
             for raw in text_bytes(b):
                 words = (raw or b"").lower().split()
-                codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                codes = np.fromiter((get(w if len(w) <= LONGEST else held_as(w), -1) for w in words), np.int64, len(words))
                 other = codes < 0
                 units = unit_of[codes]
                 rare: Counter = Counter()
@@ -235,23 +244,23 @@ def _parts(docs: DataFrame, shared) -> DataFrame:
 
 
 def _commonest(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """At most KNOWN words with their counts, commonest first: those above a count that a histogram gives.
+    """At most KNOWN words with their counts, commonest first: those above a count that a histogram gives, and as many
+    as there is room for of those at it, by a hash.
 
     A histogram has a few thousand bins whatever the corpus, and only the chosen words leave the executors.
     """
     size = F.floor(64 * F.log2("n")).cast("int")
-    given = counts.where("word is not null")
-    bins = sorted(given.groupBy(size.alias("bin")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)
-    room, least = KNOWN, None
+    bins = sorted(counts.groupBy(size.alias("bin")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)
+    room, chosen = KNOWN, F.lit(False)
     for r in bins:
         if r["words"] > room:
+            share = min(1.0, room / r["words"])
+            chosen = chosen | ((size == r["bin"]) & (F.xxhash64("word") <= min(2**63 - 1, int(share * 2**64) - 2**63)))
             break
-        room, least = room - r["words"], r["bin"]
-    if least is None:
-        return [], np.zeros(0)
+        room, chosen = room - r["words"], size >= r["bin"]
     # in Arrow: as rows of Python objects they would be many times larger
-    top = given.where(size >= least).select("word", "n").toArrow()
-    top = top.sort_by([("n", "descending"), ("word", "ascending")])
+    top = counts.where(chosen).select("word", "n").toArrow()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")]).slice(0, KNOWN)
     return top.column("word").to_pylist(), top.column("n").to_numpy().astype(float)
 
 
@@ -276,8 +285,9 @@ def scored(docs: DataFrame) -> DataFrame:
     model = _trained(pairs, seen / seen.sum())
 
     code = {w: i for i, w in enumerate(words)}
+    bucket_of = {r["word"]: r["bucket"] for r in counts.where(F.octet_length("word") == 17).where(F.substring("word", 1, 1) == F.lit(b"\xff")).join(F.broadcast(spark.createDataFrame([(w,) for w in words if w[:1] == b"\xff"] or [(b"",)], "word binary")), "word").select("word", "bucket").collect()}
     del words
-    unit_of = np.array([unit.get(w) or bucket(w) for w in code] + [0], np.int64)
+    unit_of = np.array([unit.get(w) or bucket_of.get(w) or bucket(w) for w in code] + [0], np.int64)
     log_c = np.log10(np.append(times, 0.0) + 0.1)
     log_share = np.log10(in_class + 0.1 * (kinds + 1))
     shared = spark.sparkContext.broadcast((model, code, unit_of, log_c, log_share, float(np.log10(ends + 0.1)), int(ends > 0), float(np.log10(total + 0.1 * (distinct + 1)))))

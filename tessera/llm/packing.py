@@ -1,12 +1,14 @@
 """Best-fit packing into sequences of a fixed length, with exact complements first.
 
 Documents are tokenised, end with token 0, and only those that are longer than a sequence are cut. How many pieces
-there are of each length is all that the plan needs: at most SEQUENCE counts, whatever the corpus. From the longest
-length down, the gap that a length leaves is filled by one, two or three lengths that still have pieces: a flag for
-each length tells the last of them, and those before it are searched; no sums are kept. Combinations that fill the gap exactly are used up to their availability; what has no exact complement
-is packed best-fit into the smallest gap that holds it. The plan is a short list of layouts with a multiplicity. Pieces are
+there are of each length is all that the plan needs: at most SEQUENCE counts, whatever the corpus. An index tells for
+each sum whether single lengths, pairs and triples that still have pieces add up to it. From the longest length down,
+the gap that a length leaves is filled exactly by one, two or three others; where none do, the length that fits the gap
+best goes there, which is the one that leaves the least, and the search goes on for what it leaves. A layout is used as
+often as its pieces are there. The plan is a short list of layouts with a multiplicity. Pieces are
 then numbered within their length, and number n of a length stands at a place of the layouts that n alone decides.
 
+Ties: pieces of one length are interchangeable, and are numbered by lot, id, piece and row.
 Nulls: a null text is empty, which is the one end token; a null id is kept. Repeated rows are pieces of their own.
 Very long documents are cut, never dropped. An empty table gives an empty result. Further columns are not read.
 """
@@ -14,7 +16,7 @@ Very long documents are cut, never dropped. An empty table gives an empty result
 from __future__ import annotations
 
 import bisect
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 from zlib import crc32
 
@@ -76,49 +78,81 @@ def cut(ids: np.ndarray, size: int = SEQUENCE) -> list[tuple[int, np.ndarray]]:
 
 
 class Sums:
-    """Which lengths that still have pieces add up to a gap: one, two or three of them."""
-
-    def __init__(self, counts: dict[int, int]):
-        self.counts = counts
-        self.lengths = sorted(k for k, n in counts.items() if n)
-        self.at = np.zeros(SEQUENCE + 1, bool)
-        self.at[self.lengths] = True
-
-    def drop(self, length: int) -> None:
-        self.at[length] = False
-        del self.lengths[bisect.bisect_left(self.lengths, length)]
-
-    def pair(self, gap: int, least: int = 1) -> tuple[int, int] | None:
-        """a >= b, a + b = gap, with the longest a; b >= least."""
-        for a in reversed(self.lengths[: bisect.bisect_right(self.lengths, gap - least)]):
-            b = gap - a
-            if b > a:
-                return None
-            if self.at[b] and (a != b or self.counts[a] > 1):
-                return a, b
-        return None
+    """An index of sums: how many lengths, pairs and triples of lengths add up to each sum, as far as there are pieces.
 
-    def triple(self, gap: int) -> tuple[int, int, int] | None:
-        for a in reversed(self.lengths[: bisect.bisect_right(self.lengths, gap - 2)]):
-            if 3 * a < gap:
-                return None
-            rest = gap - a
-            at = bisect.bisect_right(self.lengths, min(a, rest - 1))
-            # b from the longest down, c = rest - b
-            for b in reversed(self.lengths[:at]):
-                c = rest - b
-                if c > b:
-                    break
-                if self.at[c] and all(self.counts[x] >= n for x, n in ((a, 1 + (b == a) + (c == a)), (b, 1 + (b == a) + (c == b)), (c, 1 + (c == a) + (c == b)))):
-                    return a, b, c
-        return None
+    Three pieces of a length are all that a combination can hold, so the index changes only where a count passes 3, 2
+    or 1: `pairs` and `triples` then lose or win what holds so many of the length, a shift of the table below.
+    """
+
+    def __init__(self, counts: dict[int, int], size: int = SEQUENCE):
+        self.left = np.zeros(size + 1, np.int64)
+        self.size, self.lengths = size, []
+        self.at = np.zeros(size + 1, np.int64)  # 1 where there is a piece
+        self.pairs, self.triples = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        for k, n in counts.items():
+            self.add(k, n)
+
+    def _shift(self, table: np.ndarray, by: int, sign: int, to: np.ndarray) -> None:
+        if by <= self.size:
+            to[by:] += sign * table[: self.size + 1 - by]
+
+    def _turn(self, x: int, copies: int, sign: int) -> None:
+        """Combinations that hold so many of x come (1) or go (-1); x itself isn't in the tables that are shifted."""
+        if copies == 1:
+            self.at[x] = 0
+            if sign < 0:
+                self._shift(self.at, x, sign, self.pairs)
+                self._shift(self.pairs, x, sign, self.triples)
+                del self.lengths[bisect.bisect_left(self.lengths, x)]
+            else:
+                self._shift(self.pairs, x, sign, self.triples)
+                self._shift(self.at, x, sign, self.pairs)
+                self.at[x] = 1
+                bisect.insort(self.lengths, x)
+        elif copies == 2:
+            self.at[x] = 0
+            if 2 * x <= self.size:
+                self.pairs[2 * x] += sign
+            self._shift(self.at, 2 * x, sign, self.triples)
+            self.at[x] = 1
+        elif copies == 3 and 3 * x <= self.size:
+            self.triples[3 * x] += sign
+
+    def add(self, x: int, n: int) -> None:
+        for copies in range(int(self.left[x]) + 1, min(3, int(self.left[x]) + n) + 1):
+            self._turn(x, copies, 1)
+        self.left[x] += n
+
+    def take(self, x: int, n: int = 1) -> None:
+        for copies in range(min(3, int(self.left[x])), max(0, int(self.left[x]) - n), -1):
+            self._turn(x, copies, -1)
+        self.left[x] -= n
+
+    def _has(self, *wanted: int) -> bool:
+        return all(self.left[x] >= wanted.count(x) for x in wanted)
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill the gap, longest first, or None: the index says which of them there are."""
         if self.at[gap]:
             return (gap,)
-        return self.pair(gap) or self.triple(gap)
+        if self.pairs[gap]:
+            for a in reversed(self.lengths[: bisect.bisect_left(self.lengths, gap)]):
+                if self._has(a, gap - a):
+                    return a, gap - a
+        if self.triples[gap]:
+            for a in reversed(self.lengths[: bisect.bisect_left(self.lengths, gap)]):
+                rest = gap - a
+                if rest < 2 or not self.pairs[rest]:
+                    continue
+                for b in reversed(self.lengths[: bisect.bisect_right(self.lengths, min(a, rest - 1))]):
+                    if rest - b > b:
+                        break
+                    if self._has(a, b, rest - b):
+                        return a, b, rest - b
+        return None
 
     def largest(self, gap: int) -> int | None:
+        """The length that leaves the least of the gap."""
         i = bisect.bisect_right(self.lengths, gap)
         return self.lengths[i - 1] if i else None
 
@@ -129,50 +163,27 @@ def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int,
     A layout is repeated as often as its pieces allow, so a plan has a few layouts for each length, not for each
     piece.
     """
-    left = {k: n for k, n in counts.items() if n}
-    sums = Sums(left)
+    sums = Sums({k: n for k, n in counts.items() if n}, size)
     found: list[tuple[tuple[int, ...], int]] = []
-
-    def take(layout: tuple[int, ...]) -> None:
-        used = defaultdict(int)
-        for x in layout:
-            used[x] += 1
-        times = min(left[x] // n for x, n in used.items())
-        for x, n in used.items():
-            left[x] -= n * times
-            if not left[x]:
-                sums.drop(x)
-        found.append((layout, times))
-
     while sums.lengths:
         head = sums.lengths[-1]
-        gap = size - head
-        layout = (head,)
-        left[head] -= 1  # the head isn't there to fill its own gap
-        gone = not left[head]
-        if gone:
-            sums.at[head] = False
-            sums.lengths.pop()
-        # best fit where nothing fills the gap: the longest that fits, then exactly what it leaves
+        layout, gap = (head,), size - head
+        sums.take(head)  # the head isn't there to fill its own gap
         while gap:
-            rest = sums.exact(gap)
-            if rest is None:
-                x = sums.largest(gap)
-                if x is None:
-                    break
-                rest = (x,)
+            # where nothing fills the gap, the length that fits it best, and then exactly what it leaves
+            rest = sums.exact(gap) or ((x,) if (x := sums.largest(gap)) is not None else ())
+            if not rest:
+                break
             for x in rest:
-                left[x] -= 1
-                if not left[x]:
-                    sums.drop(x)
-                layout += (x,)
+                sums.take(x)
                 gap -= x
-        for x in layout:  # give back, then take the layout as often as it goes
-            left[x] += 1
-            if left[x] == 1 and not sums.at[x]:
-                sums.at[x] = True
-                bisect.insort(sums.lengths, x)
-        take(layout)
+            layout += rest
+        used = Counter(layout)
+        more = min(int(sums.left[x]) // n for x, n in used.items())
+        for x, n in used.items():
+            if more:
+                sums.take(x, n * more)
+        found.append((layout, 1 + more))
     return found
 
 

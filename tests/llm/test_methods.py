@@ -130,15 +130,22 @@ def test_plan_packs_all_and_tight():
         assert sum(t for _, t in layouts) <= math.ceil(lengths.sum() / 2048) + 1
 
 
-def test_sums_are_exact():
-    counts = {3: 1, 5: 2, 9: 1, 11: 1}
-    sums = packing.Sums(counts)
-    have = [k for k, n in counts.items() for _ in range(n)]
-    for gap in range(1, 40):
-        got = sums.exact(gap)
-        want = any(sum(c) == gap for r in (1, 2, 3) for c in itertools.combinations(have, r))
-        assert bool(got) == want
-        assert not got or sum(got) == gap
+def test_index_of_sums_is_brute_force():
+    rng = random.Random(5)
+    counts = {3: 1, 5: 2, 9: 1, 11: 1, 4: 3}
+    sums = packing.Sums(counts, 60)
+    while True:
+        have = [k for k in range(61) for _ in range(int(sums.left[k]))]
+        for r, table in ((1, sums.at), (2, sums.pairs), (3, sums.triples)):
+            want = Counter(sum(c) for c in set(itertools.combinations(have, r)))
+            assert {k: int(n) for k, n in enumerate(table) if n} == {k: n for k, n in want.items() if k <= 60}
+        for gap in range(1, 40):
+            got = sums.exact(gap)
+            assert bool(got) == any(sum(c) == gap for r in (1, 2, 3) for c in itertools.combinations(have, r))
+            assert not got or sum(got) == gap and not Counter(got) - Counter(have)
+        if not have:
+            break
+        sums.take(rng.choice(have))
 
 
 def test_ids_are_the_tokenizers():
@@ -221,6 +228,19 @@ def test_mentions_agree_over_a_distance():
     assert text[spans[1][0] : spans[1][2]] == "555-0100"
 
 
+def test_similar_mentions_are_chained():
+    def skips(text):
+        return pii.edges(pii.words(text))[1]
+
+    assert skips("12345678 and 12345678") == [(0, 1)]
+    assert skips("12345678 and 12345679 and 1234578") == [(0, 1), (0, 2)]  # a change, a loss
+    assert skips("+15551234567 then 5551234567") == [(0, 1)]  # one suffix
+    assert skips("Anna.B@x.org then anna.b@y.example") == [(0, 1)]
+    assert skips("12345678 and 87654321 and 1234 5678") == []
+    # a chain and no pairs: as many edges as later mentions
+    assert len(skips("x 123456789 " * 50)) == 49
+
+
 def test_patterns_are_the_plain_expressions():
     import re
 
@@ -416,3 +436,119 @@ def test_pages_of_a_conversation(spark, monkeypatch):
     pages = chat_format.rendered(turns).orderBy("page").collect()
     whole = "".join(r["fragment"] for r in chat_format.formatted(turns).orderBy("seq").collect())
     assert [r["n_turns"] for r in pages] == [7, 7, 6] and "".join(r["text"] for r in pages) == whole
+
+
+def test_words_at_the_edge_of_the_vocabulary(spark, monkeypatch):
+    """All words equally common, more of them than there is room for: as many as fit are taken. Long words count as well."""
+    monkeypatch.setattr(lm_scoring, "KNOWN", 60)
+    long = "y" * 300
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(200)) + f" {long} {long}") for i in range(20)], "doc_id bigint, text string")
+    counts = lm_scoring._word_counts(docs).groupBy("hash", "bucket").agg(*_sums())
+    words, n = lm_scoring._commonest(counts)
+    assert 30 < len(words) <= 60 and words[0] == lm_scoring.held_as(long.encode()) and n[0] == 40
+
+
+def _sums():
+    from pyspark.sql import functions as F
+
+    return F.sum("n").alias("n"), F.max("word").alias("word")
+
+
+def test_base_scores_are_brute_force(spark):
+    """op2's columns against plain counts."""
+    import zlib
+
+    rng = random.Random(12)
+    texts = {i: " ".join(rng.choice(["a", "B", "b", "c", "d" * 90, f"x{rng.randrange(40)}"]) for _ in range(rng.randrange(30))) for i in range(60)} | {60: None, 61: ""}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    split = {i: (t or "").lower().split() + [None] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    c = Counter(w for i, ws in split.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for r in lm_scoring.scored(docs).collect():
+        ws = split[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert abs(r["base_score"] - sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) < 1e-6
+
+
+def test_pattern_columns_are_brute_force(spark):
+    """op8's columns by the expressions of its contract, without look-arounds or possessive parts."""
+    import re
+
+    rng = random.Random(13)
+    parts = ["a.b@c.de", "x@y", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (222) 555-0100", "+12", "word", "1.2.3.4.5", "12345678901234", "@", "+", "é", "a@b-.c", "99999999999999999999"]
+    texts = {i: rng.choice([" ", "\n", ", "]).join(rng.choice(parts) for _ in range(rng.randrange(12))) for i in range(150)} | {150: None}
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def passes(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            total = sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(d)))
+            return 14 <= len(d) <= 19 and total % 10 == 0
+        return kind == "email" or 10 <= len(d) <= 15
+
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    for r in pii.found(docs).collect():
+        base = sorted((m.start(), i, k, m.end()) for i, (k, e) in enumerate(plain.items()) for m in re.finditer(e, texts[r["doc_id"]] or "") if passes(k, m[0]))
+        told = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base)
+        assert [r[f"n_{k}"] for k in plain] == [sum(x[2] == k for x in base) for k in plain]
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert r["n_spans"] == len(spans) and not set(told.split(",")) - {""} - set(spans)
+
+
+def test_counts_of_rules_are_brute_force(spark):
+    """op3's columns."""
+    import re
+
+    rng = random.Random(14)
+    texts = {i: rng.choice(["\n", " ", "\n\n"]).join(rng.choice(["a b c", "a b c", "#x", "é|ü", "<w>", "long line of words", ""]) for _ in range(rng.randrange(60))) for i in range(80)} | {80: None}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    for r in quality_rules.verdicts(docs).collect():
+        t = texts[r["doc_id"]] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        many = Counter(grams)
+        repeated = len({j for i, g in enumerate(grams) if many[g] > 1 for j in range(i, i + 3)})
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeated)
+        failed = len(w) < 50 or 100 * repeated > 50 * len(w)
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+
+
+def test_pieces_are_the_documents(spark):
+    """op5's columns: ids, their places and digests, and sequences without gaps."""
+    import zlib
+
+    rng = random.Random(15)
+    texts = {i: " ".join(f"w{rng.randrange(999)}" for _ in range(rng.choice([0, 3, 50, 700, 3000]))) for i in range(60)} | {60: None}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    rows = packing.packed(docs).collect()
+    by_sequence = {}
+    for r in rows:
+        ids = np.array([*packing.token_ids(texts[r["doc_id"]] or ""), 0], "<u4")
+        own = ids[r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(own.tobytes()) and len(own) == r["length"]
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(r["length"] for r in rows) == sum(len(packing.token_ids(t or "")) + 1 for t in texts.values())
+    for spans in by_sequence.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(spans))]
+        assert [o for o, _ in sorted(spans)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_shards_are_the_contract(spark):
+    """op4's columns: sizes, digests, near equal counts, gapless slots."""
+    import zlib
+
+    texts = {i: f"text {i % 9} é" * (i % 4) for i in range(210)} | {210: None}
+    rows = sharding.shard(spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string"), 16).collect()
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(slots) == list(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1

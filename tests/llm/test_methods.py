@@ -269,7 +269,7 @@ def decontaminated(spark, items, docs):
     """(doc, item): (share, reparameterised) of the matches at any share, items and documents by their places."""
     docs = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
     items = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    found = decontamination.matches(docs, items, 0.0).join(docs.select("doc_id", decontamination.doc_key()), "doc_key")
+    found = decontamination.matches(docs, items, 0.0)
     return {(r["doc_id"], r["item_id"]): (round(r["share"], 2), r["reparameterised"]) for r in found.collect()}
 
 
@@ -306,6 +306,42 @@ def test_case_and_line_breaks_hide_no_copy(spark):
     assert decontaminated(spark, [item], docs) == {(i, 0): (1.0, i >= 5) for i in range(10)}
 
 
+def test_planted_copies_are_found(spark):
+    """Of items with and without placeholders: verbatim, re-cased, re-spaced and re-parameterised copies among other
+    text. The share of each kind that is found, and no clean document."""
+    rng = random.Random(21)
+    common = [f"w{i}x" for i in range(300)]
+    names = ["Anna", "Omar", "Lena", "Paul", "Mary", "John"]
+
+    def sentence(r, k):
+        out = []
+        for _ in range(k):
+            x = r.random()
+            out.append(str(r.randrange(2, 99)) if x < 0.12 else r.choice(names) if x < 0.2 and out else r.choice(common))
+        return " ".join(out)
+
+    items = [sentence(rng, rng.randrange(12, 40)) for _ in range(60)]
+    items += ["please answer the following question in one short sentence " + sentence(rng, 14) for _ in range(20)]  # windows that many items share
+
+    def other(t):
+        swap = dict(zip(names, [*names[1:], names[0]]))
+        return " ".join(swap.get(w, str(rng.randrange(100, 999)) if w.isdigit() else w) for w in t.split(" "))
+
+    kinds = {"verbatim": lambda t: t, "lower": str.lower, "upper": str.upper, "spaced": lambda t: t.replace(" ", " \n "), "changed": other}
+    docs, want = [], []
+    for i, item in enumerate(items):
+        for kind, f in kinds.items():
+            docs.append(sentence(rng, 30) + ". " + f(item) + " and so on. " + sentence(rng, 30))
+            want.append((i, kind))
+    clean = [sentence(rng, 80) for _ in range(100)] + ["please answer the following question in one short sentence " + sentence(rng, 40) for _ in range(30)]
+    frame = spark.createDataFrame(list(enumerate(docs + clean)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.verdicts(frame, bench).collect()}
+    recall = {k: sum(i in got[d] for d, (i, kind) in enumerate(want) if kind == k) / len(items) for k in kinds}
+    assert all(v == 1 for k, v in recall.items() if k != "changed") and recall["changed"] >= 0.9, recall
+    assert not any(got[len(docs) + j] for j in range(len(clean)))
+
+
 def test_loser_tree_sorts():
     rng = random.Random(4)
     for k in range(9):

@@ -11,7 +11,8 @@ Potentials are trained piecewise on the patterns' own labels: shapes, neighbours
 documents, in tables whose size the shapes bound. A word is chained to the latest one before it that is the same, or
 else similar, so a document with n mentions has n - 1 skip edges.
 
-All scans are linear in the text. Nulls and empty texts have no spans; a null id is kept; repeated rows get the same
+Ties: of equally likely labels the first of LABELS counts, so a word in doubt stays out; spans of several kinds at one
+place all stand, in the order of KINDS. All scans are linear in the text. Nulls and empty texts have no spans; a null id is kept; repeated rows get the same
 spans each; very long texts are read whole; an empty table gives an empty result. Further columns are not read.
 """
 

@@ -7,7 +7,7 @@ pattern first: the driver sees at most 3**9 rows, whatever the size of the corpu
 compiled into a column expression.
 
 Nulls and empty texts have no words: every rule abstains and the posterior is the prior; such documents fail the
-base filter. A null id is kept as it is, repeated rows are judged each by itself, an empty table gives an empty
+base filter. Ties: a posterior that equals the threshold keeps. A null id is kept as it is, repeated rows are judged each by itself, an empty table gives an empty
 result, and columns besides `doc_id` and `text` are not read.
 """
 

@@ -588,3 +588,34 @@ def test_shards_are_the_contract(spark):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert sorted(slots) == list(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def labelled(spark, size="/root/testdata/sf0.01"):
+    import os
+
+    import pytest
+
+    if not os.path.isdir(size):
+        pytest.skip("no tables here")
+    return spark.read.parquet(f"{size}/documents.parquet"), spark.read.parquet(f"{size}/labels.parquet")
+
+
+def test_held_out_accuracy_of_the_classifier(spark):
+    """op6 on rows it didn't learn from: the chance that a good document scores above a bad one."""
+    import zlib
+
+    docs, labels = labelled(spark)
+    rows = quality_classifier.scored(docs, labels).join(labels, "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    good = [r["score"] for r in rows if r["held_out"] and r["quality"] == 1]
+    bad = [r["score"] for r in rows if r["held_out"] and r["quality"] == 0]
+    wins = sum((g > b) + 0.5 * (g == b) for g in good for b in bad)
+    assert wins / (len(good) * len(bad)) > 0.95
+
+
+def test_votes_agree_with_labels(spark):
+    """op3 never sees a label: its verdicts on documents that pass the base filter."""
+    docs, labels = labelled(spark)
+    rows = quality_rules.verdicts(docs).where("not base_failed").join(labels.where("toxic = 0"), "doc_id").collect()
+    right = sum(r["kept"] == (r["quality"] == 1) for r in rows)
+    assert len(rows) > 100 and right / len(rows) > 0.95

@@ -128,3 +128,24 @@ def test_chat_format(spark):
     text = "".join(r["fragment"] for r in rows if r["conv_id"] == 3)
     assert text == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nlate<|im_end|>\n"
     assert chat_format.formatted(turns.limit(0)).count() == 0
+
+
+def test_further_columns_of_the_other_tables(spark, odd):
+    """Columns of pages, conversations, labels and benchmark under names that the operators use themselves."""
+    from pyspark.sql import functions as F
+
+    names = ["key", "time", "digest", "refers_to", "payload", "size", "first", "n", "hash", "width", "ways", "slots", "doc_key", "sig", "part", "seq", "salt", "fragment", "page", "quality_probability", "row", "lot"]
+
+    def more(df):
+        return df.select("*", *[F.lit("x").alias(c) for c in names if c not in df.columns])
+
+    pages = spark.createDataFrame([(1, "http://a/", "<p>"), (None, None, None)], "page_id bigint, url string, html string")
+    assert sorted(map(str, warc.archived(more(pages)).drop("range", "place").collect())) == sorted(map(str, warc.archived(pages).drop("range", "place").collect()))
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, None, None)], "conv_id bigint, turn bigint, role string, text string")
+    assert sorted(map(str, chat_format.formatted(more(turns)).collect())) == sorted(map(str, chat_format.formatted(turns).collect()))
+    items = spark.createDataFrame([(3, "word1 and word2 and word3 and word4 and word5 and")], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontamination.verdicts(more(odd), more(items)).collect() if r["contaminated"]} == {5}
+    marked = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id bigint, quality int, toxic int")
+    assert quality_classifier.scored(more(odd), more(marked)).count() == len(ODD)
+    assert ngram_join.linked(more(odd)).count() == packing.packed(more(odd)).where("piece = 0").count() == len(ODD)
+    assert ngram_join.one_of_each(more(odd)).columns == more(odd).columns

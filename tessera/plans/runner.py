@@ -272,8 +272,12 @@ class Runner:
         if agent is None:
             raise KeyError(f"no agent for player {box.player}")
         ctx = Context(world, box.player if player else "", self.step, elements, self.options.seed, groups, turns)
-        picked = agent.choose(offered, ctx).checkpoint()
-        chosen = picked.where("not passes").drop("passes")
+        picked = agent.choose(offered, ctx)
+        if player:
+            # what was offered is counted in the same job
+            picked = self._offered(rule, offered).join(picked, F.col("#world") == F.col("world_id"), "left")
+        picked = picked.checkpoint()
+        chosen = picked.where("world_id is not null and not passes").drop("passes", "#world", "#legal", "#actions")
         if at_once:
             rank = [tick(g) for g in groups[1:]] + [tick(e) for e in elements]
             chosen = rewriting.independent(rule, chosen, rank).checkpoint()
@@ -305,7 +309,7 @@ class Runner:
                 s = s.join(end, "world_id", "left").withColumn("_end", F.coalesce("_end", F.lit(False)) & F.col("_fired"))
                 s = s.withColumn("winner", F.when(F.col("_end"), F.col("_winner")).otherwise(F.col("winner"))).withColumn("done", F.col("done") | F.col("_end")).drop("_end", "_winner")
             s = s.withColumn("done", F.col("done") | (F.col("turn") > self.options.t_max))
-            s = self._decided(rule, offered, picked, s)
+            s = s.join(self._decided(rule, picked), "world_id", "left")
         s = s.checkpoint()
         if player:
             self._record(box, rule, s, path)
@@ -328,18 +332,26 @@ class Runner:
         if player and self.options.snapshots:
             self.snapshots.append((self.step, self.world.tables))
 
-    def _decided(self, rule, offered, picked, s) -> DataFrame:
-        """s with what was offered to each world, and what was chosen."""
+    @staticmethod
+    def _as_map(rule) -> Column:
         names = list(rule.left.elements)
-        as_map = F.create_map(*[x for e in names for x in (F.lit(e), tick(e))]) if names else F.create_map().cast("map<string,bigint>")
-        legal = offered.groupBy("world_id").agg(F.count(F.lit(1)).alias("legal"), *([F.sort_array(F.collect_list(F.when(~F.col("passes"), F.to_json(as_map)))).alias("legal_actions")] if self.options.keep_legal and names else []))
-        acts = picked.where("not passes")
-        one = F.first(as_map).alias("match") if names else F.lit(None).cast("map<string,bigint>").alias("match")
-        return s.join(legal, "world_id", "left").join(acts.groupBy("world_id").agg(F.count(F.lit(1)).alias("_n"), one), "world_id", "left")
+        return F.create_map(*[x for e in names for x in (F.lit(e), tick(e))]) if names else F.create_map().cast("map<string,bigint>")
+
+    def _offered(self, rule, offered) -> DataFrame:
+        """#world, #legal and, where they are to be kept, #actions of the worlds where something is offered."""
+        kept = F.sort_array(F.collect_list(F.when(~F.col("passes"), F.to_json(self._as_map(rule))))) if self.options.keep_legal and rule.left.elements else F.lit(None).cast("array<string>")
+        return offered.groupBy(F.col("world_id").alias("#world")).agg(F.count(F.lit(1)).alias("#legal"), kept.alias("#actions"))
+
+    def _decided(self, rule, picked) -> DataFrame:
+        """What was offered to each world, and what was chosen: world_id, legal, legal_actions, _n, match."""
+        acted = F.when(~F.col("passes"), F.lit(1))
+        one = F.first(F.when(~F.col("passes"), self._as_map(rule)), ignorenulls=True) if rule.left.elements else F.lit(None).cast("map<string,bigint>")
+        found = picked.groupBy(F.col("#world").alias("world_id")).agg(F.first("#legal").alias("legal"), F.first("#actions").alias("legal_actions"), F.count(acted).alias("_n"), one.alias("match"))
+        return found.withColumn("_n", F.when(F.col("_n") > 0, F.col("_n")))
 
     def _record(self, box, rule, s, path) -> None:
         acted = F.col("_n").isNotNull()
-        actions = F.transform("legal_actions", lambda j: F.from_json(j, "map<string,bigint>")) if "legal_actions" in s.columns else F.lit(None).cast("array<map<string,bigint>>")
+        actions = F.transform("legal_actions", lambda j: F.from_json(j, "map<string,bigint>"))
         self.experiences.append(
             s.select(
                 "world_id", F.lit(self.step).cast("long").alias("step"), F.lit(box.player).alias("player"), "turn", F.lit(box.name).alias("box"), F.lit(rule.name).alias("rule"), F.when(acted, F.lit(rule.name)).alias("action"), F.when(acted, F.col("match")).alias("match"),

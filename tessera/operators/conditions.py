@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.matching import Monic, match, tick
+from tessera.operators.matching import Monic, match, quoted
 from tessera.pattern import Pattern, Threshold, Var
 from tessera.world import World
 
@@ -60,16 +59,15 @@ def satisfied(matches: DataFrame, pattern: Pattern, world: World, conditions: It
         small = _reduced(c.extension, pattern.elements)
         thresholds = [t for t in c.thresholds if t.element in small.elements]
         keys = [e for e in small.elements if e in pattern.elements]
-        found = match(small, world, monic=c.monic, thresholds=thresholds, pins=matches.select("world_id", *map(tick, keys)) if anchored and keys else None)
+        found = match(small, world, monic=c.monic, thresholds=thresholds, pins=matches.selectExpr("world_id", *map(quoted, keys)) if anchored and keys else None)
         keys += [f"?{v}" for v in small.variables() if v in pattern.variables()]
         new = [e for e in small.elements if e not in pattern.elements]
         injective = set(world.schema.obs) if c.monic is True else set() if c.monic is False else set(c.monic)
         apart = [(x, e) for e in new for x in c.extension.elements if x in pattern.elements and x not in keys and small.elements[e] == pattern.elements[x] and small.elements[e] in injective]
         needed = [*keys, *dict.fromkeys(e for _, e in apart)]
-        right = found.select(F.col("world_id").alias("_w"), *[tick(k).alias(f"_{i}") for i, k in enumerate(needed)])
-        same = [F.col("world_id") == F.col("_w")] + [tick(k) == F.col(f"_{i}") for i, k in enumerate(keys)]
-        same += [tick(x) != F.col(f"_{needed.index(e)}") for x, e in apart]
-        matches = matches.join(right, reduce(lambda a, b: a & b, same), "left_semi" if c.must else "left_anti")
+        right = found.selectExpr("world_id AS _w", *[f"{quoted(k)} AS _{i}" for i, k in enumerate(needed)])
+        same = ["world_id = _w", *[f"{quoted(k)} = _{i}" for i, k in enumerate(keys)], *[f"{quoted(x)} <> _{needed.index(e)}" for x, e in apart]]
+        matches = matches.join(right, F.expr(" AND ".join(same)), "left_semi" if c.must else "left_anti")
     return matches
 
 
@@ -80,10 +78,9 @@ def undangling(matches: DataFrame, pattern: Pattern, world: World, deleted: Iter
         for h, (a, b) in world.schema.homs.items():
             if b != pattern.elements[e]:
                 continue
-            rows = world.table(a).where(F.col(h).isNotNull()).select(F.col("world_id").alias("_w"), F.col("part_id").alias("_p"), F.col(h).alias("_h"))
-            gone = [x for x in deleted if pattern.elements[x] == a]
-            bad = [F.col("world_id") == F.col("_w"), tick(e) == F.col("_h"), *[F.col("_p") != tick(x) for x in gone]]
-            matches = matches.join(rows, reduce(lambda p, q: p & q, bad), "left_anti")
+            rows = world.table(a).where(f"{quoted(h)} IS NOT NULL").selectExpr("world_id AS _w", "part_id AS _p", f"{quoted(h)} AS _h")
+            bad = ["world_id = _w", f"{quoted(e)} = _h", *[f"_p <> {quoted(x)}" for x in deleted if pattern.elements[x] == a]]
+            matches = matches.join(rows, F.expr(" AND ".join(bad)), "left_anti")
     return matches
 
 
@@ -92,7 +89,7 @@ def identified(matches: DataFrame, pattern: Pattern, deleted: Iterable[str]) ->
     for e in deleted:
         for x, o in pattern.elements.items():
             if x != e and o == pattern.elements[e]:
-                matches = matches.where(tick(x) != tick(e))
+                matches = matches.where(f"{quoted(x)} <> {quoted(e)}")
     return matches
 
 

@@ -11,7 +11,6 @@ Matches have world_id, a BIGINT for each element under its name, and `?name` for
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +31,14 @@ def _hom(e: str, h: str) -> str:
     return f"{e}.{h}"
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL text. Plans are written as text where they can be: each call of a column function goes
+    to the JVM and back several times, and a pattern has hundreds of them."""
+    return f"`{name}`"
+
+
 def tick(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col(quoted(name))
 
 
 def columns(pattern: Pattern) -> list[str]:
@@ -89,20 +94,20 @@ class Plan:
                 t = t.where(_COMPARE[c.op](F.col(c.attr), F.lit(c.value)))
         if e in self.pins:
             t = t.where(F.col("part_id") == F.lit(self.pins[e]))
-        homs = [(x, h) for x, h in p.homs if x == e]
-        attrs = [(x, n) for (x, n), v in p.attrs.items() if x == e and isinstance(v, Var)]
-        more = [n for n in self.extra.get(e, ())]
-        # two names for one key are one value
-        found = t.select("world_id", F.col("part_id").alias(e), *[F.col(h).alias(_hom(e, h)) for _, h in homs], *[F.col(n).alias(_hom(e, n)) for n in {n for _, n in attrs} | set(more)])
-        for (_, h), to in ((k, v) for k, v in p.homs.items() if k[0] == e):
-            found = found.where(tick(_hom(e, h)) == tick(e)) if to == e else found.where(tick(_hom(e, h)).isNotNull())
+        homs = [h for x, h in p.homs if x == e]
+        attrs = {n for (x, n), v in p.attrs.items() if x == e and isinstance(v, Var)}
+        found = t.selectExpr("world_id", f"part_id AS {quoted(e)}", *[f"{quoted(n)} AS {quoted(_hom(e, n))}" for n in [*homs, *sorted(attrs | set(self.extra.get(e, ())))]])
+        met = []
+        for h in homs:
+            to = p.homs[e, h]
+            met.append(f"{quoted(_hom(e, h))} = {quoted(e)}" if to == e else f"{quoted(_hom(e, h))} IS NOT NULL")
             if to in self.pins and to != e:
                 found = found.where(tick(_hom(e, h)) == F.lit(self.pins[to]))
         for places in p.variables().values():
+            # two names for one key are one value
             own = [n for x, n in places if x == e]
-            for a, b in zip(own, own[1:]):
-                found = found.where(tick(_hom(e, a)) == tick(_hom(e, b)))
-        return found
+            met += [f"{quoted(_hom(e, a))} = {quoted(_hom(e, b))}" for a, b in zip(own, own[1:])]
+        return found.where(" AND ".join(met)) if met else found
 
     def weight(self, e: str) -> tuple:
         """Lower is more selective."""
@@ -126,10 +131,10 @@ class Plan:
         if not own:
             first = min(todo, key=self.weight)
             return self._follow(self.scan(first), done := [first]), done
-        df = self.held.select("world_id", *[tick(e).cast("long").alias(e) for e in own]).distinct()
+        df = self.held.selectExpr("world_id", *[f"CAST({quoted(e)} AS BIGINT) AS {quoted(e)}" for e in own]).distinct()
         for a, b in self.apart:
             if a in own and b in own:
-                df = df.where(tick(a) != tick(b))
+                df = df.where(f"{quoted(a)} <> {quoted(b)}")
         done = list(own)
         for e in own:
             if e not in self.followed:
@@ -144,9 +149,9 @@ class Plan:
             near = [e for e in todo if self._between(e, done)]
             e = min(near, key=self.weight)
             right = self.scan(e).withColumnRenamed("world_id", "_w")
-            conditions = ([] if self.world.one_world else [F.col("world_id") == F.col("_w")]) + self._between(e, done)
-            conditions += [tick(a) != tick(b) for a, b in self.apart if e in (a, b) and (a in done or b in done)]
-            df = df.join(right, reduce(lambda a, b: a & b, conditions)).drop("_w")
+            conditions = ([] if self.world.one_world else ["world_id = _w"]) + self._between(e, done)
+            conditions += [f"{quoted(a)} <> {quoted(b)}" for a, b in self.apart if e in (a, b) and (a in done or b in done)]
+            df = df.join(right, F.expr(" AND ".join(conditions))).drop("_w")
             done.append(e)
             todo.remove(e)
             df = self._follow(df, done)
@@ -154,38 +159,37 @@ class Plan:
 
     def _follow(self, df: DataFrame, done: list[str]) -> DataFrame:
         """Elements that a foreign key of the last element leads to, without a join; they join `done`."""
-        last = done[-1]
+        last, new, met = done[-1], [], []
         for (x, h), to in self.pattern.homs.items():
             if x == last and to in self.followed:
                 if to in done:
-                    df = df.where(tick(_hom(x, h)) == tick(to))
+                    met.append(f"{quoted(_hom(x, h))} = {quoted(to)}")
                 else:
-                    df = df.withColumn(to, tick(_hom(x, h)))
-                    for a, b in self.apart:
-                        if to in (a, b) and (other := b if to == a else a) in done:
-                            df = df.where(tick(to) != tick(other))
+                    new.append(f"{quoted(_hom(x, h))} AS {quoted(to)}")
+                    met += [f"{quoted(a)} <> {quoted(b)}" for a, b in self.apart if to in (a, b) and (b if to == a else a) in done]
                     if to in self.pins:
-                        df = df.where(tick(to) == F.lit(self.pins[to]))
+                        df = df.where(tick(_hom(x, h)) == F.lit(self.pins[to]))
                     done.insert(0, to)
-        return df
+        df = df.selectExpr("*", *new) if new else df
+        return df.where(" AND ".join(met)) if met else df
 
-    def _between(self, e: str, done: list[str]) -> list[Column]:
-        """What ties e to joined elements: foreign keys either way, and shared variables."""
+    def _between(self, e: str, done: list[str]) -> list[str]:
+        """What ties e to joined elements: foreign keys either way, shared variables, and being one row."""
         found = []
         for (x, h), to in self.pattern.homs.items():
             if x == to:
                 continue
             if (x == e and to in done) or (to == e and x in done):
-                found.append(tick(_hom(x, h)) == tick(to))
+                found.append(f"{quoted(_hom(x, h))} = {quoted(to)}")
             elif x == e and to in self.followed:
                 # another element's key leads to the same row
-                found += [tick(_hom(x, h)) == tick(_hom(y, g)) for (y, g), other in self.pattern.homs.items() if other == to and y in done][:1]
+                found += [f"{quoted(_hom(x, h))} = {quoted(_hom(y, g))}" for (y, g), other in self.pattern.homs.items() if other == to and y in done][:1]
         for places in self.pattern.variables().values():
             before = [(x, n) for x, n in places if x in done]
             own = [(x, n) for x, n in places if x == e]
             if before and own:
-                found.append(tick(_hom(*own[0])) == tick(_hom(*before[0])))
-        return found + [tick(a) == tick(b) for a, b in self.same if (a == e and b in done) or (b == e and a in done)]
+                found.append(f"{quoted(_hom(*own[0]))} = {quoted(_hom(*before[0]))}")
+        return found + [f"{quoted(a)} = {quoted(b)}" for a, b in self.same if (a == e and b in done) or (b == e and a in done)]
 
     def build(self) -> DataFrame:
         p = self.pattern
@@ -202,10 +206,10 @@ class Plan:
             for a, b in self.apart:
                 if (a in c) != (b in c) and (a, b) not in names:
                     names.add((a, b))
-                    df = df.where(tick(a) != tick(b))
-        bound = {v: tick(_hom(*places[0])).alias(f"?{v}") for v, places in p.variables().items()}
-        more = [tick(_hom(e, n)) for e, ns in self.extra.items() for n in ns]
-        return df.select("world_id", *[tick(e) for e in p.elements], *bound.values(), *more)
+                    df = df.where(f"{quoted(a)} <> {quoted(b)}")
+        bound = [f"{quoted(_hom(*places[0]))} AS {quoted(f'?{v}')}" for v, places in p.variables().items()]
+        more = [quoted(_hom(e, n)) for e, ns in self.extra.items() for n in ns]
+        return df.selectExpr("world_id", *map(quoted, p.elements), *bound, *more)
 
 
 def match(

@@ -188,6 +188,13 @@ def sched_create(spark, sf_dir):
     return w.table("nation").where("n_name = 'new'").select(F.col("world_id").alias("world"), "part_id", F.col("n_name").alias("name"))
 
 
+@query(BASE + "SELECT worlds.world, (count(s) + 3)::BIGINT AS n FROM worlds LEFT JOIN sup USING (world) GROUP BY 1")
+def sched_interpret(spark, sf_dir):
+    """A loop that would never end, stopped after three passes."""
+    w = runner.interpret(looped(S.RuleApp("found", FOUND)), regions(spark, sf_dir), max_step=3)
+    return w.nparts("supplier").select(F.col("world_id").alias("world"), "n")
+
+
 # -- agent loops
 
 EACH = Pattern(SCHEMA, {"a": "nation"})

@@ -452,3 +452,6 @@ def run(x: Schedule, world: World, agents: Mapping[str, Agent], t_max: int = 100
     return Result(r.world, control, exp, events, r.snapshots, changes)
 
 
+def interpret(x: Schedule, world: World, max_step: int = 10_000, seed: int = 0, **more) -> World:
+    """The worlds after a schedule without players, of whose loops at most max_step passes are run."""
+    return run(x, world, {}, seed=seed, most_passes=max_step, **more).world

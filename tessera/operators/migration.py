@@ -44,7 +44,7 @@ class Renaming:
     def schedule(self, x: Any, players: Callable[[str], str] | Mapping[str, str] = lambda p: p, names: Callable[[str], str] = lambda n: n) -> Any:
         """The schedule with moved rules; all options of its boxes stay."""
         player = players if callable(players) else lambda p: players.get(p, p)
-        return mapped(x, self.rule, self.pattern, player, names)
+        return mapped(x, self.rule, self.pattern, player, names, lambda o: self.obs.get(o, o))
 
 
 def included(w: World, target: Schema) -> World:

@@ -146,7 +146,7 @@ def sched_query(spark, sf_dir):
 @query(BASE + "SELECT worlds.world, least(count(s), 22)::BIGINT AS n FROM worlds LEFT JOIN sup USING (world) GROUP BY 1")
 def sched_while(spark, sf_dir):
     """A body that runs while a world has more than 22 suppliers."""
-    shrink = S.While("w", S.RuleApp("any", deleting("any", SUPPLIER, Pattern(SCHEMA))), lambda w: w.nparts("supplier").where("n > 22").select("world_id"))
+    shrink = S.While("w", S.RuleApp("any", deleting("any", SUPPLIER, Pattern(SCHEMA))), S.MoreThan("supplier", 22))
     r = runner.run(once(shrink, "o"), regions(spark, sf_dir), {})
     return r.world.nparts("supplier").select(F.col("world_id").alias("world"), "n")
 

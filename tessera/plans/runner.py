@@ -5,6 +5,9 @@ a box works on the worlds of its input wires and moves them to its outputs. Wher
 one for each move, and the driver keeps which labels a wire has and how many worlds each: wires that meet, are renamed
 or lead back, and worlds that are done and wait, cost no job. After each box that changes something, what it changed is
 checkpointed in the shared folder, so plans stay short and lost executors cost little.
+
+A loop that only deletes one matched row after another, by the first match each time, is run as one pass: its firings
+are the legal matches in their order, and its events, decisions, snapshots and changes follow from the ranks.
 """
 
 from __future__ import annotations
@@ -13,17 +16,19 @@ from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.agents import Agent, Context, First
+from tessera.functions.numbering import ranked
 from tessera.operators import matching, rewriting
 from tessera.operators.incremental import MatchCache
 from tessera.operators.matching import tick
-from tessera.plans.schedule import AgentLoop, Coin, Merge, PlayerRuleApp, Query, RuleApp, Schedule, Split, Weaken, While
-from tessera.world import World, shared
+from tessera.plans.schedule import AgentLoop, Coin, Merge, MoreThan, PlayerRuleApp, Query, RuleApp, Schedule, Split, Weaken, While, boxes_of, lone
+from tessera.world import World, shared, written
 
 #: One row for each decision of a player.
 EXPERIENCE = (
@@ -36,10 +41,10 @@ EVENT = "world_id bigint, step bigint, box string, rule string, fired boolean"
 @dataclass
 class Options:
     agents: Mapping[str, Agent]
-    t_max: int = 100
+    t_max: int | None = 100
     terminal: Callable[[World], DataFrame] | None = None
     seed: int = 0
-    most_passes: int = 10_000
+    most_passes: int | None = None
     keep_legal: bool = False
     snapshots: bool = False
     log_changes: bool = False
@@ -56,20 +61,22 @@ class Result:
     control: DataFrame
     experiences: DataFrame
     events: DataFrame
-    snapshots: list[tuple[int, dict[str, DataFrame]]] = field(default_factory=list)
+    snapshots: list[tuple[int, Mapping[str, DataFrame]]] = field(default_factory=list)
     changes: DataFrame | None = None
 
 
 #: Unions of the control table with rows of a box before it is written down again.
 MOST_UNIONS = 8
+#: Tables of events, decisions or changes before they are written down as one.
+MOST_LOGS = 64
 
 
 def checkpointed(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables without their lineage; their jobs run side by side."""
     if len(tables) < 2:
-        return {k: t.checkpoint() for k, t in tables.items()}
+        return {k: written(t) for k, t in tables.items()}
     with ThreadPoolExecutor(len(tables)) as pool:
-        waits = {k: pool.submit(t.checkpoint) for k, t in tables.items()}
+        waits = {k: pool.submit(written, t) for k, t in tables.items()}
         return {k: w.result() for k, w in waits.items()}
 
 
@@ -88,7 +95,7 @@ class Runner:
         self.experiences: list[DataFrame] = []
         self.events: list[DataFrame] = []
         self.changes: list[DataFrame] = []
-        self.snapshots: list[tuple[int, dict[str, DataFrame]]] = []
+        self.snapshots: list[tuple[int, Mapping[str, DataFrame]]] = []
         self.caches: dict[str, MatchCache] = {}
         #: worlds by (label, done)
         self.held: dict[tuple[str, bool], int] = {}
@@ -125,12 +132,24 @@ class Runner:
 
     def settle(self, state: DataFrame) -> None:
         """The new state, and how many worlds have each label; new labels lie on the wires that they name."""
-        self.state = state.checkpoint()
+        self.state = written(state)
+        self.prune()
         known = {x for entries in self.lies.values() for x, _ in entries}
         self.held = {(r["wire"], r["done"]): r["count"] for r in self.state.groupBy("wire", "done").count().collect()}
         for x in {x for x, _ in self.held} - known:
             self.lies.setdefault(x.partition("|")[2], set()).add((x, None))
 
+    def prune(self) -> None:
+        """Forget labels that no world had when they were last counted: none gets an old label."""
+        there = {x for x, _ in self.held}
+        self.lies = {w: kept for w, entries in self.lies.items() if (kept := {(x, f) for x, f in entries if x in there})}
+
+    def log(self, logs: list[DataFrame], rows: DataFrame) -> None:
+        """Add rows; many small tables become one, so that neither plans nor what the driver holds grow with steps."""
+        logs.append(rows)
+        if len(logs) >= MOST_LOGS:
+            logs[:] = [written(reduce(DataFrame.unionByName, logs).coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))]
+
     def move(self, wires: tuple[str, ...], to: DataFrame) -> None:
         """Worlds on `wires` go where to(world_id, out, and any of turn, done, winner) says."""
         mark = self.label("")
@@ -192,13 +211,20 @@ class Runner:
         elif isinstance(box, While):
             top = f"{'/'.join(path)}:{box.name}"
             self.rename({w: f"{top}>" for w in inputs})
-            for _ in range(box.most):
+            if pins is None and self.sweep_while(box, (f"{top}>",), outs[0]):
+                return
+            # where nothing is drawn or chosen, a pass without a firing would come again for ever
+            native = not boxes_of(box.body, (PlayerRuleApp, Coin, Split))
+            for _ in range(box.most) if box.most is not None else count():
+                before = self.world
                 now = self.on((f"{top}>",)).where(~F.col("done")).select("world_id")
                 going = box.test(self.world.only(now)).select("world_id").withColumn("_go", F.lit(True))
                 self.move((f"{top}>",), self.on((f"{top}>",)).select("world_id").join(going, "world_id", "left").select("world_id", F.when(F.col("_go"), F.lit(f"{top}!")).otherwise(F.lit(outs[0])).alias("out")))
                 if not self.any_on((f"{top}!",)):
                     break
                 self.run_body(box.body, (f"{top}!",), (f"{top}>",), (*path, box.name), pins)
+                if native and self.world is before:
+                    break
             self.rename({f"{top}>": outs[0]})
         elif isinstance(box, Schedule):
             self.run_nested(box, inputs, outs, path, pins)
@@ -276,7 +302,7 @@ class Runner:
         if player:
             # what was offered is counted in the same job
             picked = self._offered(rule, offered).join(picked, F.col("#world") == F.col("world_id"), "left")
-        picked = picked.checkpoint()
+        picked = written(picked)
         chosen = picked.where("world_id is not null and not passes").drop("passes", "#world", "#legal", "#actions")
         if at_once:
             rank = [tick(g) for g in groups[1:]] + [tick(e) for e in elements]
@@ -285,21 +311,11 @@ class Runner:
         any_fired = not chosen.isEmpty()  # of a checkpoint
         before = self.world
         if any_fired:
-            change = rewriting.apply(rule, chosen.select("world_id", *[tick(c) for c in chosen.columns if c not in ("world_id", *groups)]), self.world)
-            most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            # a union adds partitions each time
-            wanted = {o: change.world.tables[o].coalesce(most) for o in change.world.schema.obs if o in change.deleted or o in change.inserted or o in change.updated}
-            if change.deleted:
-                wanted[""] = change.world.counters
-            touched = checkpointed(wanted)
-            self.world = replace(change.world, counters=touched.pop("", change.world.counters), tables=change.world.tables | touched)
-            for name, cache in self.caches.items():
-                if cache is not None:
-                    self.caches[name] = cache.updated(before, replace(change, world=self.world)).cut()
+            self.rewrite(rule, chosen.select("world_id", *[tick(c) for c in chosen.columns if c not in ("world_id", *groups)]))
             if self.options.log_changes:
                 from tessera.operators.changes import between
 
-                self.changes.append(between(before, self.world).withColumn("step", F.lit(self.step).cast("long")).withColumn("box", F.lit(box.name)))
+                self.log(self.changes, between(before, self.world).withColumn("step", F.lit(self.step).cast("long")).withColumn("box", F.lit(box.name)))
         s = self.on(inputs).select("world_id", "turn", "done", "winner").join(fired.withColumn("_fired", F.lit(True)), "world_id", "left").withColumn("_fired", F.coalesce("_fired", F.lit(False)))
         if player:
             s = s.withColumn("turn", F.col("turn") + 1)
@@ -308,12 +324,13 @@ class Runner:
                 end = self.options.terminal(self.worlds(fired, inputs)).select("world_id", F.col("done").alias("_end"), F.col("winner").cast("string").alias("_winner"))
                 s = s.join(end, "world_id", "left").withColumn("_end", F.coalesce("_end", F.lit(False)) & F.col("_fired"))
                 s = s.withColumn("winner", F.when(F.col("_end"), F.col("_winner")).otherwise(F.col("winner"))).withColumn("done", F.col("done") | F.col("_end")).drop("_end", "_winner")
-            s = s.withColumn("done", F.col("done") | (F.col("turn") > self.options.t_max))
+            if self.options.t_max is not None:
+                s = s.withColumn("done", F.col("done") | (F.col("turn") > self.options.t_max))
             s = s.join(self._decided(rule, picked), "world_id", "left")
-        s = s.checkpoint()
+        s = written(s)
         if player:
             self._record(box, rule, s, path)
-        self.events.append(s.select("world_id", F.lit(self.step).cast("long").alias("step"), F.lit(box.name).alias("box"), F.lit(rule.name).alias("rule"), F.col("_fired").alias("fired")))
+        self.log(self.events, s.select("world_id", F.lit(self.step).cast("long").alias("step"), F.lit(box.name).alias("box"), F.lit(rule.name).alias("rule"), F.col("_fired").alias("fired")))
         yes, no = self.label(outs[0]), self.label(outs[1])
         rows = s.select("world_id", F.when(F.col("_fired"), F.lit(yes)).otherwise(F.lit(no)).alias("wire"), "turn", "done", "winner")
         self.state = self.state.where(~self.place(inputs)).unionByName(rows)
@@ -328,10 +345,106 @@ class Runner:
         self.lies.setdefault(outs[1], set()).add((no, None))
         self.unions += 1
         if self.unions % MOST_UNIONS == 0:
-            self.state = self.state.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint()
+            self.state = written(self.state.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
         if player and self.options.snapshots:
             self.snapshots.append((self.step, self.world.tables))
 
+    def rewrite(self, rule, chosen: DataFrame) -> None:
+        """Apply the rule at the chosen matches; what it touches is checkpointed, and kept matches follow."""
+        before = self.world
+        change = rewriting.apply(rule, chosen, before)
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # a union adds partitions each time
+        wanted = {o: change.world.tables[o].coalesce(most) for o in change.world.schema.obs if o in change.deleted or o in change.inserted or o in change.updated}
+        if change.deleted:
+            wanted[""] = change.world.counters
+        touched = checkpointed(wanted)
+        self.world = replace(change.world, counters=touched.pop("", change.world.counters), tables=change.world.tables | touched)
+        for name, cache in self.caches.items():
+            if cache is not None:
+                self.caches[name] = cache.updated(before, replace(change, world=self.world)).cut()
+
+    # -- loops in one pass
+
+    def sweeps(self, box: Any, wires: tuple[str, ...]) -> bool:
+        """Are the firings of a box that is run again and again the legal matches of now, one by one in their order?
+        They are for a rule that only plucks rows, where the first match is taken and nothing else can end the loop."""
+        o = self.options
+        if not isinstance(box, (RuleApp, PlayerRuleApp)) or box.rule.plucked is None or o.most_passes is not None:
+            return False
+        if any(self.held.get((x, True), 0) for w in wires for x, f in self.lies.get(w, ()) if f is not False):
+            return False
+        if isinstance(box, RuleApp):
+            return True
+        own = box.can_pass or box.take is not None or box.view_fn is not None or box.fast_match_fn is not None
+        return not own and type(o.agents.get(box.player)) is First and not o.snapshots and box.match_limit is None and o.t_max is None and o.terminal is None and not o.keep_legal
+
+    def plucks(self, box: Any, wires: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+        """(world_id, part_id, _nth): the rows that a box would delete, numbered from 1 in each world; and the worlds
+        with _k, how many that are."""
+        here = self.on(wires)
+        free = replace(box, match_limit=None) if isinstance(box, PlayerRuleApp) else box
+        found, _ = self.candidates(free, self.worlds(here.select("world_id"), wires), here.select("world_id"), None)
+        placed = ranked(found.select("world_id", tick(box.rule.plucked).alias("part_id")), ["world_id", "part_id"], "_at").checkpoint()
+        ends = placed.groupBy("world_id").agg((F.min("_at") - 1).alias("_before"), F.count(F.lit(1)).alias("_k"))
+        s = here.select("world_id", "turn", "done", "winner").join(ends, "world_id", "left").withColumns({"_k": F.coalesce("_k", F.lit(0).cast("long")), "_before": F.coalesce("_before", F.lit(0).cast("long"))}).checkpoint()
+        return placed.join(s.select("world_id", "_before"), "world_id").select("world_id", "part_id", (F.col("_at") - F.col("_before")).alias("_nth")), s.drop("_before")
+
+    def sweep(self, box: Any, wires: tuple[str, ...], out: str, path: tuple[str, ...], rows: DataFrame, s: DataFrame, fails: bool) -> None:
+        """Delete the rows in one rewrite, and log what round after round would have: _nth is the round of a row, _k a
+        world's rounds that fire. fails: one more round follows, in which nothing is found."""
+        rule, player, base = box.rule, isinstance(box, PlayerRuleApp), self.step
+        gone = rows.checkpoint()
+        rounds = (s.agg(F.max("_k")).first()[0] or 0) + fails
+        before, ob = self.world, rule.left.elements[rule.plucked]
+        if rounds > fails:
+            self.rewrite(rule, gone.select("world_id", F.col("part_id").alias(rule.plucked)))
+            if self.options.log_changes:
+                self.log(self.changes, gone.select("world_id", F.lit(ob).alias("ob"), "part_id", F.lit("delete").alias("change"), (F.col("_nth") + base).alias("step"), F.lit(box.name).alias("box")))
+        self.step += rounds
+        each = gone.select("world_id", F.col("_nth").alias("_round"), F.col("part_id").alias("_row")).join(s, "world_id")
+        if fails:
+            each = each.unionByName(s.withColumns({"_round": F.col("_k") + 1, "_row": F.lit(None).cast("long")}))
+        each = each.withColumn("_fired", F.col("_row").isNotNull()).checkpoint()
+        step = (F.col("_round") + base).alias("step")
+        self.log(self.events, each.select("world_id", step, F.lit(box.name).alias("box"), F.lit(rule.name).alias("rule"), F.col("_fired").alias("fired")))
+        if player:
+            legal = F.col("_k") - F.col("_round") + 1
+            given = each.withColumns({"turn": F.col("turn") + F.col("_round"), "_n": F.when(F.col("_fired"), F.lit(1)), "match": F.create_map(F.lit(rule.plucked), F.col("_row"))})
+            given = given.withColumns({"legal": legal, "legal_actions": F.lit(None).cast("array<string>")})
+            self._record(box, rule, given, path, step)
+        label, turn = self.label(out), F.col("turn") + F.col("_k") + int(fails)
+        there = s.select("world_id", F.lit(label).alias("wire"), (turn if player else F.col("turn")).alias("turn"), "done", "winner")
+        rest = self.state.where(~self.place(wires))
+        for w in wires:
+            self.lies.pop(w, None)
+        self.settle(rest.unionByName(there))
+
+    def sweep_loop(self, x: Schedule, wires: tuple[str, ...], outs: tuple[str, ...], path: tuple[str, ...]) -> bool:
+        """Run a loop in one pass, if that is the same."""
+        found = lone(x)
+        if found is None or not self.any_on(wires) or not self.sweeps(found[0], wires):
+            return False
+        rows, s = self.plucks(found[0], wires)
+        self.sweep(found[0], wires, outs[x.exits.index(found[1])], (*path, x.name), rows, s, True)
+        return True
+
+    def sweep_while(self, box: While, wires: tuple[str, ...], out: str) -> bool:
+        """The same for a body that plucks rows of the table that the test counts, one each round: a world goes on for
+        as many rounds as it has rows too many."""
+        rule = box.body.rule if isinstance(box.body, RuleApp) else None
+        if rule is None or box.most is not None or not isinstance(box.test, MoreThan) or rule.plucked is None or rule.left.elements[rule.plucked] != box.test.ob or not self.sweeps(box.body, wires):
+            return False
+        rows, s = self.plucks(box.body, wires)
+        many = self.world.table(box.test.ob).groupBy("world_id").agg(F.greatest(F.count(F.lit(1)) - F.lit(box.test.n), F.lit(0)).alias("_over"))
+        s = s.join(many, "world_id", "left").withColumn("_over", F.coalesce("_over", F.lit(max(0, -box.test.n)).cast("long"))).checkpoint()
+        if not s.where("_over > _k").isEmpty():
+            # such a world stays above the number, without a match
+            return False
+        rows = rows.join(s.select("world_id", "_over"), "world_id").where("_nth <= _over").drop("_over")
+        self.sweep(box.body, wires, out, (), rows, s.select("world_id", "turn", "done", "winner", F.col("_over").alias("_k")), False)
+        return True
+
     @staticmethod
     def _as_map(rule) -> Column:
         names = list(rule.left.elements)
@@ -349,14 +462,15 @@ class Runner:
         found = picked.groupBy(F.col("#world").alias("world_id")).agg(F.first("#legal").alias("legal"), F.first("#actions").alias("legal_actions"), F.count(acted).alias("_n"), one.alias("match"))
         return found.withColumn("_n", F.when(F.col("_n") > 0, F.col("_n")))
 
-    def _record(self, box, rule, s, path) -> None:
+    def _record(self, box, rule, s, path, step: Column | None = None) -> None:
         acted = F.col("_n").isNotNull()
         actions = F.transform("legal_actions", lambda j: F.from_json(j, "map<string,bigint>"))
-        self.experiences.append(
+        self.log(
+            self.experiences,
             s.select(
-                "world_id", F.lit(self.step).cast("long").alias("step"), F.lit(box.player).alias("player"), "turn", F.lit(box.name).alias("box"), F.lit(rule.name).alias("rule"), F.when(acted, F.lit(rule.name)).alias("action"), F.when(acted, F.col("match")).alias("match"),
+                "world_id", F.lit(self.step).cast("long").alias("step") if step is None else step, F.lit(box.player).alias("player"), "turn", F.lit(box.name).alias("box"), F.lit(rule.name).alias("rule"), F.when(acted, F.lit(rule.name)).alias("action"), F.when(acted, F.col("match")).alias("match"),
                 F.coalesce("legal", F.lit(0).cast("long")).alias("legal"), actions.alias("legal_actions"), "done", "winner", F.create_map().cast("map<string,string>").alias("info"), F.lit(list(path)).cast("array<string>").alias("schedule_path"),
-            )
+            ),
         )
 
     def run_agents(self, box: AgentLoop, inputs, outs, here, path) -> None:
@@ -398,7 +512,10 @@ class Runner:
 
     def loop(self, x: Schedule, top: str, outs: tuple[str, ...], path: tuple[str, ...], pins) -> None:
         start = tuple(top + w for w in (*x.trace, *x.inputs))
-        for turn in range(self.options.most_passes):
+        if pins is None and self.sweep_loop(x, start, outs, path):
+            return
+        most = self.options.most_passes
+        for turn in range(most) if most is not None else count():
             if turn:
                 # what is done stays on its wire
                 self.park(start)
@@ -411,11 +528,12 @@ class Runner:
                 break
 
 
-def run(x: Schedule, world: World, agents: Mapping[str, Agent], t_max: int = 100, terminal: Callable[[World], DataFrame] | None = None, win_conditions: Mapping[str, str | None] | None = None, seed: int = 0, **more) -> Result:
+def run(x: Schedule, world: World, agents: Mapping[str, Agent], t_max: int | None = 100, terminal: Callable[[World], DataFrame] | None = None, win_conditions: Mapping[str, str | None] | None = None, seed: int = 0, **more) -> Result:
     """Run a schedule on every world of a batch.
 
     terminal: World -> DataFrame(world_id, done, winner), asked after each firing of a player. win_conditions: exit
-    wire -> winner (None: a draw); where they are given, terminal isn't asked. t_max: turns of players.
+    wire -> winner (None: a draw); where they are given, terminal isn't asked. t_max: turns of players, None for as
+    many as it takes. most_passes: passes of each loop, likewise; a loop that nothing ends goes on for ever.
     A schedule with several inputs gets a copy of each world on each: ids world_id * inputs + place.
     """
     if win_conditions:

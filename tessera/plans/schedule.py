@@ -106,14 +106,29 @@ class Weaken:
     outputs = 1
 
 
+@dataclass(frozen=True)
+class MoreThan:
+    """A test of While: the worlds with more than n rows of a table."""
+
+    ob: str
+    n: int
+
+    def __call__(self, world):
+        return world.nparts(self.ob).where(f"n > {self.n}").select("world_id")
+
+
 @dataclass(frozen=True)
 class While:
-    """Runs its body while a test holds; test: World -> DataFrame(world_id) of worlds that go on."""
+    """Runs its body while a test holds; test: World -> DataFrame(world_id) of worlds that go on.
+
+    most: passes at most, None for as many as it takes. A pass of native rules in which none fires is the last, since
+    all that follow would be like it.
+    """
 
     name: str
     body: Any
     test: Callable
-    most: int = 1000
+    most: int | None = None
     outputs = 1
 
 
@@ -281,6 +296,27 @@ def boxes_of(x: Any, kind: type) -> list[Any]:
     return found + (boxes_of(x.body, kind) if isinstance(x, (AgentLoop, While)) else [])
 
 
+def lone(x: Schedule) -> tuple[Any, str] | None:
+    """The rule's box of a loop that has no other and goes round while the rule is applied, and the exit wire that
+    worlds leave by when it isn't."""
+    rules = [(x.boxes[s.box], s) for s in x.steps if not isinstance(x.boxes[s.box], (Merge, Weaken))]
+    if len(rules) != 1 or not isinstance(rules[0][0], (RuleApp, PlayerRuleApp)) or len(rules[0][1].outputs) != 2 or not x.trace:
+        return None
+    box, step = rules[0]
+    leads = {w: s.outputs[0] for s in x.steps if s is not step and s.outputs for w in s.inputs}
+
+    def end(w: str) -> str:
+        while w in leads:
+            w = leads[w]
+        return w
+
+    starts = {end(w) for w in (*x.trace, *x.inputs)}
+    yes, no = map(end, step.outputs)
+    if not starts <= set(step.inputs) or yes not in x.returns[: len(x.trace)] or no not in x.exits:
+        return None
+    return box, no
+
+
 def players(x: Any) -> list[PlayerRuleApp]:
     return boxes_of(x, PlayerRuleApp)
 
@@ -290,10 +326,10 @@ def right_sides(x: Any) -> list[Pattern]:
     return [b.rule.right for b in boxes_of(x, (RuleApp, PlayerRuleApp))]
 
 
-def mapped(x: Any, rule: Callable[[Rule], Rule], pattern: Callable[[Pattern], Pattern], player: Callable[[str], str], name: Callable[[str], str] = lambda n: n) -> Any:
-    """A schedule with other rules, patterns, players and box names; all other options stay."""
+def mapped(x: Any, rule: Callable[[Rule], Rule], pattern: Callable[[Pattern], Pattern], player: Callable[[str], str], name: Callable[[str], str] = lambda n: n, table: Callable[[str], str] = lambda o: o) -> Any:
+    """A schedule with other rules, patterns, players, box names and tables that tests count; all other options stay."""
     if isinstance(x, Schedule):
-        return replace(x, name=name(x.name), boxes={k: mapped(b, rule, pattern, player, name) for k, b in x.boxes.items()})
+        return replace(x, name=name(x.name), boxes={k: mapped(b, rule, pattern, player, name, table) for k, b in x.boxes.items()})
     if isinstance(x, PlayerRuleApp):
         return replace(x, name=name(x.name), rule=rule(x.rule), player=player(x.player))
     if isinstance(x, RuleApp):
@@ -301,9 +337,10 @@ def mapped(x: Any, rule: Callable[[Rule], Rule], pattern: Callable[[Pattern], Pa
     if isinstance(x, Query):
         return replace(x, name=name(x.name), pattern=pattern(x.pattern))
     if isinstance(x, AgentLoop):
-        return replace(x, name=name(x.name), interface=pattern(x.interface), body=mapped(x.body, rule, pattern, player, name))
+        return replace(x, name=name(x.name), interface=pattern(x.interface), body=mapped(x.body, rule, pattern, player, name, table))
     if isinstance(x, While):
-        return replace(x, name=name(x.name), body=mapped(x.body, rule, pattern, player, name))
+        test = replace(x.test, ob=table(x.test.ob)) if isinstance(x.test, MoreThan) else x.test
+        return replace(x, name=name(x.name), body=mapped(x.body, rule, pattern, player, name, table), test=test)
     return x
 
 

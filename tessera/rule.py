@@ -73,6 +73,15 @@ class Rule:
         there = set(self.keep.values())
         return tuple(e for e in self.right.elements if e not in there)
 
+    @property
+    def plucked(self) -> str | None:
+        """The one element of left, where all that the rule does is to delete its row, which no foreign key can lead
+        to: then a firing takes its own match from the legal ones, brings no new one, and leaves all others."""
+        if len(self.left.elements) != 1 or self.keep or self.right.elements or self.conditions:
+            return None
+        ((e, o),) = self.left.elements.items()
+        return None if any(b == o for _, b in self.left.schema.homs.values()) else e
+
     @property
     def guard(self) -> Guard:
         return Guard(self.conditions, self.deleted)

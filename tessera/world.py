@@ -116,6 +116,21 @@ def shared(spark: SparkSession) -> str:
     return found or DEFAULT_SHARED
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder.
+
+    A checkpoint keeps the size that the planner estimated, which joins multiply. Of a table that is made of itself
+    again and again the size's digits would double each time until the driver has no room for the number, so a size
+    beyond a long is dropped with the plan that has it.
+    """
+    df = df.checkpoint()
+    ran = df._jdf.queryExecution()
+    if ran.optimizedPlan().stats().sizeInBytes() < 1 << 63:
+        return df
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(ran.toRdd(), df._jdf.schema(), False), spark)
+
+
 def make(spark: SparkSession, schema: Schema, rows: dict[str, list[dict]], worlds: list[int] | None = None) -> World:
     """A batch from rows by table; world_id is 0 where a row has none, and part ids count from 1."""
     tables, seen = {}, set(worlds or [])

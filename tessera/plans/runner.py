@@ -41,7 +41,7 @@ EVENT = "world_id bigint, step bigint, box string, rule string, fired boolean"
 @dataclass
 class Options:
     agents: Mapping[str, Agent]
-    t_max: int | None = 100
+    t_max: int | None = None
     terminal: Callable[[World], DataFrame] | None = None
     seed: int = 0
     most_passes: int | None = None
@@ -528,7 +528,7 @@ class Runner:
                 break
 
 
-def run(x: Schedule, world: World, agents: Mapping[str, Agent], t_max: int | None = 100, terminal: Callable[[World], DataFrame] | None = None, win_conditions: Mapping[str, str | None] | None = None, seed: int = 0, **more) -> Result:
+def run(x: Schedule, world: World, agents: Mapping[str, Agent], t_max: int | None = None, terminal: Callable[[World], DataFrame] | None = None, win_conditions: Mapping[str, str | None] | None = None, seed: int = 0, **more) -> Result:
     """Run a schedule on every world of a batch.
 
     terminal: World -> DataFrame(world_id, done, winner), asked after each firing of a player. win_conditions: exit

@@ -86,3 +86,22 @@ def test_sizes_stay_bounded(spark):
     r = runner.run(once(shrink, "o"), world(spark, [3]), {})
     assert r.control._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
     assert r.events.count() == 5
+
+
+def test_decisions_after_the_hundredth(spark, many):
+    by_sql(spark, "sched_experiences", many)
+
+
+def test_loop(spark):
+    """After a decision of another box, so that steps and turns go on from there; worlds without a match, and one more
+    round than any has matches."""
+    inner = looped(S.PlayerRuleApp("drop", DROP, "p"))
+    s = S.schedule("o", [], ["i"], {"b": S.PlayerRuleApp("found", FOUND, "p"), "l": inner}, "a, b = b(i)\nc = l(a)\nreturn c, b")
+
+    def ran(**more):
+        return runner.run(s, world(spark, [3, 1, 0, 2]), FIRST, win_conditions={"c": "clean"}, log_changes=True, **more)
+
+    # with a limit of turns it is round after round
+    swept, stepwise = ran(), ran(t_max=1000)
+    same(swept, stepwise)
+    assert rows(swept.experiences.where("world_id = 0").select("turn", "legal")) == [f"Row(legal={n}, turn={t})" for n, t in ((0, 5), (1, 1), (1, 4), (2, 3), (3, 2))]

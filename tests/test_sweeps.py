@@ -1,8 +1,8 @@
 """Loops that are run in one pass: as many rounds as the rows ask for, and the same as round after round."""
 
 import pytest
-from pyspark.sql import functions as F
 
+from tessera.operators.migration import Renaming
 from tessera.pattern import Pattern
 from tessera.plans import catalog, runner
 from tessera.plans import schedule as S
@@ -105,3 +105,14 @@ def test_loop(spark):
     swept, stepwise = ran(), ran(t_max=1000)
     same(swept, stepwise)
     assert rows(swept.experiences.where("world_id = 0").select("turn", "legal")) == [f"Row(legal={n}, turn={t})" for n, t in ((0, 5), (1, 1), (1, 4), (2, 3), (3, 2))]
+
+
+def test_migrated_to_the_end(spark, many):
+    by_sql(spark, "sched_migrated", many)
+
+
+def test_renamed_tests_count_the_renamed_table(spark):
+    f = Renaming(SCHEMA, {"supplier": "vendor"})
+    s = f.schedule(once(S.While("w", S.RuleApp("any", ANY), S.MoreThan("supplier", 2)), "o"))
+    r = runner.run(s, f.world(world(spark, [3, 1])), {})
+    assert rows(r.world.nparts("vendor")) == ["Row(n=2, world_id=0)", "Row(n=2, world_id=1)"]

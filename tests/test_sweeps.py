@@ -116,3 +116,7 @@ def test_renamed_tests_count_the_renamed_table(spark):
     s = f.schedule(once(S.While("w", S.RuleApp("any", ANY), S.MoreThan("supplier", 2)), "o"))
     r = runner.run(s, f.world(world(spark, [3, 1])), {})
     assert rows(r.world.nparts("vendor")) == ["Row(n=2, world_id=0)", "Row(n=2, world_id=1)"]
+
+
+def test_nested_to_the_end(spark, many):
+    by_sql(spark, "sched_nested", many)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,11 +89,55 @@ def restored(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(F.col(c) != NOTHING, F.col(c)) for c in ("action_rule_name", "winner")})
 
 
-def reconstructed(events: DataFrame, snapshots: list[tuple[int, dict[str, DataFrame]]], ob: str) -> DataFrame:
-    """Events that fired with the table `ob` as it was after their step."""
+@dataclass(frozen=True, eq=False)
+class Span:
+    """Tables over the steps first .. last, in which rows of one table go: marked has them all, and _until is the step
+    that deletes a row, NULL if none does."""
+
+    tables: Mapping[str, DataFrame]
+    ob: str
+    marked: DataFrame
+    first: int
+    last: int
+
+
+class After(Mapping):
+    """The tables after a step of a span; each is made when it is asked for."""
+
+    def __init__(self, span: Span, step: int):
+        self.span, self.step = span, step
+
+    def __getitem__(self, ob: str) -> DataFrame:
+        if ob != self.span.ob:
+            return self.span.tables[ob]
+        return self.span.marked.where(F.col("_until").isNull() | (F.col("_until") > self.step)).drop("_until")
+
+    def __iter__(self):
+        return iter(self.span.tables)
+
+    def __len__(self) -> int:
+        return len(self.span.tables)
+
+
+def reconstructed(events: DataFrame, snapshots: list[tuple[int, Mapping[str, DataFrame]]], ob: str) -> DataFrame:
+    """Events that fired with the table `ob` as it was after their step; a span is one join for all its steps."""
     from functools import reduce
 
+    fired = events.where("fired")
     if not snapshots:
-        return events.where("fired").limit(0)
-    rows = reduce(DataFrame.unionByName, [t[ob].withColumn("step", F.lit(step).cast("long")) for step, t in snapshots])
-    return events.where("fired").join(rows, ["world_id", "step"])
+        return fired.limit(0)
+    found, single, steps = [], [], {}
+    for step, t in snapshots:
+        if isinstance(t, After):
+            steps.setdefault(t.span, []).append(step)
+        else:
+            single.append(t[ob].withColumn("step", F.lit(step).cast("long")))
+    if single:
+        found.append(fired.join(reduce(DataFrame.unionByName, single), ["world_id", "step"]))
+    for span, held in steps.items():
+        rows = span.marked if span.ob == ob else span.tables[ob].withColumn("_until", F.lit(None).cast("long"))
+        own = F.col("step").between(span.first, span.last) if len(held) == span.last - span.first + 1 else F.col("step").isin(held)
+        both = fired.where(own).join(rows.withColumnRenamed("world_id", "_w"), (F.col("world_id") == F.col("_w")) & (F.col("_until").isNull() | (F.col("_until") > F.col("step"))))
+        # the columns as a join by name gives them
+        found.append(both.select("world_id", "step", *[c for c in fired.columns if c not in ("world_id", "step")], *[c for c in rows.columns if c not in ("world_id", "_until")]))
+    return reduce(DataFrame.unionByName, found)

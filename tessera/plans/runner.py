@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.agents import Agent, Context, First
+from tessera.experience import After, Span
 from tessera.functions.numbering import ranked
 from tessera.operators import matching, rewriting
 from tessera.operators.incremental import MatchCache
@@ -377,7 +378,7 @@ class Runner:
         if isinstance(box, RuleApp):
             return True
         own = box.can_pass or box.take is not None or box.view_fn is not None or box.fast_match_fn is not None
-        return not own and type(o.agents.get(box.player)) is First and not o.snapshots and box.match_limit is None and o.t_max is None and o.terminal is None and not o.keep_legal
+        return not own and type(o.agents.get(box.player)) is First and box.match_limit is None and o.t_max is None and o.terminal is None and not o.keep_legal
 
     def plucks(self, box: Any, wires: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
         """(world_id, part_id, _nth): the rows that a box would delete, numbered from 1 in each world; and the worlds
@@ -419,6 +420,10 @@ class Runner:
         for w in wires:
             self.lies.pop(w, None)
         self.settle(rest.unionByName(there))
+        if player and self.options.snapshots:
+            marked = before.tables[ob].join(gone.select("world_id", "part_id", (F.col("_nth") + base).alias("_until")), ["world_id", "part_id"], "left").checkpoint()
+            span = Span(before.tables, ob, marked, base + 1, self.step)
+            self.snapshots += [(t, After(span, t)) for t in range(base + 1, self.step + 1)]
 
     def sweep_loop(self, x: Schedule, wires: tuple[str, ...], outs: tuple[str, ...], path: tuple[str, ...]) -> bool:
         """Run a loop in one pass, if that is the same."""

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tessera.experience import reconstructed
 from tessera.operators.migration import Renaming
 from tessera.pattern import Pattern
 from tessera.plans import catalog, runner
@@ -120,3 +121,18 @@ def test_renamed_tests_count_the_renamed_table(spark):
 
 def test_nested_to_the_end(spark, many):
     by_sql(spark, "sched_nested", many)
+
+
+def test_reconstructed_to_the_end(spark, many):
+    by_sql(spark, "sched_reconstructed", many)
+
+
+def test_snapshots(spark):
+    loop = looped(S.PlayerRuleApp("drop", DROP, "p"))
+    swept, stepwise = (runner.run(loop, world(spark, [2, 0, 1]), FIRST, snapshots=True, **more) for more in ({}, {"t_max": 1000}))
+    same(swept, stepwise)
+    for ob in ("supplier", "nation"):
+        a, b = (reconstructed(r.events, r.snapshots, ob) for r in (swept, stepwise))
+        assert a.columns == b.columns and rows(a) == rows(b)
+        a, b = (reconstructed(r.events, [*r.snapshots[:1], *r.snapshots[2:]], ob) for r in (swept, stepwise))
+        assert rows(a) == rows(b)

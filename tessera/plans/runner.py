@@ -378,7 +378,7 @@ class Runner:
         if isinstance(box, RuleApp):
             return True
         own = box.can_pass or box.take is not None or box.view_fn is not None or box.fast_match_fn is not None
-        return not own and type(o.agents.get(box.player)) is First and box.match_limit is None and o.t_max is None and o.terminal is None and not o.keep_legal
+        return not own and type(o.agents.get(box.player)) is First and o.t_max is None and o.terminal is None and not o.keep_legal
 
     def plucks(self, box: Any, wires: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
         """(world_id, part_id, _nth): the rows that a box would delete, numbered from 1 in each world; and the worlds
@@ -412,7 +412,7 @@ class Runner:
         if player:
             legal = F.col("_k") - F.col("_round") + 1
             given = each.withColumns({"turn": F.col("turn") + F.col("_round"), "_n": F.when(F.col("_fired"), F.lit(1)), "match": F.create_map(F.lit(rule.plucked), F.col("_row"))})
-            given = given.withColumns({"legal": legal, "legal_actions": F.lit(None).cast("array<string>")})
+            given = given.withColumns({"legal": legal if box.match_limit is None else F.least(legal, F.lit(box.match_limit).cast("long")), "legal_actions": F.lit(None).cast("array<string>")})
             self._record(box, rule, given, path, step)
         label, turn = self.label(out), F.col("turn") + F.col("_k") + int(fails)
         there = s.select("world_id", F.lit(label).alias("wire"), (turn if player else F.col("turn")).alias("turn"), "done", "winner")

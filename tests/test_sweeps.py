@@ -1,7 +1,10 @@
 """Loops that are run in one pass: as many rounds as the rows ask for, and the same as round after round."""
 
+from dataclasses import replace
+
 import pytest
 
+from tessera import agents
 from tessera.experience import reconstructed
 from tessera.operators.migration import Renaming
 from tessera.pattern import Pattern
@@ -136,3 +139,20 @@ def test_snapshots(spark):
         assert a.columns == b.columns and rows(a) == rows(b)
         a, b = (reconstructed(r.events, [*r.snapshots[:1], *r.snapshots[2:]], ob) for r in (swept, stepwise))
         assert rows(a) == rows(b)
+
+
+def test_limits_and_caches_to_the_end(spark, many):
+    by_sql(spark, "sched_limit_and_cache", many)
+
+
+@pytest.mark.parametrize("cached", [False, True])
+def test_limits(spark, cached):
+    loop = looped(S.PlayerRuleApp("drop", DROP, "p", match_limit=2, use_cache=cached))
+    swept, stepwise = (runner.run(loop, world(spark, [3, 0]), FIRST, **more) for more in ({}, {"t_max": 1000}))
+    same(swept, stepwise)
+    # draws, passes, other agents, and rules that bring new matches go round after round
+    free = S.PlayerRuleApp("drop", DROP, "p", match_limit=2)
+    r = runner.Runner(world(spark, [1]), runner.Options({"p": agents.First(), "r": agents.Random(1)}))
+    assert r.sweeps(free, ())
+    for other in ({"take": 1}, {"can_pass": True}, {"view_fn": lambda w: w}, {"fast_match_fn": lambda rule, w: None}, {"player": "r"}, {"rule": FOUND}):
+        assert not r.sweeps(replace(free, **other), ())
